@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import feedback, redaction  # noqa: F401
+from . import feedback, redaction, vectors  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
