@@ -95,10 +95,10 @@ def cluster_features(spark, sf_dir):
     text = F.concat(F.col("text"), F.lit(" "), pick(_HINTS, F.col("doc_id")))
     rows = docs.select("doc_id", vx.tokens(text).alias("w"))
     cells = F.array(*[
-        F.struct(F.lit(name).alias("cluster"), s.alias("strength"))
-        for (name, _), s in zip(fv.CLUSTERS, vx.cluster_strengths(F.col("w")))
+        F.struct(F.lit(name).alias("cluster"), F.col(f"_s{i}").alias("strength"))
+        for i, (name, _) in enumerate(fv.CLUSTERS)
     ])
-    return rows.select("doc_id", F.inline(cells))
+    return rt.cluster_strengths(rows, words_col="w").select("doc_id", F.inline(cells))
 
 
 @query(

@@ -25,10 +25,10 @@ def contains_any(text: Column, words) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Array of lines; a final line break opens no further line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    body = F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(body, LINE_BREAK, -1)
+    )
 
 
 def sha_hash(text: Column) -> Column:
@@ -63,8 +63,14 @@ def settle(df: DataFrame, *computed: str) -> DataFrame:
 
     Catalyst pushes a later filter on a column below the projection that makes
     it, by copying the expression. For columns made by a chain of regex passes
-    that would repeat the whole chain inside the filter. A generator of one row
-    keeps the filter above the finished values.
+    that would repeat the whole chain inside the filter. It also inlines a column
+    into the lambda of an array function, which then works it out per element. A
+    generator of one row keeps the finished values.
     """
     kept = [c for c in df.columns if c not in computed]
     return df.select(*kept, F.inline(F.array(F.struct(*computed))))
+
+
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns and settle them."""
+    return settle(df.withColumns(columns), *columns)

@@ -26,52 +26,24 @@ def _chunk(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")
 
 
-def bucket(word: Column, buckets: int = fv.HASH_BUCKETS) -> Column:
-    """The 128-bit md5 value modulo the number of buckets, 32 bits at a time."""
-    digest = F.md5(word.cast("binary"))
+def bucket(digest: Column, buckets: int = fv.HASH_BUCKETS) -> Column:
+    """A 128-bit hex digest modulo the number of buckets, 32 bits at a time."""
     acc = _chunk(digest, 0) % buckets
     for i in range(1, 4):
         acc = (acc * (1 << 32) + _chunk(digest, i)) % buckets
     return acc.cast("int")
 
 
-def sign(word: Column) -> Column:
-    """+1 when the sha1 value is even, which its last hex digit tells."""
-    last = F.substring(F.sha1(word.cast("binary")), 40, 1)
+def sign(digest: Column) -> Column:
+    """+1 when the value of a 40-digit hex digest is even, as its last digit tells."""
+    last = F.substring(digest, 40, 1)
     return F.when(last.isin(list("02468ace")), 1.0).otherwise(-1.0)
 
 
-def hashed_features(words: Column) -> Column:
-    """Array of (dim, v) structs, one per word and hash."""
-    def one(word: Column, i: int) -> Column:
-        salted = F.concat(word, F.lit(f"_{i}"))
-        return F.struct(bucket(salted).alias("dim"), (sign(salted) / (i + 1)).alias("v"))
-
-    return F.flatten(
-        F.transform(words, lambda w: F.array(*[one(w, i) for i in range(fv.HASHES_PER_WORD)]))
-    )
-
-
-def cluster_strengths(words: Column) -> list[Column]:
-    """Per cluster the number of its keywords that occur inside any word, capped."""
-    joined = F.array_join(words, " ")
-    out = []
-    for _, keywords in fv.CLUSTERS:
-        n = sum((F.when(joined.contains(k), 1).otherwise(0) for k in keywords), F.lit(0))
-        out.append(F.least(n, F.lit(fv.CLUSTER_CAP)).cast("double"))
-    return out
-
-
-def cluster_features(words: Column) -> Column:
-    """Array of (dim, v) structs: each cluster found fills its dims with its strength."""
-    def filled(strength: Column, start: int) -> Column:
-        dims = F.sequence(F.lit(start), F.lit(start + fv.CLUSTER_WIDTH - 1))
-        cells = F.transform(dims, lambda d: F.struct(d.alias("dim"), strength.alias("v")))
-        return F.when(strength > 0, cells)
-
-    starts = [fv.HASH_BUCKETS + c * fv.CLUSTER_WIDTH for c in range(len(fv.CLUSTERS))]
-    parts = [filled(s, at) for s, at in zip(cluster_strengths(words), starts)]
-    return F.flatten(F.array_compact(F.array(*parts)))
+def cluster_strength(joined: Column, keywords: list[str]) -> Column:
+    """How many of the keywords occur inside any of the joined words, capped."""
+    n = sum((F.when(joined.contains(k), 1).otherwise(0) for k in keywords), F.lit(0))
+    return F.least(n, F.lit(fv.CLUSTER_CAP)).cast("double")
 
 
 def dense(cells: Column, dim: int = fv.EMBEDDING_DIM) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.vectors import cluster_features, dense, hashed_features, tokens
+from ..functions.text import fixed
+from ..functions.vectors import bucket, cluster_strength, dense, sign, tokens
 
 # A side is sent to all tasks only up to this many numbers (64 MB of doubles).
 MAX_BROADCAST_NUMBERS = 8_000_000
@@ -24,14 +25,55 @@ SIM_DIGITS = 9  # equal vectors must tie, whatever block they were multiplied in
 MATCH_SCHEMA = "query_id string, item_id string, sim double"
 
 
+def cluster_strengths(df: DataFrame, *, words_col: str) -> DataFrame:
+    """Add ``_s0``, ``_s1``, ...: the strength of every keyword cluster."""
+    joined = df.withColumn("_j", F.array_join(words_col, " "))
+    names = {
+        f"_s{i}": cluster_strength(F.col("_j"), kws) for i, (_, kws) in enumerate(fv.CLUSTERS)
+    }
+    return joined.withColumns(names).drop("_j")
+
+
 def text_features(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, dim, v): summed features of every text before normalising."""
-    words = df.select(id_col, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
-    cells = F.concat(hashed_features(F.col("_w")), cluster_features(F.col("_w")))
+    """(id, dim, v): summed features of every text before normalising.
+
+    Words are exploded before they are hashed, so all hashing is compiled code
+    on plain columns; the sums combine map-side.
+    """
+    words = fixed(df.select(id_col, text_col), _w=tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    rated = cluster_strengths(words.select(id_col, "_w"), words_col="_w")
+
+    def filled(strength: str, start: int) -> Column:
+        dims = F.sequence(F.lit(start), F.lit(start + fv.CLUSTER_WIDTH - 1))
+        cells = F.transform(
+            dims, lambda d: F.struct(F.lit(None).cast("string").alias("w"), d.alias("dim"), F.col(strength).alias("v"))
+        )
+        return F.when(F.col(strength) > 0, cells).otherwise(
+            F.array().cast("array<struct<w:string,dim:int,v:double>>")
+        )
+
+    plain = F.transform(
+        "_w",
+        lambda w: F.struct(
+            w.alias("w"), F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("v")
+        ),
+    )
+    clusters = [
+        filled(f"_s{i}", fv.HASH_BUCKETS + i * fv.CLUSTER_WIDTH) for i in range(len(fv.CLUSTERS))
+    ]
+    cells = rated.select(id_col, F.inline(F.concat(plain, *clusters)))
+    hashes = F.array(*[F.lit(i) for i in range(fv.HASHES_PER_WORD)])
+    cells = cells.withColumn("_i", F.explode(F.when(F.col("w").isNull(), F.array(F.lit(0))).otherwise(hashes)))
+    cells = cells.withColumn("_salted", F.concat("w", F.lit("_"), F.col("_i").cast("string")).cast("binary"))
+    cells = cells.withColumn("_md5", F.md5("_salted")).withColumn("_sha", F.sha1("_salted"))
     return (
-        words.select(id_col, F.explode(cells).alias("_c"))
-        .groupBy(id_col, F.col("_c.dim").alias("dim"))
-        .agg(F.sum("_c.v").alias("v"))
+        cells.select(
+            id_col,
+            F.coalesce("dim", bucket(F.col("_md5"))).alias("dim"),
+            F.coalesce("v", sign(F.col("_sha")) / (F.col("_i") + 1)).alias("v"),
+        )
+        .groupBy(id_col, "dim")
+        .agg(F.sum("v").alias("v"))
     )
 
 

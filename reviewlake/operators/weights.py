@@ -204,19 +204,24 @@ def _starts(maps: str, key: str) -> Column:
 
 def _weights(rows: str, start: str, low: int, high: int, carried: list[str]) -> Column:
     """Array of the events of a block with the weights before and after each."""
+    empty = "array<struct<_before:bigint,_after:bigint>>"
+
+    def move(acc: Column, x: Column) -> Column:
+        after = clamp(acc["w"] + x["_d"], low, high)
+        step = F.struct(acc["w"].alias("_before"), after.alias("_after"))
+        return F.struct(after.alias("w"), F.concat(acc["out"], F.array(step)).alias("out"))
+
     states = F.aggregate(
         rows,
-        F.array(F.col(start)),
-        lambda acc, x: F.concat(acc, F.array(clamp(F.element_at(acc, -1) + x["_d"], low, high))),
+        F.struct(F.col(start).alias("w"), F.array().cast(empty).alias("out")),
+        move,
+        lambda acc: acc["out"],
     )
     return F.zip_with(
         rows,
-        F.arrays_zip(
-            F.slice(states, F.lit(1), F.size(rows)).alias("b"),
-            F.slice(states, F.lit(2), F.size(rows)).alias("a"),
-        ),
+        states,
         lambda x, s: F.struct(
-            *[x[c].alias(c) for c in carried], s["b"].alias("_before"), s["a"].alias("_after")
+            *[x[c].alias(c) for c in carried], s["_before"].alias("_before"), s["_after"].alias("_after")
         ),
     )
 
