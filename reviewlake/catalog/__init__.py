@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import diffs, feedback, redaction, vectors  # noqa: F401
+from . import diffs, feedback, redaction, scan, vectors  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
