@@ -72,7 +72,9 @@ def tokens(spark, sf_dir):
 def hash_features(spark, sf_dir):
     items = texts(spark, sf_dir, "benchmark")
     feats = rt.text_features(items, id_col="item_id", text_col="text")
-    return feats.select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("v", 6).alias("v"))
+    return feats.select("item_id", F.inline("cells")).select(
+        "item_id", F.col("dim").cast("bigint").alias("dim"), F.round("v", 6).alias("v")
+    )
 
 
 _HINTS = [

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 
@@ -21,23 +27,57 @@ def tokens(text: Column, stop_words=None) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(stop))
 
 
-def _chunk(digest: Column, i: int) -> Column:
-    """The i-th 32 bits of a hex digest as a number."""
-    return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")
-
-
-def bucket(digest: Column, buckets: int = fv.HASH_BUCKETS) -> Column:
-    """A 128-bit hex digest modulo the number of buckets, 32 bits at a time."""
-    acc = _chunk(digest, 0) % buckets
-    for i in range(1, 4):
-        acc = (acc * (1 << 32) + _chunk(digest, i)) % buckets
-    return acc.cast("int")
+def _word_hashes(word: str) -> list[tuple[int, float]]:
+    """Bucket (md5 modulo the buckets) and signed weight (sha1 parity) per hash."""
+    out = []
+    for i in range(fv.HASHES_PER_WORD):
+        salted = f"{word}_{i}".encode()
+        bucket = int.from_bytes(hashlib.md5(salted).digest(), "big") % fv.HASH_BUCKETS
+        odd = hashlib.sha1(salted).digest()[-1] & 1
+        out.append((bucket, (-1.0 if odd else 1.0) / (i + 1)))
+    return out
 
 
-def sign(digest: Column) -> Column:
-    """+1 when the value of a 40-digit hex digest is even, as its last digit tells."""
-    last = F.substring(digest, 40, 1)
-    return F.when(last.isin(list("02468ace")), 1.0).otherwise(-1.0)
+CELLS = T.ArrayType(
+    T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("v", T.DoubleType())])
+)
+_SLICE_ROWS = 1024
+
+
+@F.arrow_udf(CELLS)
+def hashed_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Summed word features of every row's words, sorted by dim.
+
+    Spark has no 128-bit numbers, and text repeats its words: each word of a
+    batch is hashed once, and words the task has seen before not at all.
+    """
+    known: dict[str, list[tuple[int, float]]] = {}
+    for batch in batches:
+        offsets, cells = [0], []
+        for start in range(0, len(batch), _SLICE_ROWS):
+            rows = batch.slice(start, _SLICE_ROWS)
+            if len(known) > 200_000:
+                known.clear()
+            sizes = np.nan_to_num(rows.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+            coded = rows.flatten().dictionary_encode()
+            for w in coded.dictionary.to_pylist():
+                if w not in known:
+                    known[w] = _word_hashes(w)
+            hashes = np.array([known[w] for w in coded.dictionary.to_pylist()]).reshape(-1, fv.HASHES_PER_WORD, 2)
+            mine = hashes[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(len(rows)), sizes)[:, None]
+            place = (row * fv.HASH_BUCKETS + mine[:, :, 0].astype(int)).ravel()
+            width = len(rows) * fv.HASH_BUCKETS
+            used = np.flatnonzero(np.bincount(place, minlength=width))
+            total = np.bincount(place, weights=mine[:, :, 1].ravel(), minlength=width)[used]
+            cells.append((used % fv.HASH_BUCKETS, total))
+            counts = np.bincount(used // fv.HASH_BUCKETS, minlength=len(rows))
+            offsets.extend((offsets[-1] + np.cumsum(counts)).tolist())
+        dims, values = (np.concatenate(c) if cells else np.zeros(0) for c in (list(zip(*cells)) or [[], []]))
+        structs = pa.StructArray.from_arrays(
+            [pa.array(dims.astype("int32")), pa.array(values.astype("float64"))], names=["dim", "v"]
+        )
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
 
 
 def cluster_strength(joined: Column, keywords: list[str]) -> Column:

@@ -18,7 +18,6 @@ LITERAL = (
     r'(?s)""".*?"""|\'\'\'.*?\'\'\'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
     r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|#[^\n]*"
 )
-NOT_BREAK = r"[^\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 DEF = r"^\s*(?:async\s+)?def\s+(\w+)"
 _PAREN = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
@@ -34,22 +33,20 @@ STARTER = (
 
 
 def mask_literals(text: Column) -> Column:
-    """Blank out comments and string contents; places and lines stay the same."""
+    """Blank out comments and string contents; places and \\n breaks stay the same."""
+    def spaces(x: Column) -> Column:
+        return F.repeat(F.lit(" "), F.length(x))
+
     def blank(hit: Column) -> Column:
-        spaces = F.regexp_replace(hit, NOT_BREAK, " ")
+        quote = F.substring(hit, 1, 1)
+        long = F.array_join(F.transform(F.split(hit, "\n", -1), spaces), "\n")
         return (
-            F.when(hit.startswith("#"), spaces)
+            F.when(hit.startswith("#"), spaces(hit))
             .when(
                 hit.startswith('"""') | hit.startswith("'''"),
-                F.concat(F.lit('""'), F.substr(spaces, F.lit(3))),
-            )
-            .otherwise(
-                F.concat(
-                    F.substring(hit, 1, 1),
-                    F.substr(spaces, F.lit(2), F.length(hit) - 2),
-                    F.substring(hit, 1, 1),
-                )
+                F.concat(F.lit('""'), F.substr(long, F.lit(3))),
             )
+            .otherwise(F.concat(quote, F.repeat(F.lit(" "), F.length(hit) - 2), quote))
         )
 
     return rewrite_matches(text, LITERAL, blank)
@@ -57,14 +54,14 @@ def mask_literals(text: Column) -> Column:
 
 def explode_lines(files: DataFrame, *, source_col="source") -> DataFrame:
     """One row per line: ``line_no``, ``text``, masked ``code`` and ``indent``."""
-    masked = fixed(files, _code=mask_literals(F.col(source_col)))
     kept = [c for c in files.columns if c != source_col]
-    zipped = F.arrays_zip(
-        split_lines(F.col(source_col)).alias("text"), split_lines(F.col("_code")).alias("code")
-    )
+    split = fixed(files.select(*kept, source_col), _lines=split_lines(F.col(source_col)))
+    joined = fixed(split.drop(source_col), _text=F.array_join("_lines", "\n"))
+    masked = fixed(joined, _code=mask_literals(F.col("_text")))
+    zipped = F.arrays_zip(F.col("_lines").alias("text"), F.split("_code", "\n", -1).alias("code"))
     rows = masked.select(*kept, F.posexplode(zipped).alias("_pos", "_line"))
     lead = F.regexp_replace(F.regexp_extract(F.col("_line.code"), r"^[ \t]*", 0), "\t", " " * 8)
-    return rows.select(
+    return rows.where(F.col("_line.text").isNotNull()).select(
         *kept,
         (F.col("_pos") + 1).alias("line_no"),
         F.col("_line.text").alias("text"),

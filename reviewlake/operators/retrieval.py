@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import fixed
-from ..functions.vectors import bucket, cluster_strength, dense, sign, tokens
+from ..functions.vectors import cluster_strength, dense, hashed_features, tokens
 
 # A side is sent to all tasks only up to this many numbers (64 MB of doubles).
 MAX_BROADCAST_NUMBERS = 8_000_000
 CELL_ROWS = 4096
 SIM_DIGITS = 9  # equal vectors must tie, whatever block they were multiplied in
 
+_CELLS = "array<struct<dim:int,v:double>>"
 MATCH_SCHEMA = "query_id string, item_id string, sim double"
 
 
@@ -35,68 +36,43 @@ def cluster_strengths(df: DataFrame, *, words_col: str) -> DataFrame:
 
 
 def text_features(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, dim, v): summed features of every text before normalising.
+    """(id, cells): summed (dim, v) features of every text before normalising.
 
-    Words are exploded before they are hashed, so all hashing is compiled code
-    on plain columns; the sums combine map-side.
+    All of it happens within the row, so nothing is shuffled.
     """
     words = fixed(df.select(id_col, text_col), _w=tokens(F.coalesce(F.col(text_col), F.lit(""))))
     rated = cluster_strengths(words.select(id_col, "_w"), words_col="_w")
 
     def filled(strength: str, start: int) -> Column:
         dims = F.sequence(F.lit(start), F.lit(start + fv.CLUSTER_WIDTH - 1))
-        cells = F.transform(
-            dims, lambda d: F.struct(F.lit(None).cast("string").alias("w"), d.alias("dim"), F.col(strength).alias("v"))
-        )
-        return F.when(F.col(strength) > 0, cells).otherwise(
-            F.array().cast("array<struct<w:string,dim:int,v:double>>")
-        )
+        cells = F.transform(dims, lambda d: F.struct(d.alias("dim"), F.col(strength).alias("v")))
+        return F.when(F.col(strength) > 0, cells).otherwise(F.array().cast(_CELLS))
 
-    plain = F.transform(
-        "_w",
-        lambda w: F.struct(
-            w.alias("w"), F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("v")
-        ),
-    )
     clusters = [
         filled(f"_s{i}", fv.HASH_BUCKETS + i * fv.CLUSTER_WIDTH) for i in range(len(fv.CLUSTERS))
     ]
-    cells = rated.select(id_col, F.inline(F.concat(plain, *clusters)))
-    hashes = F.array(*[F.lit(i) for i in range(fv.HASHES_PER_WORD)])
-    cells = cells.withColumn("_i", F.explode(F.when(F.col("w").isNull(), F.array(F.lit(0))).otherwise(hashes)))
-    cells = cells.withColumn("_salted", F.concat("w", F.lit("_"), F.col("_i").cast("string")).cast("binary"))
-    cells = cells.withColumn("_md5", F.md5("_salted")).withColumn("_sha", F.sha1("_salted"))
-    return (
-        cells.select(
-            id_col,
-            F.coalesce("dim", bucket(F.col("_md5"))).alias("dim"),
-            F.coalesce("v", sign(F.col("_sha")) / (F.col("_i") + 1)).alias("v"),
-        )
-        .groupBy(id_col, "dim")
-        .agg(F.sum("v").alias("v"))
-    )
+    hashed = rated.withColumn("_h", hashed_features("_w"))
+    return hashed.select(id_col, F.concat("_h", *clusters).alias("cells"))
 
 
 def embed_sparse(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(id, cells): unit vectors as sorted (dim, v) structs, at most 768 of them.
 
-    A text without words has no features and comes back without cells.
+    A text without words has no cells.
     """
     feats = text_features(df, id_col=id_col, text_col=text_col)
-    per_text = feats.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("_cells"),
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"),
-    )
+    squares = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + c["v"] * c["v"])
+    normed = fixed(feats, _norm=F.sqrt(squares))
     unit = F.filter(
         F.transform(
-            "_cells",
+            "cells",
             lambda c: F.struct(c["dim"].alias("dim"), F.round(c["v"] / F.col("_norm"), 6).alias("v")),
         ),
         lambda c: c["v"] != 0,
     )
-    empty = F.array().cast("array<struct<dim:int,v:double>>")
-    found = per_text.select(id_col, F.when(F.col("_norm") > 0, unit).otherwise(empty).alias("cells"))
-    return df.select(id_col).join(found, id_col, "left").withColumn("cells", F.coalesce("cells", empty))
+    return normed.select(
+        id_col, F.when(F.col("_norm") > 0, unit).otherwise(F.array().cast(_CELLS)).alias("cells")
+    )
 
 
 def embed(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:

@@ -252,8 +252,11 @@ def _rule_debit(s: dict[str, Column]) -> Column:
 _ARRAY = (
     "array<struct<rule_id:string,line_start:int,line_end:int,message:string,suggested_fix:string,line_text:string>>"
 )
-# Files without any of these cannot have a finding and are not taken apart.
-TRIGGER = rf"(?i)\d\.|\.\d|\de[+-]?\d|\bfloat\b|@[\w.]*\.(?:post|put|patch|route)\b|\b(?:{'|'.join(fv.DEBIT_NAMES)}|{_METHODS})\s*\("
+
+
+def worth_scanning(source: Column) -> Column:
+    """Every finding needs a call or a number with a fraction or an exponent."""
+    return source.contains("(") | source.rlike(r"\d[.eE]|\.\d")
 
 
 def routes(stmts: DataFrame) -> DataFrame:
@@ -280,7 +283,7 @@ def routes(stmts: DataFrame) -> DataFrame:
 
 def find(files: DataFrame, *, source_col="source", marker: str = fv.SUPPRESS_MARKER) -> DataFrame:
     """All findings of a table of files (``file_id``, source), without suppressed ones."""
-    worth = files.where(F.col(source_col).rlike(TRIGGER))
+    worth = files.where(worth_scanning(F.col(source_col)))
     stmts = mark_floats(routes(in_block(worth, source_col=source_col)))
     s = {c: F.col(c) for c in stmts.columns} | {
         "route.group": F.col("route.group"), "route.path": F.col("route.path"),
