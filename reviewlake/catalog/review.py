@@ -11,6 +11,7 @@ from ..operators import diffs as df_
 from ..operators import report as rp
 from ..operators import scoring as sc
 from ..plans.review import review
+from ..plans.work import new_dir
 from ..sources.files import decode_source
 from ..sources.findings_json import extract_findings
 from . import feedback as fb
@@ -41,7 +42,7 @@ def sessions_build(spark, sf_dir):
         "'dev-' || (doc_id % 40) AS author_id", "'U-' || (doc_id % 30) AS user_id",
         "CASE WHEN doc_id % 5 = 0 THEN 'go' ELSE 'python' END AS language", "TIMESTAMP '2024-01-01' AS created_at",
     ).withColumn("diff", df_.as_added(F.lit("src/m.py"), F.col("source"))).drop("source")
-    return review(payloads).sessions.drop("commit_sha", "created_at")
+    return review(payloads, work_path=new_dir(spark, "inspected")).sessions.drop("commit_sha", "created_at")
 
 
 _ITEM = {

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..plans.ordered import block, number_rows, stable
+from ..plans.ordered import block, number_rows
+from ..plans.work import stable
 
 UNIT = 10_000
 WIDE = 1 << 40

@@ -7,23 +7,10 @@ into blocks of bounded size. Blocks are combined level by level.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so all its readers see the same rows.
-
-    The folder is the one the session names; only where none is named (local
-    tests) a folder is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="reviewlake-checkpoint-"))
-    return df.checkpoint(eager=True)
+from .work import stable
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..operators import diffs, redact, retrieval, rules, scoring
 from ..operators.language import language_of
+from .work import written
 
 
 @dataclass
@@ -24,17 +25,25 @@ class Review:
     elevated: DataFrame | None = None
 
 
-def review(payloads: DataFrame, *, incidents: DataFrame | None = None) -> Review:
+def review(
+    payloads: DataFrame, *, incidents: DataFrame | None = None, work_path: str | None = None
+) -> Review:
     """Inspect, tag, scan, rate and log payloads.
 
     Needs ``payload_id``, ``diff``, ``repo_name``, ``commit_sha``, ``author_id``,
     ``user_id``, ``language`` (NULL or empty: detected) and ``created_at``. Only
     accepted Python payloads are scanned; a rejected one keeps an empty finding
     list and so the full score.
+
+    The inspected payloads feed the scan, the retrieval and the sessions. With
+    ``work_path`` they are written there once and read back; without it Spark
+    inspects them again for each of these that is read.
     """
     seen = redact.inspect(payloads, text_col="diff")
     given = F.nullif(F.col("language"), F.lit(""))
     seen = seen.withColumn("language", F.coalesce(given, language_of(F.col("diff"))))
+    if work_path is not None:
+        seen = written(seen, work_path)
     accepted, _ = redact.split_quarantined(seen)
     python = accepted.where(F.col("language") == "python").select(
         F.col("payload_id").alias("file_id"), F.col("sanitized").alias("diff")
