@@ -13,8 +13,8 @@ from ..sources import tables as tb
 from .base import query, quote, table
 
 # --- event data ---------------------------------------------------------------
-# Driver events become feedback events. ``signup`` is no known type; users from
-# 140 on are rules without a row in the rule table.
+# Driver events become feedback events. ``signup`` is no known type; every
+# fifteenth user is a rule without a row in the rule table.
 
 KINDS = {
     "error": "POST_DEPLOY_REVERT",
@@ -32,7 +32,7 @@ _FEED_COLS = f"""'EVT-' || event_id AS id, {_KIND_SQL} AS event_type, 'org/repo'
 FEED_SQL = f"feed AS (SELECT {_FEED_COLS} FROM events WHERE event_type <> 'signup')"
 RULES_SQL = """rules AS (SELECT DISTINCT 'RULE-' || user_id AS rule_id, 'Rule ' || user_id AS rule_name,
    1.0 + (user_id % 5) * 0.5 AS base_weight, 1.0 + (user_id % 5) * 0.5 AS current_weight,
-   (user_id % 4) * 0.05 AS ci_flakiness_correlation, CAST(user_id % 3 AS BIGINT) AS revert_count FROM events WHERE user_id < 140)"""
+   (user_id % 4) * 0.05 AS ci_flakiness_correlation, CAST(user_id % 3 AS BIGINT) AS revert_count FROM events WHERE user_id % 15 <> 14)"""
 
 
 def feed(spark, sf_dir):
@@ -55,7 +55,7 @@ def _split_columns(text: str) -> list[str]:
 
 def rules(spark, sf_dir):
     return (
-        table(spark, sf_dir, "events").where("user_id < 140").select("user_id").distinct()
+        table(spark, sf_dir, "events").where("user_id % 15 <> 14").select("user_id").distinct()
         .selectExpr(
             "'RULE-' || user_id AS rule_id", "'Rule ' || user_id AS rule_name",
             "CAST(1.0 + (user_id % 5) * 0.5 AS DOUBLE) AS base_weight",

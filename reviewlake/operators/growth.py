@@ -127,14 +127,13 @@ def defect_frequency(findings: DataFrame, *, user="user_id") -> DataFrame:
 
 def kpis(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """Measured duration and revert rate next to the pilot targets."""
-    timing = sessions.agg(
-        F.count(F.lit(1)).alias("n_sessions"),
-        F.percentile("execution_duration_ms", 0.5).alias("median_duration_ms"),
+    both = sessions.select(F.lit(True).alias("_s"), "execution_duration_ms").unionByName(
+        events.select(F.lit(False).alias("_s"), "event_type"), allowMissingColumns=True
     )
-    reverts = events.agg(
-        F.round(
-            F.count_if(F.col("event_type") == "POST_DEPLOY_REVERT") * 100.0 / F.count(F.lit(1)), 4
-        ).alias("revert_rate_pct")
+    reverts = F.count_if(F.col("event_type") == "POST_DEPLOY_REVERT")
+    one = both.agg(
+        F.count_if("_s").alias("n_sessions"),
+        F.percentile("execution_duration_ms", 0.5).alias("median_duration_ms"),
+        F.round(reverts * 100.0 / F.count_if(~F.col("_s")), 4).alias("revert_rate_pct"),
     )
-    one = timing.withColumn("_k", F.lit(1)).join(reverts.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return one.select("*", *[F.lit(v).alias(k) for k, v in fv.PILOT_TARGETS.items()])

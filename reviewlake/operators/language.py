@@ -43,13 +43,13 @@ def guidelines(spark: SparkSession, rows=None) -> DataFrame:
 def attach_guidelines(df: DataFrame, table: DataFrame | None = None, *, lang_col="language"):
     """Left join on the trimmed lower-case language; unknown takes the default row.
 
-    The table holds one row per supported language, so it is always small.
+    Only the built-in table, a row per language, is sent to all tasks by hint.
     """
-    table = guidelines(df.sparkSession) if table is None else table
+    table = F.broadcast(guidelines(df.sparkSession)) if table is None else table
     names = [r[0] for r in fv.GUIDELINES]
     key = F.lower(F.trim(F.col(lang_col)))
     keyed = df.withColumn(
         "_lang", F.when(key.isin(names), key).otherwise(F.lit(fv.DEFAULT_LANGUAGE))
     )
     right = table.withColumnRenamed("language", "_lang")
-    return keyed.join(F.broadcast(right), "_lang", "left").drop("_lang")
+    return keyed.join(right, "_lang", "left").drop("_lang")

@@ -34,8 +34,8 @@ def fill_remediation(findings: DataFrame, table: DataFrame | None = None) -> Dat
     Needs ``category``, ``expected_failure`` and ``patch_explanation``; a
     category that is not listed takes the default.
     """
-    table = remediation_table(findings.sparkSession) if table is None else table
-    joined = findings.withColumn("_cat", F.upper("category")).join(F.broadcast(table), "_cat", "left")
+    table = F.broadcast(remediation_table(findings.sparkSession)) if table is None else table
+    joined = findings.withColumn("_cat", F.upper("category")).join(table, "_cat", "left")
     expected = F.coalesce("_expected", F.lit(fv.DEFAULT_EXPECTED_FAILURE))
     missing = F.col("expected_failure").isNull()
     return joined.select(

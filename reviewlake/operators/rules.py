@@ -309,9 +309,9 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def attach_rules(findings: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Name, severity and category of the rule; the registry is a handful of rows."""
-    table = rule_table(findings.sparkSession) if table is None else table
-    return findings.join(F.broadcast(table.drop("description")), "rule_id", "left")
+    """Name, severity and category of the rule. The built-in registry has four rows."""
+    table = F.broadcast(rule_table(findings.sparkSession)) if table is None else table
+    return findings.join(table.drop("description"), "rule_id", "left")
 
 
 def scan_status(files: DataFrame, findings: DataFrame, *, source_col="source", threshold=fv.SHORT_CIRCUIT_CRITICALS) -> DataFrame:

@@ -75,9 +75,7 @@ def upsert_incidents(target: DataFrame, updates: DataFrame, *, order: str) -> Da
 
 def seed_if_empty(target: DataFrame, defaults: DataFrame) -> DataFrame:
     """``target``, or the defaults when it has no row (one row is looked for)."""
-    any_row = target.select(F.lit(1).alias("_one")).limit(1)
-    missing = defaults.withColumn("_one", F.lit(1)).join(F.broadcast(any_row), "_one", "left_anti")
-    return target.unionByName(missing.drop("_one").select(*target.columns))
+    return defaults.select(*target.columns) if target.isEmpty() else target
 
 
 def evolve_sessions(*parts: DataFrame) -> DataFrame:
