@@ -8,15 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only where none is named, as in local tests, a folder is made and named.
+    Only where none is named, as in local tests, a folder is made.
     """
+    global _made
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="reviewlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        _made = _made or tempfile.mkdtemp(prefix="reviewlake-")
+        named = _made
     return named
 
 

@@ -74,7 +74,12 @@ if __name__ == "__main__":
 
     sf = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = local_session(8)
+    if os.environ.get("PLAIN"):  # a session with Spark's own defaults
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session(8)
     con = connect(sf)
     bad = 0
     for key, fn in queries().items():
