@@ -117,9 +117,13 @@ def build_prompts(
     return rows.select(key, prompt.alias("prompt"))
 
 
-def export_report(rated: DataFrame, findings: DataFrame, *, key="payload_id") -> DataFrame:
+def export_report(
+    rated: DataFrame, findings: DataFrame, *, key="payload_id", fields=("score", "grade")
+) -> DataFrame:
     """Nested JSON per payload: its rating and its findings.
 
+    ``fields`` names the columns of ``rated`` to show; with a review rollup and
+    its latency, fired rules and status this is the findings-and-stats export.
     A payload with very many findings is written in parts of about a thousand,
     so no list grows without bound. ``finding_no`` orders the findings.
     """
@@ -133,6 +137,6 @@ def export_report(rated: DataFrame, findings: DataFrame, *, key="payload_id") ->
     lists = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(body)).alias("findings"))
     empty = F.array().cast("array<struct<finding_no:int,severity:string,category:string>>")
     full = rated.join(lists, key, "left").select(
-        key, F.coalesce("part", F.lit(0)).alias("part"), "score", "grade", F.coalesce("findings", empty).alias("findings")
+        key, F.coalesce("part", F.lit(0)).alias("part"), *fields, F.coalesce("findings", empty).alias("findings")
     )
-    return full.select(key, "part", F.to_json(F.struct(key, "part", "score", "grade", "findings")).alias("report"))
+    return full.select(key, "part", F.to_json(F.struct(key, "part", *fields, "findings")).alias("report"))
