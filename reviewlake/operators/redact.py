@@ -71,10 +71,17 @@ def redact(df: DataFrame, *, text_col="text", tag=fv.REDACTION_TAG, patterns=Non
 
 def check_injection(df: DataFrame, *, text_col="text", patterns=None) -> DataFrame:
     """Add ``is_quarantined``, ``reason``, ``matched`` and ``injection_severity``."""
+    words = fv.INJECTION_WORDS if patterns is None else [()] * len(patterns)
     patterns = fv.INJECTION_PATTERNS if patterns is None else patterns
     text = F.col(text_col)
-    found = df.withColumn("_hit", _first(patterns, lambda i, p: (text.rlike(p[0]), F.lit(i))))
-    found = settle(found, "_hit").withColumn(
+    found = df.withColumn("_low", F.lower(text)).withColumn(
+        "_hit",
+        _first(
+            patterns,
+            lambda i, p: (gate_open(F.col("_low"), words[i]) & text.rlike(p[0]), F.lit(i)),
+        ),
+    )
+    found = settle(found.drop("_low"), "_hit").withColumn(
         "matched",
         _first(patterns, lambda i, p: (F.col("_hit") == i, F.regexp_extract(text, p[0], 0))),
     )
