@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import mixing, shards
-from .base import query, table
+from . import bpe, digests, langid, mixing, quality, shards
+from .base import query, remainder, table
+
+# The rules that pages are judged by, and their verdicts.
+URL_RULES = [
+    ("net/", "block"),
+    ("example.net/en/", "allow"),
+    ("example.com/de/", "block"),
+    ("org/fr/", "allow"),
+]
+
+OP9_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(rule, host, path, verdict) AS (VALUES
+  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+best AS (
+  SELECT p.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM parts p JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN best b ON p.page_id = b.page_id
+"""
 
 
 @query("op1_pareto_mix")
@@ -15,6 +43,33 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op5_word_backoff")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    predict = langid.language(model, spark)
+    out = docs.select("doc_id", "held_out", predict(F.col("text")).alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query("op7_dawg_bpe")
+def op7(spark, sf_dir):
+    return bpe.encode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False
+    )
+
+
+@query("op8_weak_label_quality")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs))
+
+
+@query("op9_digest_urls", OP9_SQL)
+def op9(spark, sf_dir):
+    return digests.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op10_jump_shards")
 def op10(spark, sf_dir):
     return shards.shard_documents(table(spark, sf_dir, "documents"), 16).withColumn("law", F.lit("key"))
