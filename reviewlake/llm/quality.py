@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BAD, NONE, GOOD = 0, 1, 2
-LABELLERS = ("repeats", "symbols", "separators", "letters", "variety", "shouting", "lengths", "lines", "prose")
+LABELLERS = ("repeats", "symbols", "separators", "letters", "variety", "shouting", "lengths", "lines", "prose", "singles")
 DIM = 1 << 12
 REMEMBERED = 300_000  # words a task keeps
 _MARKS = re.compile(r"[^\w\s]{2,}")
@@ -32,34 +32,36 @@ class Reader:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.table = np.zeros((0, 6), dtype=np.int64)
+        self.table = np.zeros((1 << 14, 6), dtype=np.int64)
 
     @staticmethod
     def _word(word: str) -> tuple:
+        """Hash of the shape, signs, letters and digits, and whether marks, a separator, loud."""
+        body = word[:-1] if word[-1] in ".,;:!?" else word
+        if body.isalpha() and (body.islower() or body.istitle()):
+            shape = ("x" if body.islower() else "Xx" if len(body) > 1 else "X") + word[len(body):]
+            return zlib.crc32(shape.encode()), len(word), len(body), False, False, False
         signs = ["x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "l" if c.isalpha() else c for c in word]
-        shape = "".join(s for i, s in enumerate(signs) if not i or s != signs[i - 1])[:24]
-        letters = sum(c.isalpha() for c in word)
-        loud = letters > 1 and word.isupper()
+        shape = "".join(s for i, s in enumerate(signs) if not i or s != signs[i - 1])
+        letters = sum(map(str.isalnum, word))
         return (
             zlib.crc32(shape.encode()), len(word), letters, bool(_MARKS.search(word)),
-            not any(c.isalnum() for c in word), loud,
+            not any(map(str.isalnum, word)), letters > 1 and word.isupper(),
         )
 
     def _ids(self, text: str) -> np.ndarray:
         words = text.split()
         if len(self.place) > REMEMBERED:
             self._forget()
-        place, rows = self.place, self.rows
-        ids = []
+        place, ids = self.place, []
         for w in words:
             at = place.get(w)
             if at is None:
-                at = place[w] = len(rows)
-                rows.append(self._word(w))
+                at = place[w] = len(place)
+                if at == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[at] = self._word(w)
             ids.append(at)
-        if len(rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(rows[len(self.table):], dtype=np.int64)])
         return np.array(ids, dtype=np.int64)
 
     def stats(self, text: str) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -76,6 +78,7 @@ class Reader:
             "variety": len(np.unique(ids)) / size,
             "shouting": float(table[:, 5].sum()) / size,
             "lengths": float(table[:, 1].sum()) / size,
+            "singles": float((table[:, 1] == 1).sum()) / size,
             "lines": 1 - len(set(lines)) / max(len(lines), 1),
             "n_lines": len(lines),
         }, ids, table
@@ -90,23 +93,25 @@ class Reader:
             vote(s["n"] >= 8 and s["repeats"] > 0.25, enough and s["repeats"] < 0.05),
             vote(s["symbols"] > 0.25, enough and s["symbols"] < 0.02),
             vote(s["separators"] > 0.15, enough and s["separators"] < 0.02),
-            vote(s["letters"] < 0.7, s["letters"] > 0.85),
-            vote(s["n"] >= 40 and s["variety"] < 0.3, s["n"] >= 40 and s["variety"] > 0.5),
+            vote(s["letters"] < 0.7, s["letters"] > 0.92),
+            vote(s["n"] >= 40 and s["variety"] < 0.12, s["n"] >= 40 and s["variety"] > 0.4),
             vote(s["shouting"] > 0.3, enough and s["shouting"] < 0.05),
             vote(s["n"] == 0 or not 2.2 <= s["lengths"] <= 14),
             vote(s["n_lines"] >= 4 and s["lines"] > 0.6, s["n_lines"] >= 4 and s["lines"] < 0.1),
             vote(False, enough and s["repeats"] < 0.15 and s["letters"] > 0.8 and s["separators"] < 0.05 and s["symbols"] < 0.05),
+            vote(s["n"] >= 4 and s["singles"] > 0.3, enough and s["singles"] < 0.15),
         ]
 
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def features(stats: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Hashed sparse features: shares of word shapes and shape pairs, and graded statistics."""
-        s, ids, table = self.stats(text)
+        s, ids, table = stats
         size = max(len(ids), 1)
         shapes = table[:, 0]
         pairs = (shapes[:-1] * 1_000_003 + shapes[1:]) % ((1 << 31) - 1)
         graded = [
             zlib.crc32(f"{k}:{min(int(s[k] * 10), 9) if k != 'lengths' else min(int(s[k]), 20)}".encode())
-            for k in ("repeats", "symbols", "separators", "letters", "variety", "shouting", "lengths", "lines")
+            for k in ("repeats", "symbols", "separators", "letters", "variety", "shouting", "lengths", "lines", "singles")
         ]
         at = np.concatenate([shapes, pairs, np.array(graded, dtype=np.int64)]) % DIM
         value = np.concatenate([np.full(len(shapes), 1 / size), np.full(len(pairs), 1 / size), np.full(len(graded), 0.5)])
@@ -207,8 +212,9 @@ def fit(
     def featurise(texts: pd.Series) -> pd.DataFrame:
         reader, out = Reader(), []
         for text in texts.tolist():
-            at, value = reader.features(text or "")
-            out.append((at.tolist(), value.tolist(), shared.value[pattern(reader.votes(reader.stats(text or "")[0]))]))
+            stats = reader.stats(text or "")
+            at, value = reader.features(stats)
+            out.append((at.tolist(), value.tolist(), shared.value.get(pattern(reader.votes(stats[0])), 0.5)))
         return pd.DataFrame(out, columns=["at", "value", "p"])
 
     drawn = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -225,8 +231,9 @@ def scored(model: Model, spark):
     def score(texts: pd.Series) -> pd.DataFrame:
         reader, m, out = kept.setdefault("it", Reader()), shared.value, []
         for text in texts.tolist():
-            at, value = reader.features(text or "")
-            votes = pattern(reader.votes(reader.stats(text or "")[0]))
+            stats = reader.stats(text or "")
+            at, value = reader.features(stats)
+            votes = pattern(reader.votes(stats[0]))
             z = float(value @ m.weights[at] + m.weights[-1])
             out.append((votes, m.posterior.get(votes, 0.5), 1 / (1 + np.exp(-np.clip(z, -50, 50)))))
         return pd.DataFrame(out, columns=["votes", "posterior", "score"])
