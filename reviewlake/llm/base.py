@@ -61,3 +61,11 @@ def ship(spark: SparkSession, name: str, content: bytes) -> str:
 
 def shipped_path(name: str) -> str:
     return SparkFiles.get(name)
+
+
+def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` for the narrow side of a join: broadcast if it is counted to be small.
+
+    Beyond ``max_rows`` it is returned as it is, and Spark shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -138,10 +138,13 @@ def estimate(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]:
     bad, good = (votes == BAD).sum(axis=1), (votes == GOOD).sum(axis=1)
     p = np.where(bad > 0, 0.05, np.where(good > 0, 0.95, 0.7))
     one_hot = votes[:, :, None] == np.array([BAD, GOOD])
+    # what is believed beforehand, worth a fifth of the rows: a heuristic seldom blames
+    # a good document, and is blind to most other kinds of bad ones
+    belief = 0.2 * weight.sum() * np.array([[[0.3, 0.7]], [[0.002, 0.998]]])
     for _ in range(rounds):
         classes = np.stack([(1 - p) * weight, p * weight])
         prior = (classes.sum(axis=1) + 1) / (weight.sum() + 2)
-        rates = np.einsum("cp,pjv->cjv", classes, one_hot) + 0.5
+        rates = np.einsum("cp,pjv->cjv", classes, one_hot) + belief
         rates /= rates.sum(axis=2, keepdims=True)
         logs = np.log(prior)[:, None] + np.einsum("cjv,pjv->cp", np.log(rates), one_hot)
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))

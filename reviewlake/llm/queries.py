@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, digests, langid, mixing, quality, shards
+from . import bpe, chosen_path, digests, epsilon_grid, langid, mixing, quality, shards
 from .base import query, remainder, table
 
 # The rules that pages are judged by, and their verdicts.
@@ -43,6 +43,16 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op3_chosen_path")
+def op3(spark, sf_dir):
+    return chosen_path.join(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@query("op4_epsilon_grid")
+def op4(spark, sf_dir):
+    return epsilon_grid.join(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 @query("op5_word_backoff")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
