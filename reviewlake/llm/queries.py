@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, digests, epsilon_grid, langid, mixing, quality, shards
+from . import bpe, chosen_path, digests, epsilon_grid, langid, mixing, order_minhash, quality, shards
 from .base import query, remainder, table
 
 # The rules that pages are judged by, and their verdicts.
@@ -62,6 +62,11 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+@query("op6_order_minhash")
+def op6(spark, sf_dir):
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op7_dawg_bpe")
 def op7(spark, sf_dir):
     return bpe.encode(
