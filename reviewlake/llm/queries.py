@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, digests, epsilon_grid, langid, mixing, order_minhash, quality, shards
+from . import bpe, chosen_path, digests, epsilon_grid, langid, maxent, mixing, order_minhash, quality, shards
 from .base import query, remainder, table
 
 # The rules that pages are judged by, and their verdicts.
@@ -43,6 +43,11 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op2_maxent_lm")
+def op2(spark, sf_dir):
+    return maxent.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 @query("op3_chosen_path")
 def op3(spark, sf_dir):
     return chosen_path.join(table(spark, sf_dir, "documents"), k=4, percent=80)
