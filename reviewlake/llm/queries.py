@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, digests, epsilon_grid, langid, maxent, mixing, order_minhash, quality, shards
+from . import bpe, chosen_path, digests, epsilon_grid, langid, maxent, mixing, oracles, order_minhash, quality, shards
 from .base import query, remainder, table
 
 # The rules that pages are judged by, and their verdicts.
@@ -16,27 +16,8 @@ URL_RULES = [
     ("org/fr/", "allow"),
 ]
 
-OP9_SQL = """
-WITH parts AS (
-  SELECT page_id,
-    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
-  FROM pages),
-rules(rule, host, path, verdict) AS (VALUES
-  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
-  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
-best AS (
-  SELECT p.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
-  FROM parts p JOIN rules r
-    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
-  GROUP BY p.page_id)
-SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
-FROM parts p LEFT JOIN best b ON p.page_id = b.page_id
-"""
-
-
-@query("op1_pareto_mix")
+
+@query("op1_pareto_mix", oracles.MIX)
 def op1(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies"
@@ -48,12 +29,12 @@ def op2(spark, sf_dir):
     return maxent.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
 
 
-@query("op3_chosen_path")
+@query("op3_chosen_path", oracles.SHINGLES)
 def op3(spark, sf_dir):
     return chosen_path.join(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-@query("op4_epsilon_grid")
+@query("op4_epsilon_grid", oracles.VECTORS)
 def op4(spark, sf_dir):
     return epsilon_grid.join(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -85,7 +66,7 @@ def op8(spark, sf_dir):
     return quality.classify(docs, quality.fit(docs))
 
 
-@query("op9_digest_urls", OP9_SQL)
+@query("op9_digest_urls", oracles.URLS)
 def op9(spark, sf_dir):
     return digests.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
