@@ -35,9 +35,15 @@ RULES_SQL = """rules AS (SELECT DISTINCT 'RULE-' || user_id AS rule_id, 'Rule '
    (user_id % 4) * 0.05 AS ci_flakiness_correlation, CAST(user_id % 3 AS BIGINT) AS revert_count FROM events WHERE user_id % 15 <> 14)"""
 
 
+def valid_feed(raw):
+    """All driver events as feedback events; those of no known type are sorted out as rejected."""
+    typed = raw.selectExpr(*[c.strip() for c in _split_columns(_FEED_COLS)])
+    reason = ev.reject_reason(F.col("rule_id"), F.col("event_type"), F.lit(False))
+    return ev.split_events(typed.withColumn("reject_reason", reason))[0]
+
+
 def feed(spark, sf_dir):
-    raw = table(spark, sf_dir, "events").where("event_type <> 'signup'")
-    return raw.selectExpr(*[c.strip() for c in _split_columns(_FEED_COLS)])
+    return valid_feed(table(spark, sf_dir, "events"))
 
 
 def _split_columns(text: str) -> list[str]:
@@ -214,23 +220,21 @@ def rules_ranked(spark, sf_dir):
 _SEV_SQL = "CASE WHEN l_returnflag = 'A' THEN 'critical' WHEN l_returnflag = 'R' THEN 'HIGH' WHEN l_linestatus = 'O' THEN 'Medium' WHEN l_linenumber % 2 = 0 THEN 'AUDIT_NOTE' ELSE 'note' END"
 _CAT_SQL = "CASE l_linenumber % 6 " + " ".join(f"WHEN {i} THEN {quote(c)}" for i, c in enumerate(fv.CATEGORIES)) + " END"
 _FIND_COLS = f"""l_orderkey AS payload_id, l_linenumber AS finding_no, {_SEV_SQL} AS severity, {_CAT_SQL} AS category"""
-# A third of the orders keeps no findings, so the left join has work to do.
-FINDINGS_SQL = f"findings AS (SELECT {_FIND_COLS} FROM lineitem WHERE l_linestatus = 'O' OR l_returnflag <> 'N' AND l_orderkey % 3 <> 0)"
+FINDINGS_SQL = f"findings AS (SELECT {_FIND_COLS} FROM lineitem)"
+# Reviews of parts have no findings, so the left join has work to do.
+REVIEWED_SQL = "reviewed AS (SELECT o_orderkey AS payload_id FROM orders UNION ALL SELECT -1 - p_partkey FROM part)"
 _COUNTS_SQL = """counts AS (SELECT payload_id, count(*) FILTER (upper(severity) = 'CRITICAL') AS c, count(*) FILTER (upper(severity) = 'HIGH') AS h,
    count(*) FILTER (upper(severity) = 'MEDIUM') AS m, count(*) FILTER (upper(severity) NOT IN ('CRITICAL', 'HIGH', 'MEDIUM')) AS l,
    count(*) FILTER (upper(severity) IN ('LOW', 'AUDIT_NOTE')) AS shown FROM findings GROUP BY payload_id)"""
 
 
 def findings(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where("l_linestatus = 'O' OR l_returnflag <> 'N' AND l_orderkey % 3 <> 0")
-        .selectExpr(*_split_columns(_FIND_COLS))
-    )
+    return table(spark, sf_dir, "lineitem").selectExpr(*_split_columns(_FIND_COLS))
 
 
 def reviewed(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payload_id"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("payload_id"))
+    return orders.union(table(spark, sf_dir, "part").select((-1 - F.col("p_partkey")).alias("payload_id")))
 
 
 @query(
@@ -247,7 +251,7 @@ _GRADE = "CASE " + " ".join(f"WHEN s >= {sc.tenths(g[0])} THEN {{}}" for g in fv
 @query(
     "quality_score",
     f"""WITH {FINDINGS_SQL}, {_COUNTS_SQL},
-      p AS (SELECT o_orderkey AS payload_id, coalesce(25 * c + 15 * h + 8 * m + 3 * l, 0) AS p FROM orders LEFT JOIN counts ON o_orderkey = payload_id),
+      {REVIEWED_SQL}, p AS (SELECT payload_id, coalesce(25 * c + 15 * h + 8 * m + 3 * l, 0) AS p FROM reviewed LEFT JOIN counts USING (payload_id)),
       q AS (SELECT *, greatest(10, least(100, 100 - p)) AS s FROM p)
     SELECT payload_id, CAST(p AS DOUBLE) / 10 AS penalty_points, CAST(s AS DOUBLE) / 10 AS score,
       {_GRADE.format(*[quote(g[1]) for g in fv.GRADES])} AS grade, {_GRADE.format(*[quote(g[2]) for g in fv.GRADES])} AS verdict FROM q""",
@@ -271,9 +275,9 @@ def severity_filter(spark, sf_dir):
 
 @query(
     "gate",
-    f"""WITH {FINDINGS_SQL}, k AS (SELECT payload_id, count(*) AS n FROM findings WHERE {_RANK_SQL} >= 2 GROUP BY payload_id)
-    SELECT o_orderkey AS payload_id, coalesce(n, 0) AS n_kept, coalesce(n, 0) > 0 AS blocked, CASE WHEN coalesce(n, 0) > 0 THEN 1 ELSE 0 END AS exit_code
-    FROM orders LEFT JOIN k ON o_orderkey = payload_id""",
+    f"""WITH {FINDINGS_SQL}, {REVIEWED_SQL}, k AS (SELECT payload_id, count(*) AS n FROM findings WHERE {_RANK_SQL} >= 2 GROUP BY payload_id)
+    SELECT payload_id, coalesce(n, 0) AS n_kept, coalesce(n, 0) > 0 AS blocked, CASE WHEN coalesce(n, 0) > 0 THEN 1 ELSE 0 END AS exit_code
+    FROM reviewed LEFT JOIN k USING (payload_id)""",
 )
 def gate(spark, sf_dir):
     return sc.gate(reviewed(spark, sf_dir), findings(spark, sf_dir))

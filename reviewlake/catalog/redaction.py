@@ -9,6 +9,7 @@ from ..functions.redaction import luhn_valid
 from ..functions.text import sha_hash
 from ..operators import language as lang
 from ..operators import redact as red
+from ..plans.work import new_dir, written
 from .base import pick, plant, query, quote, sql_list, sql_pick, sql_plant, table, texts
 
 # Secret-like strings are put together at run time.
@@ -250,9 +251,11 @@ def payload_hash(spark, sf_dir):
 @query(
     "dlp_report",
     f"""WITH {PAYLOAD_SQL}, {inspect_sql('payloads', 'doc_id, source')},
-      types AS (SELECT source, dlp_status, unnest(CASE WHEN info_types = '' THEN ['NONE'] ELSE string_split(info_types, ',') END) AS info_type FROM inspected)
-    SELECT coalesce(source, '*') AS source, coalesce(dlp_status, '*') AS dlp_status, coalesce(info_type, '*') AS info_type, count(*) AS n
-    FROM types GROUP BY ROLLUP (source, dlp_status, info_type)""",
+      types AS (SELECT doc_id, source, dlp_status, unnest(CASE WHEN info_types = '' THEN ['NONE'] ELSE string_split(info_types, ',') END) AS info_type FROM inspected)
+    SELECT source, dlp_status, info_type, count(DISTINCT doc_id) AS n FROM types GROUP BY ALL
+    UNION ALL SELECT source, dlp_status, '*', count(*) FROM inspected GROUP BY ALL
+    UNION ALL SELECT source, '*', '*', count(*) FROM inspected GROUP BY ALL
+    UNION ALL SELECT '*', '*', '*', count(*) FROM inspected""",
 )
 def dlp_report(spark, sf_dir):
     out = red.redaction_report(inspected_payloads(spark, sf_dir))
@@ -292,6 +295,8 @@ def injection(spark, sf_dir):
 )
 def quarantine_split(spark, sf_dir):
     seen = inspected_payloads(spark, sf_dir)
+    # both sides come from one written inspection, so the texts are read once
+    seen = written(seen.select("doc_id", "dlp_status", "sanitized", "quarantine_reason"), new_dir(spark, "inspected"))
     accepted, _ = red.split_quarantined(seen)
     rejected = red.quarantine_findings(seen)
     return accepted.select(

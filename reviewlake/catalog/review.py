@@ -110,7 +110,7 @@ def remediation_join(spark, sf_dir):
 @query(
     "report_export",
     f"""WITH {fb.FINDINGS_SQL}, {fb._COUNTS_SQL},
-      p AS (SELECT o_orderkey AS payload_id, greatest(10, least(100, 100 - coalesce(25 * c + 15 * h + 8 * m + 3 * l, 0))) AS s FROM orders LEFT JOIN counts ON o_orderkey = payload_id),
+      {fb.REVIEWED_SQL}, p AS (SELECT payload_id, greatest(10, least(100, 100 - coalesce(25 * c + 15 * h + 8 * m + 3 * l, 0))) AS s FROM reviewed LEFT JOIN counts USING (payload_id)),
       f AS (SELECT payload_id, string_agg('{{"finding_no":' || finding_no || ',"severity":"' || severity || '","category":"' || category || '"}}', ',' ORDER BY finding_no, severity, category) AS fs FROM findings GROUP BY payload_id)
     SELECT payload_id, CAST(0 AS INTEGER) AS part, '{{"payload_id":' || payload_id || ',"part":0,"score":' || CAST(s AS DOUBLE) / 10 || ',"grade":"' || {fb._GRADE.format(*[quote(g[1]) for g in fv.GRADES])} || '","findings":[' || coalesce(fs, '') || ']}}' AS report
     FROM p LEFT JOIN f USING (payload_id)""",

@@ -250,13 +250,17 @@ _LOW = "lower(line)"
 
 @query(
     "suppress",
-    f"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) || ' ' || {sql_pick(REMARKS, 'doc_id')} AS line FROM documents)
-    SELECT doc_id, (contains({_LOW}, 'noqa') AND (contains({_LOW}, 'ast-fin-001') OR trim({_LOW}) = 'noqa' OR contains(line, '# noqa')))
+    f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+      n AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS line_no FROM s),
+      d AS (SELECT doc_id, line_no, ls[line_no] || ' ' || {sql_pick(REMARKS, '(doc_id + line_no)')} AS line FROM n)
+    SELECT doc_id, line_no, (contains({_LOW}, 'noqa') AND (contains({_LOW}, 'ast-fin-001') OR trim({_LOW}) = 'noqa' OR contains(line, '# noqa')))
       OR (contains({_LOW}, 'review: disable') AND (contains({_LOW}, 'ast-fin-001') OR contains({_LOW}, 'all'))) AS suppressed FROM d""",
 )
 def suppress(spark, sf_dir):
-    line = F.concat(F.split("text", "\n", 2)[0], F.lit(" "), pick(REMARKS, F.col("doc_id")))
-    return table(spark, sf_dir, "documents").select("doc_id", rl.suppressed(line, F1).alias("suppressed"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.withColumn("line_no", (F.col("at") + 1).cast("bigint"))
+    line = F.concat("line", F.lit(" "), pick(REMARKS, F.col("doc_id") + F.col("line_no")))
+    return lines.select("doc_id", "line_no", rl.suppressed(line, F1).alias("suppressed"))
 
 
 RISKS = [

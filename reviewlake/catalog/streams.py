@@ -21,8 +21,7 @@ def stream(spark, sf_dir, name):
 
 
 def _feed(spark, sf_dir):
-    raw = stream(spark, sf_dir, "events").where("event_type <> 'signup'")
-    return raw.selectExpr(*[c.strip() for c in fb._split_columns(fb._FEED_COLS)])
+    return fb.valid_feed(stream(spark, sf_dir, "events"))
 
 
 @query(
@@ -43,28 +42,27 @@ def events_stream(spark, sf_dir):
 
 @query(
     "weight_fold_stream",
-    f"WITH {fb._FOLDED_SQL} SELECT rule_id, w AS current_weight FROM folded",
+    f"""WITH {fb._FOLDED_SQL}, {fb._UNKNOWN_SQL} SELECT rule_id, w AS current_weight, true AS known FROM folded
+    UNION ALL SELECT rule_id, weight, false FROM unknown""",
 )
 def weight_fold_stream(spark, sf_dir):
     at = new_dir(spark, "weights-stream")
     jobs.fold_weights(
         _feed(spark, sf_dir), fb.rules(spark, sf_dir), f"{at}/weights", f"{at}/checkpoint"
     ).awaitTermination()
-    return jobs.latest_weights(spark, f"{at}/weights").select("rule_id", "current_weight")
+    return jobs.latest_weights(spark, f"{at}/weights")
 
 
 @query(
     "event_counts_stream",
-    f"""WITH {fb.FEED_SQL}, m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark FROM feed)
-    SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM feed, m
-    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2""",
+    f"""WITH {fb.FEED_SQL}
+    SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM feed GROUP BY 1, 2""",
 )
 def event_counts_stream(spark, sf_dir):
-    """Only windows that the watermark has closed come out."""
     at = new_dir(spark, "counts-stream")
     counts = jobs.event_counts(_feed(spark, sf_dir))
-    jobs.write_batches(counts, f"{at}/counts", f"{at}/checkpoint").awaitTermination()
-    return jobs.read_batches(spark, f"{at}/counts").withColumn(
+    jobs.write_batches(counts, f"{at}/counts", f"{at}/checkpoint", mode="update").awaitTermination()
+    return jobs.latest_counts(spark, f"{at}/counts").withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz")
     )
 

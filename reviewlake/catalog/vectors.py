@@ -247,20 +247,20 @@ def incidents(spark):
 
 @query(
     "topk_text",
-    f"""WITH {_INC_SQL}, qs AS (SELECT item_id, {sql_pick(OPENINGS, 'item_id')} || ' ' || substr(text, 1, 120) AS text FROM benchmark),
+    f"""WITH {_INC_SQL}, qs AS (SELECT item_id, {sql_pick(OPENINGS, 'item_id')} || ' ' || text AS text FROM benchmark),
       {embed_sql('qs', 'item_id', 'text', 'q')}, {embed_sql('inc', 'id', 'full_text', 'c')}, {match_sql('q', 'c', 3, 0.5)}
     SELECT * FROM matched""",
 )
 def topk_text(spark, sf_dir):
     items = texts(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.concat(pick(OPENINGS, F.col("item_id")), F.lit(" "), F.substring("text", 1, 120)).alias("text"),
+        F.concat(pick(OPENINGS, F.col("item_id")), F.lit(" "), F.col("text")).alias("text"),
     )
     corpus = incidents(spark).select(F.col("id").alias("item_id"), F.col("embedding").alias("vec"))
     return rt.topk_text(items, corpus, min_sim=0.5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-# History lines made from documents: id, type and the first line of the text.
+# History lines made from documents: id, type and the text, with blanks for its line breaks.
 _LINE_CASES = [
     "{id}, {type}, {text}", '{id},"{type}","{text}"', '{id}, {type}, "{text}"', "{id}, {text}", "{id}",
     "id,type,description", "   ", "{id}, , {text}", '{id},Security,"quoted ""word"", {text}" tail', "{id},x,",
@@ -269,9 +269,7 @@ _LINE_CASES = [
 
 def _line_sql(dialect: str) -> str:
     arms = []
-    first = "substr(regexp_replace(split_part(text, chr(10), 1), '\"', ''), 1, 90)"
-    if dialect == "duckdb":
-        first = first.replace("'\"', '')", "'\"', '', 'g')")
+    first = "translate(replace(text, chr(10), ' '), '\"', '')"
     for i, case in enumerate(_LINE_CASES):
         parts = case
         for token, expr in (("{id}", "doc_id"), ("{type}", "source"), ("{text}", first)):
@@ -308,34 +306,47 @@ def history_csv(spark, sf_dir):
 )
 def history_embed(spark, sf_dir):
     rich = hi.enrich_history(history(spark, sf_dir))
-    vec = rt.embed_sparse(rich, id_col="rule_id", text_col="full_text")
+    vec = hi.with_vectors(rich, make=rt.embed_sparse)
     total = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["v"] * c["dim"])
-    return rich.join(vec.where(F.size("cells") > 0), "rule_id").select(
+    return vec.where(F.size("cells") > 0).select(
         "rule_id", "rule_name", "full_text",
         F.size("cells").cast("bigint").alias("n_dims"), F.round(total, 2).alias("checksum"),
     )
 
 
+# Every incident is stored; an update of each fifth comes twice, with other texts.
+_UPDATES_SQL = f"""{_HISTORY_SQL}, upd AS (SELECT doc_id, 0 AS copy, rule_id, rule_type, description FROM history
+     UNION ALL SELECT doc_id, 1, rule_id, rule_type, 'again ' || description FROM history WHERE doc_id % 5 = 0),
+   h AS (SELECT rule_id AS id, arg_max(description, copy) AS description, '[' || upper(replace(arg_max(rule_type, copy), 'ß', 'ss')) || '] ' || arg_max(description, copy) AS full_text
+     FROM upd WHERE doc_id % 2 = 0 OR copy = 1 GROUP BY rule_id)"""
+
+
 @query(
     "incidents_upsert",
-    f"""WITH {_HISTORY_SQL}, old AS (SELECT rule_id AS id, 'old ' || description AS description, 'cause ' || doc_id AS root_cause FROM history WHERE doc_id % 3 = 0),
-      new AS (SELECT rule_id AS id, description, 'Historical rule from review dataset: ' || description AS root_cause FROM history WHERE doc_id % 2 = 0)
-    SELECT id, coalesce(new.description, old.description) AS description, coalesce(old.root_cause, new.root_cause) AS root_cause FROM old FULL JOIN new USING (id)""",
+    f"""WITH {_UPDATES_SQL}, {embed_sql('h', 'id', 'full_text', 'e')}, s AS (SELECT id, count(*) AS n_dims, sum(CAST(CAST(v AS FLOAT) AS DOUBLE) * dim) AS checksum FROM e GROUP BY id),
+      old AS (SELECT rule_id AS id, 'old ' || description AS description, 'cause ' || doc_id AS root_cause FROM history)
+    SELECT id, coalesce(h.description, old.description) AS description, old.root_cause AS root_cause,
+      CASE WHEN h.id IS NULL THEN 0 ELSE coalesce(n_dims, 0) END AS n_dims, round(CASE WHEN h.id IS NULL THEN 0 ELSE coalesce(checksum, 0) END, 4) AS checksum
+    FROM old LEFT JOIN h USING (id) LEFT JOIN s USING (id)""",
 )
 def incidents_upsert(spark, sf_dir):
-    """Stored incidents and updates overlap on every sixth document."""
     rows = history(spark, sf_dir)
-    none = F.lit(None).cast("array<float>")
-    old = rows.where("doc_id % 3 = 0").select(
+    old = rows.select(
         F.col("rule_id").alias("id"), F.concat(F.lit("old "), "description").alias("description"),
-        F.concat(F.lit("cause "), F.col("doc_id").cast("string")).alias("root_cause"), none.alias("embedding"),
+        F.concat(F.lit("cause "), F.col("doc_id").cast("string")).alias("root_cause"),
+        F.lit(None).cast("array<float>").alias("embedding"),
     )
-    new = rows.where("doc_id % 2 = 0").select(
-        F.col("rule_id").alias("id"), "description",
-        F.concat(F.lit(fv.HISTORY_ROOT_CAUSE_PREFIX), "description").alias("root_cause"),
-        none.alias("embedding"), F.col("doc_id").alias("n"),
+    copies = rows.withColumn("copy", F.explode(F.when(F.col("doc_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    again = F.when(F.col("copy") == 1, F.concat(F.lit("again "), "description")).otherwise(F.col("description"))
+    updates = copies.withColumn("description", again).where("doc_id % 2 = 0 OR copy = 1")
+    new = hi.history_incidents(updates).select("id", "description", "root_cause", "embedding", "copy")
+    out = tb.upsert_incidents(old, new, order="copy")
+    cells = F.filter(F.transform(F.coalesce("embedding", F.array().cast("array<float>")), lambda v, i: v.cast("double") * i), lambda x: x != 0)
+    filled = F.size(F.filter(F.coalesce("embedding", F.array().cast("array<float>")), lambda v: v != 0))
+    return out.select(
+        "id", "description", "root_cause", filled.cast("bigint").alias("n_dims"),
+        F.round(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x), 4).alias("checksum"),
     )
-    return tb.upsert_incidents(old, new, order="n").select("id", "description", "root_cause")
 
 
 @query(

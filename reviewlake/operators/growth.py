@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..plans.ordered import positions
+from ..plans.work import stable
 
 # Scores are summed in tenths, so averages are exact until they are rounded.
 
@@ -133,7 +134,46 @@ def kpis(sessions: DataFrame, events: DataFrame) -> DataFrame:
     reverts = F.count_if(F.col("event_type") == "POST_DEPLOY_REVERT")
     one = both.agg(
         F.count_if("_s").alias("n_sessions"),
-        F.percentile("execution_duration_ms", 0.5).alias("median_duration_ms"),
+        F.lit(median(sessions, "execution_duration_ms")).cast("double").alias("median_duration_ms"),
         F.round(reverts * 100.0 / F.count_if(~F.col("_s")), 4).alias("revert_rate_pct"),
     )
     return one.select("*", *[F.lit(v).alias(k) for k, v in fv.PILOT_TARGETS.items()])
+
+
+MEDIAN_BINS = 1024
+
+
+def median(df: DataFrame, column: str) -> float | None:
+    """Exact median of a numeric column: the middle value, or the mean of the two middle ones.
+
+    Values are counted first, which combines map-side. Each round then counts the
+    values into bins of one width and goes on with the bin that holds the wanted
+    place, so no task meets all values and the driver sees one row a bin.
+    """
+    value = F.col(column).cast("double")
+    counted = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counted = stable(counted)
+    total = counted.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    low, high = (_at_place(counted, place) for place in ((total + 1) // 2, total // 2 + 1))
+    return (low + high) / 2
+
+
+def _at_place(counted: DataFrame, place: int) -> float:
+    """The value at a place, from 1, in the order of all values."""
+    while True:
+        low, high = counted.agg(F.min("v"), F.max("v")).first()
+        if low == high:
+            return low
+        width = (high - low) / MEDIAN_BINS
+        # bins are told apart by their least value, so one of a single value ends the search
+        at = F.least(F.floor((F.col("v") - low) / width), F.lit(MEDIAN_BINS - 1))
+        bins = counted.groupBy(at.alias("b")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for b in bins.orderBy("b").collect():
+            if place <= b["n"]:
+                break
+            place -= b["n"]
+        if b["lo"] == b["hi"]:
+            return b["lo"]
+        counted = counted.where(F.col("v").between(b["lo"], b["hi"]))

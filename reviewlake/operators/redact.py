@@ -186,15 +186,27 @@ def leak_findings(inspected: DataFrame, *, path_col="file_path") -> DataFrame:
 
 
 def redaction_report(inspected: DataFrame, *, group_col="source") -> DataFrame:
-    """Payloads per group, status and info type, with rollup subtotals."""
+    """Payloads per group, status and info type, with subtotals (NULL: all).
+
+    A payload with several types counts once in each of them, and once in every
+    subtotal. Each sends its rows to the lines it belongs to, so the texts are
+    inspected once.
+    """
+    none = F.lit(None).cast("string")
+
+    def line(group, status, kind):
+        return F.struct(group.alias(group_col), status.alias("dlp_status"), kind.alias("info_type"))
+
+    group, status = F.col(group_col).cast("string"), F.col("dlp_status")
+    found = F.array_distinct(F.coalesce("info_types", F.array().cast("array<string>")))
+    kinds = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("NONE")))
+    lines = F.concat(
+        F.transform(kinds, lambda k: line(group, status, k)),
+        F.array(line(group, status, none), line(group, none, none), line(none, none, none)),
+    )
     return (
-        inspected.select(
-            group_col,
-            "dlp_status",
-            F.explode_outer("info_types").alias("info_type"),
-        )
-        .withColumn("info_type", F.coalesce("info_type", F.lit("NONE")))
-        .rollup(group_col, "dlp_status", "info_type")
+        inspected.select(F.inline(lines))
+        .groupBy(group_col, "dlp_status", "info_type")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 

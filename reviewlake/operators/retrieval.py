@@ -84,9 +84,9 @@ def embed(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 def _unit(vectors, dim: int) -> np.ndarray:
     """Rows of unit length; missing, misfit and zero vectors become zero rows."""
     out = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            out[i] = v
+    fit = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+    if fit:
+        out[fit] = np.stack([vectors[i] for i in fit])
     norms = np.sqrt((out * out).sum(axis=1))
     ok = norms > 0
     out[ok] /= norms[ok, None]
@@ -97,17 +97,19 @@ def _unit(vectors, dim: int) -> np.ndarray:
 def _best(sims: np.ndarray, qids, cids, k: int, floor: float) -> pd.DataFrame:
     """The k best items of every query row at or above the floor."""
     sims = np.clip(np.round(sims, SIM_DIGITS), -1.0, 1.0)
-    rows = []
-    cids = np.asarray(cids, dtype=object)
-    for i in range(sims.shape[0]):
-        s = sims[i]
-        keep = np.flatnonzero(s >= floor)
-        if keep.size > k:
-            cut = np.partition(s[keep], keep.size - k)[keep.size - k]
-            keep = keep[s[keep] >= cut]
-        for j in sorted(keep, key=lambda j: (-s[j], cids[j]))[:k]:
-            rows.append((qids[i], cids[j], float(s[j])))
-    return pd.DataFrame(rows, columns=["query_id", "item_id", "sim"])
+    cut = np.full(len(sims), floor)
+    if sims.shape[1] > k:
+        cut = np.maximum(cut, np.partition(sims, sims.shape[1] - k, axis=1)[:, -k])
+    row, col = np.nonzero(sims >= cut[:, None])
+    found = pd.DataFrame({
+        "query_id": np.asarray(qids, dtype=object)[row], "item_id": np.asarray(cids, dtype=object)[col], "sim": sims[row, col],
+    })
+    return _keep_best(found, k)
+
+
+def _keep_best(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    ordered = found.sort_values(["query_id", "sim", "item_id"], ascending=[True, False, True])
+    return ordered[ordered.groupby("query_id").cumcount() < k]
 
 
 def _fetch_small(df: DataFrame, dim: int):
@@ -159,12 +161,15 @@ def _sweep(big: DataFrame, small: pd.DataFrame, dim, k, floor, small_is_corpus:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
+        best = pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
         for batch in batches:
             other = _unit(list(batch["vec"]), dim)
             if small_is_corpus:
                 yield _best(other @ matrix.T, list(batch["id"]), ids, k, floor)
-            else:
-                yield _best(matrix @ other.T, ids, list(batch["id"]), k, floor)
+            else:  # one running result a task, at most k rows a query
+                best = _keep_best(pd.concat([best, _best(matrix @ other.T, ids, list(batch["id"]), k, floor)]), k)
+        if not small_is_corpus:
+            yield best
 
     return big.mapInPandas(score, MATCH_SCHEMA)
 

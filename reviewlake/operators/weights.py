@@ -261,10 +261,9 @@ def unknown_rule_weights(events: DataFrame, rules: DataFrame, *, alpha=fv.LEARNI
 
 def ledger(events: DataFrame, rules: DataFrame, *, alpha=fv.LEARNING_RATE, order=("ts", "id")) -> DataFrame:
     """Latest weight of every rule that had an event, known or not."""
-    known = fold_weights(events, rules, alpha=alpha, order=order).join(
-        events.select("rule_id"), "rule_id", "left_semi"
-    )
-    return known.select("rule_id", F.col("current_weight").alias("weight")).unionByName(
+    maps = fold_maps(events, alpha=alpha, order=order)
+    weight = from_units(apply_map(to_units(F.col("current_weight")), F.col("_map")))
+    return rules.join(maps, "rule_id").select("rule_id", weight.alias("weight")).unionByName(
         unknown_rule_weights(events, rules, alpha=alpha, order=order)
     )
 

@@ -14,11 +14,15 @@ _made: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only where none is named, as in local tests, a folder is made.
+    Only where none is named and all runs in one process, as in local tests, a folder
+    is made: on a cluster every machine would write to a disk of its own.
     """
     global _made
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         _made = _made or tempfile.mkdtemp(prefix="reviewlake-")
         named = _made
     return named

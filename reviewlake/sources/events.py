@@ -13,12 +13,23 @@ EVENT_SCHEMA = (
 )
 
 
-def parse_events(lines: DataFrame, *, value_col="value") -> DataFrame:
+def reject_reason(rule_id, event_type, bad):
+    """Why an event is no valid one; NULL if it is."""
+    return (
+        F.when(bad, "unreadable")
+        .when(rule_id.isNull() | event_type.isNull(), "missing field")
+        .when(~event_type.isin(list(fv.EVENT_FACTORS)), "unknown event type")
+    )
+
+
+def parse_events(lines: DataFrame, *, value_col="value", arrived=None) -> DataFrame:
     """Typed events with defaults; ``reject_reason`` is NULL for the valid ones.
 
-    An event without an id gets one from its text, so a repeated line stays
-    recognisable. Works on batch and streaming input.
+    An event without an id is an event of its own and gets a new one; one without a
+    time gets that of its arrival (``arrived``, a column or literal; by default the
+    time of the query or micro-batch). Works on batch and streaming input.
     """
+    arrived = F.current_timestamp() if arrived is None else arrived
     value = F.col(value_col)
     parsed = F.from_json(
         value, EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
@@ -27,18 +38,15 @@ def parse_events(lines: DataFrame, *, value_col="value") -> DataFrame:
     kept = [c for c in lines.columns if c != value_col]
     return lines.withColumn("_e", parsed).select(
         *kept,
-        F.coalesce(e["id"], F.concat(F.lit("EVT-"), F.upper(F.substring(F.sha2(value, 256), 1, 8)))).alias("id"),
+        F.coalesce(e["id"], F.concat(F.lit("EVT-"), F.upper(F.expr("uuid()")))).alias("id"),
         e["event_type"].alias("event_type"),
         F.coalesce(e["repo_name"], F.lit(fv.EVENT_DEFAULT_REPO)).alias("repo_name"),
         F.coalesce(e["commit_sha"], F.lit(fv.EVENT_DEFAULT_SHA)).alias("commit_sha"),
         e["rule_id"].alias("rule_id"),
         e["pr_id"].alias("pr_id"),
         F.coalesce(e["details"], F.create_map().cast("map<string,string>")).alias("details"),
-        e["timestamp"].alias("ts"),
-        F.when(e["_bad"].isNotNull(), "unreadable")
-        .when(e["rule_id"].isNull() | e["event_type"].isNull(), "missing field")
-        .when(~e["event_type"].isin(list(fv.EVENT_FACTORS)), "unknown event type")
-        .alias("reject_reason"),
+        F.coalesce(e["timestamp"], arrived).alias("ts"),
+        reject_reason(e["rule_id"], e["event_type"], e["_bad"].isNotNull()).alias("reject_reason"),
     )
 
 

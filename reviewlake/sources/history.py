@@ -62,11 +62,18 @@ def history_rules(records: DataFrame) -> DataFrame:
     )
 
 
-def history_incidents(records: DataFrame, *, id_col: str = "rule_id") -> DataFrame:
-    """Updates for the incident table, with vectors; ids must be unique here."""
-    rich = enrich_history(records)
-    vectors = embed(rich, id_col=id_col, text_col="full_text")
-    return rich.join(vectors, id_col).select(
+def with_vectors(rich: DataFrame, *, text_col: str = "full_text", make=embed) -> DataFrame:
+    """The rows with what ``make`` finds of their text; a row is carried along whole, so ids may repeat."""
+    rows = rich.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    found = make(rows, id_col="_row", text_col="_text")
+    return found.select("_row.*", *[c for c in found.columns if c != "_row"])
+
+
+def history_incidents(records: DataFrame) -> DataFrame:
+    """Updates for the incident table, with vectors; of a repeated id the upsert takes the last."""
+    kept = [c for c in records.columns if c not in ("rule_id", "rule_type", "description")]
+    return with_vectors(enrich_history(records)).select(
+        *kept,
         F.col("rule_id").alias("id"),
         F.concat(F.lit(fv.HISTORY_URL_PREFIX), F.col("rule_id")).alias("pr_url"),
         F.upper("rule_type").alias("bug_category"),

@@ -49,22 +49,39 @@ def fold_weights(
     Within a batch events count in (ts, id) order, batches in the order of
     arrival; an event that comes late moves the weight when it comes. The events
     of a batch are folded like a batch table, so a hot rule spreads over all
-    tasks; the state carried on is one row per rule.
+    tasks; the state carried on is one row per rule. ``rules`` is read anew at every
+    batch: a rule that was added meanwhile starts with its own weight. A rule that
+    is in no table is kept as not ``known``, with the weight of its last event.
     """
-    spark = events.sparkSession
-    columns = ["rule_id", "current_weight"]
+    columns = ["rule_id", "current_weight", "known"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = _latest(spark, path, batch_id)
-        start = rules.select(*columns) if before is None else before
+        spark = batch.sparkSession
+        table = rules.select("rule_id", "current_weight", F.lit(True).alias("known"))
+        start, strange = table, None
+        if batch_id and _exists(spark, _batch_dir(path, batch_id - 1)):
+            before = spark.read.parquet(_batch_dir(path, batch_id - 1))
+            carried = before.where("known")
+            start = carried.unionByName(table.join(carried, "rule_id", "left_anti"))
+            strange = before.where("NOT known").join(table, "rule_id", "left_anti")
         out = weights.fold_weights(batch, start, alpha=alpha).select(*columns)
-        out.write.mode("overwrite").parquet(_batch_dir(path, batch_id))
+        new = weights.unknown_rule_weights(batch, start, alpha=alpha).select(
+            "rule_id", F.col("weight").alias("current_weight"), F.lit(False).alias("known")
+        )
+        if strange is not None:
+            new = new.unionByName(strange.join(new, "rule_id", "left_anti").select(*columns))
+        out.unionByName(new).write.mode("overwrite").parquet(_batch_dir(path, batch_id))
 
     return _start(events, write, checkpoint, trigger or {"availableNow": True})
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def _latest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """The newest version older than batch ``before``."""
+    """The newest version older than batch ``before``; for readers, the job itself knows its last batch."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
@@ -80,7 +97,11 @@ def latest_weights(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def event_counts(events: DataFrame, width: str = "1 day", *, late: str = "10 minutes") -> DataFrame:
-    """Events per window and type; repeated ids and rows later than ``late`` drop out."""
+    """Events per window and type; repeated ids and rows later than ``late`` drop out.
+
+    Write it in update mode and read it with ``latest_counts``: a window is then there
+    from its first event on, also one that nothing closes any more.
+    """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))  # zone-less times are taken as session time
     return (
         timed.withWatermark("ts", late)
@@ -91,6 +112,12 @@ def event_counts(events: DataFrame, width: str = "1 day", *, late: str = "10 min
     )
 
 
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The last count that was written of every window and type."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("window_start", "event_type").agg(F.max_by("n", "batch_id").alias("n"))
+
+
 def inspect_payloads(payloads: DataFrame, *, text_col="text") -> DataFrame:
     """The batch inspection, unchanged, on a stream."""
     return redact.inspect(payloads, text_col=text_col)
