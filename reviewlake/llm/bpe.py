@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from struct import unpack
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,17 @@ class Vocabulary:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or data["decoder"] is not None:
             raise ValueError("another kind of vocabulary")
         self.ids = model["vocab"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        # a pair of ids, as one number, leads to its rank and the id it merges to
+        self.pairs = {
+            self.ids[a] << 32 | self.ids[b]: i << 32 | self.ids[a + b] for i, (a, b) in enumerate(model["merges"])
+        }
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.signs = byte_signs()
+        self.inner = [self.ids[c] for c in byte_signs()]
+        self.last = [self.ids[c + END] for c in byte_signs()]
+        size = max(self.names) + 1
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(size)]
+        self.name_bytes = [self.names.get(i, "").encode() for i in range(size)]
         # \s of the file's pattern is white space by property
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
@@ -75,29 +83,26 @@ class Vocabulary:
         return out
 
     def merge(self, piece: str) -> list[int]:
-        """The ids of one piece: the pair of the lowest rank is merged until none is left."""
+        """The ids of one piece: the leftmost pair of the lowest rank is merged until none is left."""
         if piece[:1] == "\0" and piece[1:] in self.special:
             return [self.special[piece[1:]]]
-        word = [self.signs[b] for b in piece.encode()]
-        word[-1] += END
-        ranks, far = self.ranks, len(self.ranks)
-        while len(word) > 1:
-            found = [ranks.get(p, far) for p in zip(word, word[1:])]
+        raw = piece.encode()
+        word = [self.inner[b] for b in raw[:-1]]
+        word.append(self.last[raw[-1]])
+        rank, none = self.pairs.get, 1 << 62
+        found = [rank(a << 32 | b, none) for a, b in zip(word, word[1:])]
+        while found:
             low = min(found)
-            if low == far:
+            if low == none:
                 break
-            out, i, n = [], 0, len(found)
-            while i < n:
-                if found[i] == low:
-                    out.append(word[i] + word[i + 1])
-                    i += 2
-                else:
-                    out.append(word[i])
-                    i += 1
-            if i == n:
-                out.append(word[n])
-            word = out
-        return [self.ids[s] for s in word if s in self.ids]
+            i = found.index(low)
+            word[i: i + 2] = [low & 0xFFFFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = rank(word[i - 1] << 32 | word[i], none)
+            if i < len(found):
+                found[i] = rank(word[i] << 32 | word[i + 1], none)
+        return word
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding of a vocabulary without decoder: names with a blank between."""
@@ -126,31 +131,38 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.met: dict[str, tuple[bytes, bytes]] = {}
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return ids_bytes(ids), self.vocabulary.decode(ids).encode()
-
-    def learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         if len(self.met) > REMEMBERED:
             self.met.clear()
         new = [p for p in pieces if p not in self.met]
         numbers = self.lexicon.numbers([p.encode() for p in new]).tolist() if self.lexicon else [-1] * len(new)
+        v, met = self.vocabulary, self.met
         for piece, number in zip(new, numbers):
             if number >= 0:
-                ids = np.frombuffer(self.lexicon.output(number), dtype="<u4").tolist()
+                raw = self.lexicon.output(number)
+                ids = unpack(f"<{len(raw) // 4}I", raw)
             else:
-                ids = self.vocabulary.merge(piece)
-            self.met[piece] = self._entry(ids)
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
-        pieces = self.vocabulary.parts(text)
-        try:
-            found = [self.met[p] for p in pieces]
-        except KeyError:
-            self.learn(set(pieces))
-            # a text of more pieces than are remembered still finds all its own
-            found = [self.met.get(p) or self._entry(self.vocabulary.merge(p)) for p in pieces]
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[0]])
+                ids = v.merge(piece)
+                raw = b"".join([v.id_bytes[i] for i in ids])
+            met[piece] = raw, b" ".join([v.name_bytes[i] for i in ids])
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """For each text its ids as little-endian 32-bit integers, and the decoding in UTF-8.
+
+        Texts are taken a few at a time, so that their new pieces are looked up together.
+        """
+        out, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            parts.append(self.vocabulary.parts(text or ""))
+            size += len(text or "")
+            if size > 2_000_000 or i == len(texts) - 1:
+                self._learn(set().union(*parts))
+                met = self.met
+                for pieces in parts:
+                    found = [met[p] for p in pieces]
+                    out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])))
+                parts, size = [], 0
+        return out
 
 
 def piece_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
@@ -202,11 +214,8 @@ def encode(
     def run(batches):
         encoder = Encoder(_vocabulary(vocabulary), _lexicon(lexicon))
         for batch in batches:
-            ids, decoded = [], []
-            for text in batch.column("text").to_pylist():
-                a, b = encoder.encode(text or "")
-                ids.append(a)
-                decoded.append(b)
+            found = encoder.encode(batch.column("text").to_pylist())
+            ids, decoded = [f[0] for f in found], [f[1] for f in found]
             sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
             columns = {
                 "id": batch.column("id"),

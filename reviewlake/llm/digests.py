@@ -33,7 +33,7 @@ def pack(entries: dict[bytes, int]) -> bytes:
 
 class DigestArray:
     def __init__(self, path: str):
-        raw = np.memmap(path, dtype=np.uint8, mode="r")
+        raw = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
         n = int(raw[:8].view("<i8")[0])
         self.keys, self.values, self.ends = (
             raw[8 + 8 * n * i: 8 + 8 * n * (i + 1)].view(kind) for i, kind in enumerate(("<u8", "<i8", "<i8"))

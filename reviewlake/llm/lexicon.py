@@ -59,7 +59,7 @@ def build(words: list[bytes], outputs: list[bytes]) -> bytes:
 
 class Lexicon:
     def __init__(self, path: str):
-        raw = np.memmap(path, dtype=np.uint8, mode="r")
+        raw = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
         self.root, states, arcs, words = raw[:32].view("<i8").tolist()
         place, parts = 32, []
         for n in (arcs, arcs, arcs, states, words):
