@@ -49,7 +49,7 @@ def diffs(spark, sf_dir):
 @query(
     "diff_split",
     f"""WITH {DIFF_SQL}, l AS (SELECT doc_id, {lines_sql('diff')} AS ls FROM diffs),
-      e AS (SELECT doc_id, i, ls[i] AS line FROM l, range(1, 1000000) r(i) WHERE i <= len(ls)),
+      e AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l),
       s AS (SELECT doc_id, i, line, sum(CASE WHEN starts_with(line, 'diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM e),
       g AS (SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY i) AS file_diff, arg_min(line, i) AS head FROM s GROUP BY doc_id, sec)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS BIGINT) AS file_no,

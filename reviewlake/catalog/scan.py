@@ -100,6 +100,19 @@ CASES = [
         [("def", "settle_fee", 1, None), ("txn", "", 3, None)],
         [(2, "settle_fee", 0, 0), (3, "settle_fee", 0, 0), (4, "settle_fee", 1, 0), (5, "settle_fee", 1, 0)],
     ),
+    Case(
+        "def deep_fee(account, a):\n    x = a * float(f(g(h(i(j(k(1)))))))\n    account.debit(f(g(h(i(j(k(1)))))))\n    with db.begin(f(g(h(i(j(k(1))))))):\n        requests.post(u)",
+        [(F1, 2, {"value": "float(...)", "op": "*"}), (F4, 3, {"name": "account.debit"}), (F3, 5, {"name": "requests.post"})],
+        [("def", "deep_fee", 1, None), ("txn", "", 4, None)],
+        [(2, "deep_fee", 0, 0), (3, "deep_fee", 0, 0), (4, "deep_fee", 0, 0), (5, "deep_fee", 1, 0)],
+    ),
+    Case(
+        "def one(total, account):\n    if ok: account.debit(5)\n    x = 1; account.withdraw(5); total = 2.5\n    log(f'{total * 0.5:.2f}')",
+        [(F4, 2, {"name": "account.debit"}), (F4, 3, {"name": "account.withdraw"}), (FA, 3, {"value": "2.5", "name": "total"}),
+         (F1, 4, {"value": "0.5", "op": "*"})],
+        [("def", "one", 1, None)],
+        [(2, "one", 0, 0), (3, "one", 0, 0), (4, "one", 0, 0)],
+    ),
 ]
 SNIPPETS = [c.code for c in CASES]
 _META = {r[0]: r for r in fv.RULES}
@@ -141,7 +154,7 @@ _BREAKS = f"string_split(source, chr(10))"
 @query(
     "lines",
     f"""WITH {_SRC_SQL}, l AS (SELECT file_id, CASE WHEN {_BREAKS}[-1] = '' THEN {_BREAKS}[1:len({_BREAKS}) - 1] ELSE {_BREAKS} END AS ls FROM src)
-    SELECT file_id, i AS line_no, ls[i] AS text FROM l, range(1, 1000000) r(i) WHERE i <= len(ls)""",
+    SELECT file_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS text FROM l""",
 )
 def lines(spark, sf_dir):
     return ln.explode_lines(sources(spark, sf_dir)).select("file_id", F.col("line_no").cast("bigint").alias("line_no"), "text")

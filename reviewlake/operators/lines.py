@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.text import fixed, rewrite_matches, split_lines
 
-# Comments and string literals of Python source.
+# Comments and string literals of Python source; the mark of an f-string belongs to it.
 LITERAL = (
-    r'(?s)""".*?"""|\'\'\'.*?\'\'\'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|#[^\n]*"
+    r'(?s)(?:\b(?:[fF][rR]?|[rR][fF]))?(?:""".*?"""|\'\'\'.*?\'\'\'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')|#[^\n]*"
 )
+# A replacement field of an f-string: its expression, then conversion and format.
+FIELD = r"\{([^{}:!]*(?:![=][^{}:!]*)*)([^{}]*)\}"
 
 DEF = r"^\s*(?:async\s+)?def\s+(\w+)"
-_PAREN = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+BRACKET = r"[()\[\]{}]"
+# The next three are matched where the inside of brackets is blank: see top_level.
 TRANSACTION = (
-    r"^\s*(?:async\s+)?with\b[\s\S]*?\b(?:" + "|".join(fv.TRANSACTION_NAMES) + r")\s*" + _PAREN + r"\s*(?:as\b|,|:)"
+    r"^\s*(?:async\s+)?with\b[\s\S]*?\b(?:" + "|".join(fv.TRANSACTION_NAMES) + r")\s*\( *\)\s*(?:as\b|,|:)"
+)
+GROUPED_WITH = r"^\s*(?:async\s+)?with\s*\( *\)\s*:"
+HEADER = (
+    r"^\s*(?:(?:async\s+)?(?:def|with|for)\b|(?:class|if|elif|while|match|case|except)\b|(?:else|try|finally)\s*(?=:))[^:;]*:(?!=)"
 )
 TRY = r"^\s*(?:try\s*:|except\b|finally\s*:)"
 ELSE = r"^\s*else\s*:"
@@ -37,11 +44,24 @@ def mask_literals(text: Column) -> Column:
     def spaces(x: Column) -> Column:
         return F.repeat(F.lit(" "), F.length(x))
 
+    def formatted(hit: Column) -> Column:
+        """Fields become brackets around their expression; everything else is blank."""
+        body = F.replace(F.replace(hit, F.lit("{{"), F.lit("  ")), F.lit("}}"), F.lit("  "))
+        lines = lambda x: F.regexp_replace(x, r"[^\n]", " ")
+        fields = F.zip_with(
+            F.regexp_extract_all(body, F.lit(FIELD), F.lit(1)), F.regexp_extract_all(body, F.lit(FIELD), F.lit(2)),
+            lambda e, f: F.concat(F.lit("("), e, lines(f), F.lit(")")),
+        )
+        return F.array_join(
+            F.zip_with(F.split(body, FIELD, -1), fields, lambda t, f: F.concat(lines(t), F.coalesce(f, F.lit("")))), ""
+        )
+
     def blank(hit: Column) -> Column:
         quote = F.substring(hit, 1, 1)
         long = F.array_join(F.transform(F.split(hit, "\n", -1), spaces), "\n")
         return (
             F.when(hit.startswith("#"), spaces(hit))
+            .when(hit.rlike("^[fFrR]"), formatted(hit))
             .when(
                 hit.startswith('"""') | hit.startswith("'''"),
                 F.concat(F.lit('""'), F.substr(long, F.lit(3))),
@@ -52,6 +72,57 @@ def mask_literals(text: Column) -> Column:
     return rewrite_matches(text, LITERAL, blank)
 
 
+def top_level(code: Column) -> Column:
+    """The code with all that stands inside brackets blank, however deep they nest; of the same length."""
+    marks = F.regexp_extract_all(code, F.lit(f"({BRACKET})"), F.lit(1))
+    pairs = F.zip_with(
+        F.split(code, BRACKET, -1), marks, lambda t, m: F.struct(t.alias("text"), F.coalesce(m, F.lit("")).alias("mark"))
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        depth, mark = state["depth"], x["mark"]
+        after = F.when(mark == "", depth).when(mark.isin("(", "[", "{"), depth + 1).otherwise(F.greatest(depth - 1, F.lit(0)))
+        return F.struct(
+            after.alias("depth"),
+            F.concat(
+                state["out"], F.when(depth == 0, x["text"]).otherwise(F.repeat(F.lit(" "), F.length(x["text"]))),
+                F.when((mark == "") | (F.least(depth, after) == 0), mark).otherwise(F.lit(" ")),
+            ).alias("out"),
+        )
+
+    return F.aggregate(pairs, start, step, lambda state: state["out"])
+
+
+def opens_transaction(code: Column) -> Column:
+    """A ``with`` one of whose items begins a transaction; items may stand in brackets."""
+    top = top_level(code)
+    inside = F.regexp_extract(code, r"with\s*\(([\s\S]*)\)\s*:", 1)
+    grouped = top.rlike(GROUPED_WITH) & top_level(F.concat(F.lit("with "), inside, F.lit(":"))).rlike(TRANSACTION)
+    return F.when(code.rlike(r"^\s*(?:async\s+)?with\b"), top.rlike(TRANSACTION) | grouped).otherwise(F.lit(False))
+
+
+def pieces(code: Column) -> Column:
+    """Simple statements of a logical one: what ``;`` and the colon of a one-line block part.
+
+    An array of (code, top, row): the piece, its ``top_level`` and the line it starts on,
+    from 0. The header of a block is no piece.
+    """
+    top = top_level(code)
+    head = F.length(F.regexp_extract(top, HEADER, 0))
+    segments = F.split(F.substr(top, head + 1), ";", -1)
+
+    def piece(segment: Column, i: Column) -> Column:
+        before = F.aggregate(F.slice(segments, F.lit(1), i), head, lambda n, x: n + F.length(x) + 1)
+        own = F.substr(code, before + 1, F.length(segment))
+        up_to = F.concat(F.substr(code, F.lit(1), before), F.regexp_extract(own, r"^\s*", 0))
+        return F.struct(
+            own.alias("code"), segment.alias("top"), F.length(F.regexp_replace(up_to, r"[^\n]", "")).alias("row")
+        )
+
+    return F.filter(F.transform(segments, piece), lambda p: p["top"].rlike(r"\S"))
+
+
 def explode_lines(files: DataFrame, *, source_col="source") -> DataFrame:
     """One row per line: ``line_no``, ``text``, masked ``code`` and ``indent``."""
     kept = [c for c in files.columns if c != source_col]
@@ -118,7 +189,7 @@ def statements(files: DataFrame, *, source_col="source") -> DataFrame:
     )
     c = F.col("code")
     kind = (
-        F.when(c.rlike(DEF), "def").when(c.rlike(TRANSACTION), "txn").when(c.rlike(TRY), "try")
+        F.when(c.rlike(DEF), "def").when(opens_transaction(c), "txn").when(c.rlike(TRY), "try")
         .when(c.rlike(ELSE), "else")
     )
     return out.withColumns({"kind": kind, "name": F.regexp_extract(c, DEF, 1)})
@@ -184,4 +255,5 @@ def in_block(files: DataFrame, *, source_col="source") -> DataFrame:
         F.max_by(F.when(kind == "def", F.col("_head.name")), F.when(kind == "def", F.col("_head.stmt"))).alias("function"),
         F.count_if(kind == "txn").alias("txn_depth"),
         F.count_if(kind == "try").alias("try_depth"),
+        F.bool_or(F.col("_kind").eqNullSafe("try")).alias("of_try"),
     )

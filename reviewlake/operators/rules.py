@@ -12,19 +12,23 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import contains_any, fixed
-from .lines import in_block
+from .lines import BRACKET, HEADER, in_block, pieces, top_level
 
 _FIN = "|".join(fv.FINANCIAL_KEYWORDS)
 _NOT_FIN = "|".join(fv.NON_FINANCIAL_TOKENS)
 FINANCIAL = rf"(?is)^(?!.*(?:{_NOT_FIN})).*(?:{_FIN})"
 
-_PAREN = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 _NUMBER = (
     r"(?<![\w.])(?:\d[\d_]*\.(?:\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?"
     r"|\d[\d_]*[eE][+-]?\d+)(?![\w.])"
 )
-_CAST = r"(?<![\w.])float\s*" + _PAREN
-FLOAT = f"(?:{_NUMBER}|{_CAST})"
+# Brackets are marked with a sign for their depth on the inside; the same sign then ends
+# what it began, so a match reaches to its own closing bracket at any depth.
+DEPTHS = "\ue000-\uf8ff"
+_CAST = rf"(?<![\w.])float\s*\(([{DEPTHS}])[\s\S]*?\1\)"
+_CAST_ARGS = rf"(?=(?<![\w.])float\s*(\(([{DEPTHS}])[\s\S]*?\2\)))"
+MAY_FLOAT = rf"(?:{_NUMBER}|(?<![\w.])float\s*\()"
+FLOAT = f"(?:{_NUMBER}|(?<![\\w.])float\\s*\\( *\\))"  # where the inside of brackets is blank
 
 # Marks put around floats; they cannot occur in source that parses.
 _L, _R, _NL, _SIGNED = "\u0002", "\u0003", "\u0004", "\u0005"
@@ -32,7 +36,7 @@ _WORDS = (
     r"\b(?:and|or|not|if|elif|else|return|in|is|for|while|await|yield|lambda|assert|del|raise"
     r"|from|import|with|as|except)\b"
 )
-_SIGN = rf"(?<![\w)\]\"'{_R}][ \t{_NL}]{{0,40}})[-+][ \t{_NL}]*{_L}[^{_R}]*{_R}(?![ \t{_NL}]*\^)"
+_SIGN = rf"(?<![\w)\]\"'{_R}][ {_NL}]{{0,2}})[-+][ \t{_NL}]*{_L}[^{_R}]*{_R}(?![ \t{_NL}]*\^)"
 _BUSY = rf"{_R}[ \t{_NL}]*[-+*/%^]|[-+*/%^][ \t{_NL}]*{_L}"  # a float beside an operator
 _INNER = rf"(?:[^()\[\]{_L}]|{_L}[^{_R}]*{_R})*"
 
@@ -60,15 +64,13 @@ TIERS = [(_segment("\\^"), _POWER), (_segment("\\^*/%"), _STRONG), (_segment("\\
 
 ASSIGN = (
     r"^\s*((?:[A-Za-z_]\w*\s*=\s*)*[A-Za-z_]\w*)\s*(?::[^=\n]+)?(?:=|\+=|-=|//=|\*\*=|\*=|/=|%=)\s*("
-    + FLOAT + r")\s*;?\s*$"
+    + FLOAT + r")\s*$"
 )
 _METHODS = "|".join(sorted(fv.NETWORK_METHODS, key=len, reverse=True))
 CALL_ON_NAME = rf"(?<![\w.)\]\"'])([A-Za-z_]\w*)\s*\.\s*({_METHODS})\s*\("
 CALL_ON_REQUEST = rf"\.\s*request\s*\.\s*({_METHODS})\s*\("
 BARE_CALL = rf"(?<![\w.)\]])(?<!def\s)({_METHODS})\s*\("
-LONE_CALL = (
-    rf"^\s*(?:await\s+)?((?:[\w.\s]|{_PAREN}|\[[^\[\]]*\])*?\.\s*)?(?:\b)([A-Za-z_]\w*)\s*{_PAREN}\s*;?\s*$"
-)
+LONE_CALL = r"^\s*(?:await\s+)?((?:[\w.\s]|\( *\)|\[ *\])*?\.\s*)?(?:\b)([A-Za-z_]\w*)\s*\( *\)\s*$"
 DECORATOR = r"^\s*@"
 ROUTE = r"^\s*@[\w.]*\.(post|put|patch|route)\s*\("
 PATH = r"""(?:\(|,|\b(?:path|rule)\s*=)\s*[rRuU]?["']([^"']*)["']"""
@@ -114,17 +116,56 @@ def _float_text(literal: Column) -> Column:
     return F.when(literal.startswith("float"), "float(...)").otherwise(number)
 
 
+def mark_depth(code: Column) -> Column:
+    """Put the sign of its depth inside every bracket."""
+    marks = F.regexp_extract_all(code, F.lit(f"({BRACKET})"), F.lit(1))
+    pairs = F.zip_with(
+        F.split(code, BRACKET, -1), marks, lambda t, m: F.struct(t.alias("text"), F.coalesce(m, F.lit("")).alias("mark"))
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    sign = lambda depth: F.decode(
+        F.unhex(F.hex(F.lit(0xE000) + F.pmod(depth, F.lit(0x1900)))), "UTF-16BE"
+    )
+
+    def step(state: Column, x: Column) -> Column:
+        depth, mark = state["depth"], x["mark"]
+        opens, closes = mark.isin("(", "[", "{"), mark.isin(")", "]", "}")
+        after = F.when(opens, depth + 1).when(closes, F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        return F.struct(
+            after.alias("depth"),
+            F.concat(
+                state["out"], x["text"],
+                F.when(opens, F.concat(mark, sign(depth))).when(closes, F.concat(sign(after), mark)).otherwise(mark),
+            ).alias("out"),
+        )
+
+    return F.aggregate(pairs, start, step, lambda state: state["out"])
+
+
 def mark_floats(stmts: DataFrame) -> DataFrame:
-    """Add the stretches of every statement that holds a float.
+    """Add the stretches of every statement that holds a float and may be financial.
 
-    The arguments of a cast are looked at once more, as they may compute too.
+    A stretch holds names of its statement only, so statements without a financial
+    name outside financial functions are left out. Of a signature only the body on
+    the same line counts. The arguments of a cast are looked at on their own, as
+    they may compute too.
     """
-    code = F.regexp_replace(F.col("code"), "\n", _NL)
-    code = F.regexp_replace(F.replace(code, F.lit("**"), F.lit("^")), _WORDS, ";")
-    marked = F.regexp_replace(code, f"({FLOAT})", f"{_L}$1{_R}")
-    inner = F.regexp_extract_all(code, F.lit(rf"(?<![\w.])float\s*({_PAREN})"), F.lit(1))
-    inner = F.transform(inner, lambda x: F.regexp_replace(x, f"({FLOAT})", f"{_L}$1{_R}"))
-    has = F.col("code").rlike(FLOAT) & (F.col("kind").isNull() | (F.col("kind") != "def"))
+    own, is_def = F.col("code"), F.coalesce(F.col("kind") == "def", F.lit(False))
+    head = F.regexp_extract(F.when(is_def, top_level(own)).otherwise(F.lit("")), HEADER, 0)
+    start = F.substr(own, F.lit(1), F.length(head))
+    body = F.concat(F.regexp_replace(start, r"[^\n]", " "), F.substr(own, F.length(head) + 1))
+    own = F.when(is_def & (head == ""), F.lit("")).when(is_def, body).otherwise(own)
+    code = F.regexp_replace(F.regexp_replace(own, r"[ \t\f]+", " "), "\n", _NL)
+    code = mark_depth(F.regexp_replace(F.replace(code, F.lit("**"), F.lit("^")), _WORDS, ";"))
+
+    def floats(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, f"{_CAST}|{_NUMBER}", f"{_L}$0{_R}"), f"[{DEPTHS}]", "")
+
+    marked = floats(code)
+    inner = F.transform(F.regexp_extract_all(code, F.lit(_CAST_ARGS), F.lit(1)), floats)
+    names = F.regexp_extract_all("code", F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
+    financial = is_financial(F.when(is_def, F.col("name")).otherwise(F.col("function"))) | F.exists(names, is_financial)
+    has = F.col("code").rlike(MAY_FLOAT) & financial
     out = fixed(
         stmts,
         _texts=F.when(
@@ -165,7 +206,7 @@ def mark_floats(stmts: DataFrame) -> DataFrame:
 
 
 def _rule_float(s: dict[str, Column]) -> Column:
-    fin_function = is_financial(s["function"])
+    fin_function = is_financial(F.when(s["kind"].eqNullSafe("def"), s["name"]).otherwise(s["function"]))
     names = lambda scope: F.regexp_extract_all(
         scope, F.lit(rf"(?<![\w.{_L}])([A-Za-z_]\w*)"), F.lit(1)
     )
@@ -179,24 +220,34 @@ def _rule_float(s: dict[str, Column]) -> Column:
         return F.array_repeat(one, o["n"])
 
     operations = F.flatten(F.transform(hits, expand))
-    flat = F.regexp_replace(s["code"], "\n", " ")
-    targets = F.split(F.regexp_replace(F.regexp_extract(flat, ASSIGN, 1), r"\s", ""), "=", -1)
-    assigned = flat.rlike(ASSIGN) & (fin_function | F.exists(targets, is_financial))
-    assignment = _finding(
-        "AST-FIN-001", s["line_start"], s["line_end"], s["parts"][0]["text"], "AST-FIN-001-ASSIGN",
-        value=_float_text(F.regexp_extract(flat, ASSIGN, 2)), name=F.array_join(targets, ", "),
+    targets = lambda p: F.split(
+        F.regexp_replace(F.regexp_extract(p["top"], ASSIGN, 1), r"\s", ""), "=", -1
     )
-    return F.concat(operations, F.when(assigned, F.array(assignment)).otherwise(F.array().cast(_ARRAY)))
+    may = s["code"].rlike(rf"=\s*{MAY_FLOAT}")
+    assigned = F.filter(
+        F.when(may, s["pieces"]).otherwise(F.array().cast(_PIECES)),
+        lambda p: p["top"].rlike(ASSIGN) & (fin_function | F.exists(targets(p), is_financial)),
+    )
+
+    def assignment(p: Column) -> Column:
+        part = F.get(s["parts"], p["row"])
+        return _finding(
+            "AST-FIN-001", part["line_no"], s["line_end"], part["text"], "AST-FIN-001-ASSIGN",
+            value=_float_text(F.regexp_extract(p["top"], ASSIGN, 2)), name=F.array_join(targets(p), ", "),
+        )
+
+    return F.concat(operations, F.transform(assigned, assignment))
 
 
 def _rule_idempotency(s: dict[str, Column]) -> Column:
     flat = F.regexp_replace(s["code"], "\n", " ")
-    args = F.regexp_extract(flat, r"def\s+\w+\s*(\(.*\))", 1)
-    # Take nested brackets out, so only parameter names are left before : = , )
-    inside = F.concat(F.lit("("), F.substr(args, F.lit(2)))
-    for _ in range(3):
-        inside = F.regexp_replace(inside, r"(?<=.)\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}", "")
-    guarded = inside.rlike(GUARD_NAME)
+    top = F.when((s["kind"] == "def") & s["route.group"].isNotNull(), top_level(flat))
+    # the parameters stand in the first brackets; with what nests in them blank, only
+    # names are left before : = , and those before a lone / cannot be named by a caller
+    start = F.length(F.regexp_extract(top, r"^[^(]*\(", 0))
+    args = F.substr(flat, start + 1, F.length(F.regexp_extract(top, r"^[^(]*\( *", 0)) - start)
+    inside = F.concat(F.lit("("), top_level(args), F.lit(")"))
+    guarded = F.regexp_replace(inside, r"^\(.*,\s*/\s*(?=[,)])", "(").rlike(GUARD_NAME)
     hit = (s["kind"] == "def") & (s["route.group"] == s["group"]) & ~guarded
     one = _finding(
         "AST-FIN-002", s["line_start"], F.coalesce(s["block_end"], s["line_end"]), s["parts"][0]["text"],
@@ -235,28 +286,39 @@ def _rule_network(s: dict[str, Column]) -> Column:
 
 
 def _rule_debit(s: dict[str, Column]) -> Column:
-    flat = F.regexp_replace(s["code"], "\n", " ")
-    method = F.regexp_extract(flat, LONE_CALL, 2)
-    receiver = F.regexp_replace(F.regexp_extract(flat, LONE_CALL, 1), r"\s", "")
-    owner = F.regexp_extract(receiver, r"(\w+)\.$", 1)
-    name = (
-        F.when(receiver == "", method)
-        .when(owner == "", F.concat(F.lit("obj."), method))
-        .otherwise(F.concat_ws(".", owner, method))
+    method = lambda p: F.regexp_extract(p["top"], LONE_CALL, 2)
+    may = contains_any(F.lower(s["code"]), fv.DEBIT_NAMES) & (s["try_depth"] == 0) & ~s["of_try"]
+    hits = F.filter(
+        F.when(may, s["pieces"]).otherwise(F.array().cast(_PIECES)), lambda p: F.lower(method(p)).isin(fv.DEBIT_NAMES)
     )
-    hit = flat.rlike(LONE_CALL) & F.lower(method).isin(fv.DEBIT_NAMES) & (s["try_depth"] == 0)
-    one = _finding("AST-FIN-004", s["line_start"], s["line_end"], s["parts"][0]["text"], name=name)
-    return F.when(hit, F.array(one)).otherwise(F.array().cast(_ARRAY))
+
+    def one(p: Column) -> Column:
+        part = F.get(s["parts"], p["row"])
+        receiver = F.regexp_replace(F.regexp_extract(p["top"], LONE_CALL, 1), r"\s", "")
+        owner = F.regexp_extract(receiver, r"(\w+)\.$", 1)
+        name = (
+            F.when(receiver == "", method(p))
+            .when(owner == "", F.concat(F.lit("obj."), method(p)))
+            .otherwise(F.concat_ws(".", owner, method(p)))
+        )
+        return _finding("AST-FIN-004", part["line_no"], s["line_end"], part["text"], name=name)
+
+    return F.transform(hits, one)
 
 
+_PIECES = "array<struct<code:string,top:string,row:int>>"
 _ARRAY = (
     "array<struct<rule_id:string,line_start:int,line_end:int,message:string,suggested_fix:string,line_text:string>>"
 )
 
 
 def worth_scanning(source: Column) -> Column:
-    """Every finding needs a call or a number with a fraction or an exponent."""
-    return source.contains("(") | source.rlike(r"\d[.eE]|\.\d")
+    """What the findings of each rule need somewhere in the file."""
+    low = F.lower(source)
+    floats = source.rlike(r"\d[.eE]|\.\d|float\s*\(") & contains_any(low, fv.FINANCIAL_KEYWORDS)
+    route = source.contains("@") & contains_any(low, fv.PAYMENT_SEGMENTS)
+    network = contains_any(source, fv.TRANSACTION_NAMES) & contains_any(source, fv.NETWORK_METHODS)
+    return floats | route | network | contains_any(low, fv.DEBIT_NAMES)
 
 
 def routes(stmts: DataFrame) -> DataFrame:
@@ -285,6 +347,8 @@ def find(files: DataFrame, *, source_col="source", marker: str = fv.SUPPRESS_MAR
     """All findings of a table of files (``file_id``, source), without suppressed ones."""
     worth = files.where(worth_scanning(F.col(source_col)))
     stmts = mark_floats(routes(in_block(worth, source_col=source_col)))
+    parted = F.col("code").rlike(MAY_FLOAT) | contains_any(F.lower("code"), fv.DEBIT_NAMES)
+    stmts = fixed(stmts, pieces=F.when(parted, pieces(F.col("code"))))
     s = {c: F.col(c) for c in stmts.columns} | {
         "route.group": F.col("route.group"), "route.path": F.col("route.path"),
         "block_end": F.lit(None).cast("int"),

@@ -67,3 +67,44 @@ def test_thousand_lines(spark):
     )
     files = spark.createDataFrame([(1, code)], "file_id long, source string")
     assert rules.find(files).count() == 0
+
+
+DEEP = "f(g(h(i(j(1)))))"
+LOST = {
+    "deep_cast": (f"def fee(a):\n    return a * float({DEEP})\n", [("001", 2)]),
+    "cast_in_cast": ("def fee(a):\n    return float(b(float(a * 0.5)))\n", [("001", 2)]),
+    "deep_debit": (f"account.debit({DEEP})\n", [("004", 1)]),
+    "deep_txn": (f"with db.begin({DEEP}):\n    requests.post(u)\n", [("003", 2)]),
+    "grouped_with": ("with (open(p) as f, db.begin() as s):\n    requests.post(u)\n", [("003", 2)]),
+    "no_txn_inside": ("with wrap(db.begin()):\n    requests.post(u)\n", []),
+    "one_line_if": ("if ok: account.debit(5)\n", [("004", 1)]),
+    "one_line_checked": ("if account.debit(5): pass\n", []),
+    "semicolon": ("x = 1; account.debit(5); total = 1.5\n", [("001", 1), ("004", 1)]),
+    "one_line_def": ("def calc_fee(a): b = 0.5; return a * 0.5\n", [("001", 1), ("001", 1)]),
+    "one_line_try": ("try: account.debit(5)\nexcept E: deduct(2)\nelse: deduct(1)\n", []),
+    "one_line_else": ("if a:\n    pass\nelse: deduct(1)\n", [("004", 3)]),
+    "split_call": ("x = 1; account.debit(\n    5,\n    (6, [7]))\n", [("004", 1)]),
+    "fstring": ("s = f'{balance * 0.5:.2f} and {{total * 1.5}}'\n", [("001", 1)]),
+    "fstring_long": ('s = f"""\na {x}\nb {price + 0.25!r}\n"""\n', [("001", 3)]),
+    "plain_string": ("s = '{balance * 0.5}'\n", []),
+    "positional_guard": ('@app.post("/pay")\ndef pay(idempotency_key, /, a):\n    pass\n', [("002", 2)]),
+    "keyword_guard": ('@app.post("/pay")\ndef pay(a, /, *, idempotency_key=f(g(h(i(1)))) / 2):\n    pass\n', []),
+    "guard_in_default": ('@app.post("/pay")\ndef pay(a=Depends(f(g(h(idempotent))))):\n    pass\n', [("002", 2)]),
+    "far_sign": ("def fee(a):\n    x =" + " " * 90 + "-0.5 * a\n    return b(" + " " * 90 + "-0.5)\n", []),
+    "dict_colon": ("x = {'a': account.debit(5)}\n", []),
+    "lambda_colon": ("y = lambda a: account.debit(a)\n", []),
+}
+
+
+@pytest.fixture(scope="module")
+def once_lost(spark):
+    files = spark.createDataFrame([(k, v[0]) for k, v in LOST.items()], "file_id string, source string")
+    by_file = {k: [] for k in LOST}
+    for r in rules.find(files).collect():
+        by_file[r["file_id"]].append((r["rule_id"][-3:], r["line_start"]))
+    return by_file
+
+
+@pytest.mark.parametrize("name", sorted(LOST))
+def test_nested_and_one_line_statements(once_lost, name):
+    assert sorted(once_lost[name]) == sorted(LOST[name][1])
