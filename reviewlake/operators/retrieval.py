@@ -198,36 +198,57 @@ def _grid(q: DataFrame, c: DataFrame, keys: list[str], cells: dict[str, Column],
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(score, MATCH_SCHEMA)
 
 
+BUCKET_ROWS = 64
+PLANE_STEP = 0.7390851
+
+
+def planes(dim: int, n: int) -> np.ndarray:
+    """``n`` fixed directions (columns), from sines of growing squares."""
+    j, i = np.meshgrid(np.arange(n), np.arange(dim))
+    return np.sin((j * dim + i + 1.0) ** 2 * PLANE_STEP)
+
+
 def ann_topk(
     queries: DataFrame, corpus: DataFrame, *, dim: int, k: int = fv.TOP_K, min_sim: float,
     query_id: str = "query_id", item_id: str = "item_id", vec: str = "vec",
-    tables: int = 12, bits: int = 6, seed: int = 7,
+    tables: int = 12, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Approximate top-k: only items that share a random-projection bucket are scored.
 
-    The scores are exact. There are at most ``tables`` * 2**``bits`` buckets; a
-    bucket that holds many rows is cut into blocks, so copies do not pile up.
+    The scores are exact. A bucket is named by the sides of a few planes; their number
+    grows with the logarithm of the items, so that a bucket keeps about ``bucket_rows``
+    items and the pairs that are scored grow with the rows. A query also looks into the
+    bucket beyond its nearest plane. A bucket of many copies is cut into blocks.
     """
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    weights = 1 << np.arange(bits)
+    bits = max(1, int(np.ceil(np.log2(max(corpus.count(), 1) / bucket_rows))))
+    normals, weights = planes(dim, tables * bits), 1 << np.arange(bits, dtype=np.int64)
 
     def sign_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            side = (_unit(list(batch["vec"]), dim) @ planes > 0).reshape(len(batch), tables, bits)
-            batch["buckets"] = list((side * weights).sum(axis=2).astype("int32"))
+            side = (_unit(list(batch["vec"]), dim) @ normals).reshape(len(batch), tables, bits)
+            own = ((side > 0) * weights).sum(axis=2)
+            batch["own"] = list(own)
+            batch["beyond"] = list(own ^ weights[np.abs(side).argmin(axis=2)])
             yield batch
 
-    def signed(df, id_col):
+    def signed(df, id_col, buckets):
         rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-        out = rows.mapInPandas(sign_rows, "id string, vec array<double>, buckets array<int>")
-        return out.select("id", "vec", F.posexplode("buckets").alias("_t", "_h"))
+        out = rows.mapInPandas(sign_rows, "id string, vec array<double>, own array<bigint>, beyond array<bigint>")
+        parts = [out.select("id", "vec", F.posexplode(b).alias("_t", "_h")) for b in buckets]
+        return parts[0] if len(parts) == 1 else out.select(
+            "id", "vec", F.inline(F.flatten(F.zip_with(
+                F.transform("own", lambda h, t: F.struct(t.alias("_t"), h.alias("_h"))),
+                F.transform("beyond", lambda h, t: F.struct(t.alias("_t"), h.alias("_h"))),
+                lambda x, y: F.array(x, y),
+            ))),
+        )
 
-    q, c = signed(queries, query_id), signed(corpus, item_id)
+    q, c = signed(queries, query_id, ["own", "beyond"]), signed(corpus, item_id, ["own"])
     keys = ["_t", "_h"]
     blocks = lambda df, name: df.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name)
     )
-    sizes = F.broadcast(blocks(q, "_na").join(blocks(c, "_nb"), keys))
+    sizes = blocks(q, "_na").join(blocks(c, "_nb"), keys)
     cells = {"_a": F.col("_na"), "_b": F.col("_nb")}
     found = _grid(q.join(sizes, keys), c.join(sizes, keys), keys, cells, dim, k, min_sim)
     return rank_matches(found.groupBy("query_id", "item_id").agg(F.max("sim").alias("sim")), k)
