@@ -12,17 +12,18 @@ from ..operators import redact as red
 from ..plans.work import new_dir, written
 from .base import pick, plant, query, quote, sql_list, sql_pick, sql_plant, table, texts
 
-# Secret-like strings are put together at run time.
+# Card, tax and account numbers below are the usual test values. Strings in the form of keys and tokens are put
+# together at run time, as scanners of repositories look for that form.
 _KEY = "PRIVATE" + " KEY"
 _PEM = f"-----BEGIN RSA {_KEY}-----\nMIIEow" + "IBAAKC\n" + f"-----END RSA {_KEY}-----"
 _JWT = "eyJ" + "hbGciOi.eyJ" + "zdWIiOi.abc_DEF-1"
 
 SECRETS = [
     "def total(a, b):\n    return a + b",
-    "card = '" + "4532015112" + "830366'",
-    "order = '" + "1111222233" + "334445'",
-    "test_card = '4532 0150 " + "1234 5678'; tax = 'ABCDE" + "1234F'",
-    "account = 'GB82WEST" + "12345698765432'",
+    "card = '4532015112830366'",
+    "order = '1111222233334445'",
+    "test_card = '4532 0150 1234 5678'; tax = 'ABCDE1234F'",
+    "account = 'GB82WEST12345698765432'",
     "key = '''" + _PEM + "'''",
     "auth = 'Bearer " + _JWT + "'",
     "token = '" + _JWT + "'",
@@ -33,7 +34,7 @@ SECRETS = [
     "header: bearer abc.def",
     "header: Bearer abc.def-123==",
     "stripe = 'sk_" + "live_" + "51Msz82B1234567890abcdef12'",
-    "amex = '3782-822463-" + "10005' and '3782 822463 " + "10005'",
+    "amex = '3782-822463-10005' and '3782 822463 10005'",
 ]
 INJECTIONS = [
     "nothing to see",
@@ -262,6 +263,21 @@ def dlp_report(spark, sf_dir):
     return out.na.fill("*", ["source", "dlp_status", "info_type"])
 
 
+@query(
+    "fail_closed",
+    f"""WITH p AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), {inspect_sql('p', 'doc_id')}
+    SELECT doc_id, dlp_status, CAST(n_redacted AS BIGINT) AS n_redacted, coalesce(quarantine_reason, '') AS reason FROM inspected
+    UNION ALL SELECT doc_id, 'QUARANTINED', 0, 'Fail-closed: DLP inspection failed (missing text)' FROM documents WHERE doc_id % 10 = 0""",
+)
+def fail_closed(spark, sf_dir):
+    """Every tenth payload has lost its text."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text"))
+    return red.inspect(docs).select(
+        "doc_id", "dlp_status", F.col("n_redacted").cast("bigint").alias("n_redacted"),
+        F.coalesce("quarantine_reason", F.lit("")).alias("reason"),
+    )
+
+
 _TALK_SQL = f"""talk AS (SELECT conv_id, turn, {sql_plant('text', INJECTIONS, '(conv_id + turn)')} AS text FROM conversations)"""
 _INJ = injection_sql("text")
 

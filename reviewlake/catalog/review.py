@@ -13,6 +13,7 @@ from ..operators import scoring as sc
 from ..plans.review import review
 from ..plans.work import new_dir
 from ..sources.files import decode_source
+from ..sources.files import scan_sources as scan_files_below
 from ..sources.findings_json import extract_findings
 from . import feedback as fb
 from . import scan as sn
@@ -42,7 +43,7 @@ def sessions_build(spark, sf_dir):
         "'dev-' || (doc_id % 40) AS author_id", "'U-' || (doc_id % 30) AS user_id",
         "CASE WHEN doc_id % 5 = 0 THEN 'go' ELSE 'python' END AS language", "TIMESTAMP '2024-01-01' AS created_at",
     ).withColumn("diff", df_.as_added(F.lit("src/m.py"), F.col("source"))).drop("source")
-    return review(payloads, work_path=new_dir(spark, "inspected")).sessions.drop("commit_sha", "created_at")
+    return review(payloads, work_path=new_dir(spark, "inspected")).sessions.drop("commit_sha", "created_at", "execution_duration_ms")
 
 
 _ITEM = {
@@ -131,6 +132,17 @@ def scan_sources(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", decode_source(raw).alias("source"))
 
 
+@query("scan_files", "SELECT sum(length(text) + 1)::BIGINT AS n_chars, 0::BIGINT AS n_errors FROM documents")
+def scan_files(spark, sf_dir):
+    """All documents written as text files, then read back as binary source files."""
+    at = new_dir(spark, "files")
+    table(spark, sf_dir, "documents").select(F.replace("text", F.lit("\r"), F.lit(" "))).write.text(at)
+    files = scan_files_below(spark, at, glob="part-*")
+    return files.agg(
+        F.sum(F.length("source")).alias("n_chars"), F.count_if(F.col("error").isNotNull()).alias("n_errors")
+    )
+
+
 _PROMPT_LANGS = ["python", "go", "Java", "other"]
 _MESSAGES = ["too toxic", "low quality"]
 

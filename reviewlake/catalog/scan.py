@@ -238,6 +238,21 @@ def findings_view(spark, sf_dir):
     )
 
 
+@query(
+    "scan_records",
+    f"""WITH {_WANT_SQL}, r AS (SELECT * FROM {_values([(x[0], x[2], x[3]) for x in fv.RULES], 'rule_id, severity, category')})
+    SELECT file_id, severity, CASE WHEN category IN ({', '.join(quote(c) for c in fv.CATEGORIES)}) THEN category ELSE 'AST_SYNTAX' END AS category, 'app/main.py' AS file_path,
+      line_start, line_start + 2 AS line_to, message AS summary FROM findings JOIN r USING (rule_id)""",
+)
+def scan_records(spark, sf_dir):
+    """The scan's findings as finding records."""
+    out = tg.scan_to_findings(rl.find(sources(spark, sf_dir)))
+    return out.select(
+        "file_id", "severity", "category", "file_path", F.col("line_range")[0].alias("line_start"),
+        F.col("line_range")[1].alias("line_to"), "summary",
+    )
+
+
 NAMES = ["account", "discount", "percent", "recent", "generate", "Total_Fee", "items", "x", "latency_rate", "netting", ""]
 
 

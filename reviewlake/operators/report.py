@@ -118,21 +118,17 @@ def build_prompts(
 
 
 def export_report(
-    rated: DataFrame, findings: DataFrame, *, key="payload_id", fields=("score", "grade")
+    rated: DataFrame, findings: DataFrame, *, key="payload_id", fields=("score", "grade"), part_rows=REPORT_PART_ROWS
 ) -> DataFrame:
     """Nested JSON per payload: its rating and its findings.
 
     ``fields`` names the columns of ``rated`` to show; with a review rollup and
     its latency, fired rules and status this is the findings-and-stats export.
-    A payload with very many findings is written in parts of about a thousand,
-    so no list grows without bound. ``finding_no`` orders the findings.
+    A report of any size is written in the same form: part p holds the findings
+    whose number divided by ``part_rows`` is p, in order, so no list grows without bound
+    and the parts follow each other.
     """
-    sizes = findings.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / REPORT_PART_ROWS).cast("int").alias("_parts")
-    )
-    placed = findings.join(sizes.where("_parts > 1"), key, "left").withColumn(
-        "part", F.pmod(F.xxhash64("finding_no"), F.coalesce("_parts", F.lit(1))).cast("int")
-    )
+    placed = findings.withColumn("part", F.floor(F.col("finding_no") / part_rows).cast("int"))
     body = F.struct("finding_no", "severity", "category")
     lists = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(body)).alias("findings"))
     empty = F.array().cast("array<struct<finding_no:int,severity:string,category:string>>")

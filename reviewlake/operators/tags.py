@@ -34,15 +34,22 @@ def tag_risks(payloads: DataFrame, *, key="payload_id", text_col="sanitized", fi
     tags = fv.RISK_TAGS if tags is None else tags
     low = fixed(payloads.select(key, text_col), _low=F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     cells = [F.when(_hit(F.col("_low"), t), _cell(t)) for t in [*tags, fv.SQL_INJECTION_TAG]]
-    rows = low.select(key, F.inline(F.array_compact(F.array(*cells))))
+    rows = fixed(low, _cells=F.array_compact(F.array(*cells))).select(key, "_cells").where(F.size("_cells") > 0)
     if findings is None:
-        return rows
-    sql = F.col("summary") == fv.SQL_INJECTION_TAG[2]
-    have = findings.select(key, "category").distinct()
-    have_sql = findings.where(F.col("summary").contains(fv.SQL_INJECTION_WORDS)).select(key).distinct()
-    return rows.where(~sql).join(have, [key, "category"], "left_anti").select(*rows.columns).unionByName(
-        rows.where(sql).join(have_sql, key, "left_anti")
+        return rows.select(key, F.inline("_cells"))
+    # one row a payload: the few categories it has, and whether a summary names the injection
+    have = findings.groupBy(key).agg(
+        F.collect_set("category").alias("_have"),
+        F.bool_or(F.col("summary").contains(fv.SQL_INJECTION_WORDS)).alias("_sql"),
     )
+    joined = rows.join(have, key, "left")
+    categories = F.coalesce("_have", F.array().cast("array<string>"))
+    fresh = F.filter(
+        "_cells",
+        lambda c: F.when(c["summary"] == fv.SQL_INJECTION_TAG[2], ~F.coalesce("_sql", F.lit(False)))
+        .otherwise(~F.array_contains(categories, c["category"])),
+    )
+    return joined.select(key, F.inline(fresh))
 
 
 def scan_to_findings(findings: DataFrame, *, key="file_id", path: Column | None = None) -> DataFrame:

@@ -36,8 +36,8 @@ def review(
     list and so the full score.
 
     The inspected payloads feed the scan, the retrieval and the sessions. With
-    ``work_path`` they are written there once and read back; without it Spark
-    inspects them again for each of these that is read.
+    ``work_path`` they, and beside them the findings, are written there once and read
+    back; without it Spark inspects them again for each of these that is read.
     """
     seen = redact.inspect(payloads, text_col="diff")
     given = F.nullif(F.col("language"), F.lit(""))
@@ -50,16 +50,19 @@ def review(
     )
     source = diffs.to_source(python).where(~F.col("is_empty")).select("file_id", "source")
     found = rules.find(source).withColumnRenamed("file_id", "payload_id")
+    if work_path is not None:
+        found = written(found, f"{work_path}-findings")
     ratings = scoring.rate(seen.select("payload_id"), found)
     return Review(seen, found, ratings, session_rows(seen, ratings), *_retrieve(accepted, incidents))
 
 
 def session_rows(inspected: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Rows for the session table."""
+    """Rows for the session table; how long a review took comes with the payload, if at all."""
+    took = F.col("execution_duration_ms") if "execution_duration_ms" in inspected.columns else F.lit(None)
     n = sum((F.col(c) for c in scoring.COUNTS), F.lit(0))
     slim = inspected.select(
         "payload_id", "repo_name", "commit_sha", "author_id", "integrity_hash", "dlp_status", "user_id",
-        "language", "created_at",
+        "language", "created_at", took.cast("bigint").alias("execution_duration_ms"),
     )
     return slim.join(ratings, "payload_id").select(
         F.col("payload_id").alias("id"),
@@ -73,6 +76,7 @@ def session_rows(inspected: DataFrame, ratings: DataFrame) -> DataFrame:
         F.col("score").alias("quality_score"),
         F.coalesce("user_id", F.lit(fv.DEFAULT_USER)).alias("user_id"),
         "language",
+        "execution_duration_ms",
         "created_at",
     )
 

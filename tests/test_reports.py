@@ -27,8 +27,7 @@ def test_tags_skip_categories_that_are_there(spark):
     assert got == [(3, "Untrusted"), (4, "PCI-DSS R")]
 
 
-def test_exports(spark, monkeypatch):
-    monkeypatch.setattr(report, "REPORT_PART_ROWS", 10)
+def test_exports(spark):
     files = spark.createDataFrame(
         [(1, 1, 95, 1.5, 2, "REDACTED"), (1, 2, 0, 0.5, 0, "CLEAN"), (2, 1, 0, 1.0, 0, "CLEAN")],
         "review_id int, file_no int, n_findings int, latency_ms double, rules_fired int, dlp_status string",
@@ -37,12 +36,13 @@ def test_exports(spark, monkeypatch):
         [(1, n, "HIGH", "IDEMPOTENCY") for n in range(95)], "review_id int, finding_no int, severity string, category string"
     )
     out = report.export_report(
-        scoring.rollup_reviews(files), found, key="review_id", fields=("latency_ms", "rules_fired", "dlp_status")
+        scoring.rollup_reviews(files), found, key="review_id", fields=("latency_ms", "rules_fired", "dlp_status"), part_rows=10
     ).collect()
     docs = [json.loads(r["report"]) for r in out]
     first = [d for d in docs if d["review_id"] == 1]
-    assert len(first) > 1 and all(len(d["findings"]) < 40 for d in first)
-    assert sorted(f["finding_no"] for d in first for f in d["findings"]) == list(range(95))
+    assert len(first) == 10 and all(len(d["findings"]) <= 10 for d in first)
+    in_order = sorted(first, key=lambda d: d["part"])
+    assert [f["finding_no"] for d in in_order for f in d["findings"]] == list(range(95))
     assert first[0]["dlp_status"] == "REDACTED" and first[0]["latency_ms"] == 2.0
     assert [d["findings"] for d in docs if d["review_id"] == 2] == [[]]
 
