@@ -64,3 +64,14 @@ def test_rolling_and_positions_of_a_hot_user(spark):
             r = got[user, k]
             assert r["id"] == sid
             assert r["rolling_score"] == (2 * sum(part) + len(part)) // (2 * len(part)) / 10
+
+
+def test_exact_median(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    for values in ([5.0], [1.0, 2.0], [7.0] * 9, [rng.lognormvariate(3, 3) for _ in range(5000)], [0.0, 1e-9, 2e-9, 1e12, 3e12] * 3):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert growth.median(df, "v") == statistics.median(values)
+    assert growth.median(spark.createDataFrame([], "v double"), "v") is None

@@ -106,3 +106,11 @@ def test_hunks_find_their_place(spark):
     p = spark.createDataFrame([(i, h) for i, h, *_ in cases], "file_id int, patch string")
     got = {r["file_id"]: (r["status"], r["position"]) for r in diffs.match_hunks(f, p).collect()}
     assert got == {i: (s, at) for i, _, s, at in cases}
+
+
+def test_repeated_history_ids_make_no_more_rows(spark):
+    from reviewlake.sources import history
+
+    lines = spark.createDataFrame([("7, race, first text",), ("7, race, second text",)], "value string")
+    got = history.history_incidents(history.parse_history(lines)).collect()
+    assert sorted(r["description"] for r in got) == ["first text", "second text"]

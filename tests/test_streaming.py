@@ -83,3 +83,48 @@ def test_inspection_is_the_batch_inspection(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(src)
     jobs.write_batches(jobs.inspect_payloads(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(jobs.read_batches(spark, str(tmp_path / "out")).collect()) == sorted(redact.inspect(rows).collect())
+
+
+def test_rules_of_later_batches_and_rules_in_no_table(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    row = lambda i, rule, kind=KINDS[0]: json.dumps({"id": i, "event_type": kind, "rule_id": rule, "timestamp": "2024-01-01T00:00:00"})
+    table = lambda *names: spark.createDataFrame([(n, 2.0) for n in names], "rule_id string, current_weight double")
+
+    def run(rules):
+        good, _ = events.split_events(events.read_event_stream(spark, str(src)))
+        jobs.fold_weights(good, rules, str(tmp_path / "w"), str(tmp_path / "cp")).awaitTermination()
+        return {r["rule_id"]: (r["current_weight"], r["known"]) for r in jobs.latest_weights(spark, str(tmp_path / "w")).collect()}
+
+    (src / "1.json").write_text("\n".join([row("a", "A"), row("b", "B"), row("c", "C")]))
+    first = run(table("A"))
+    assert first["A"][0] != 2.0 and first["A"][1] and not first["B"][1] and not first["C"][1]
+    (src / "2.json").write_text(row("d", "B"))
+    second = run(table("A", "B", "D"))
+    assert second["A"] == first["A"] and second["C"] == first["C"]
+    assert second["B"] == first["A"] and second["D"] == (2.0, True)  # B starts with its own weight
+
+
+def test_open_windows_are_read_from_updates(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    schema = "id string, event_type string, ts timestamp"
+    row = lambda i, t: json.dumps({"id": i, "event_type": KINDS[0], "ts": t})
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+        jobs.write_batches(jobs.event_counts(stream), str(tmp_path / "out"), str(tmp_path / "cp"), mode="update").awaitTermination()
+        return {r["window_start"].day: r["n"] for r in jobs.latest_counts(spark, str(tmp_path / "out")).collect()}
+
+    (src / "1.json").write_text("\n".join([row("a", "2024-01-01T01:00:00"), row("b", "2024-01-01T02:00:00")]))
+    assert run() == {1: 2}
+    (src / "2.json").write_text("\n".join([row("c", "2024-01-01T02:05:00"), row("d", "2024-01-02T00:00:00")]))
+    assert run() == {1: 3, 2: 1}
+
+
+def test_events_without_time_or_id_stay_apart(spark):
+    import pyspark.sql.functions as F
+
+    lines = spark.createDataFrame([('{"event_type": "DEV_ACCEPTED_PATCH", "rule_id": "R"}',)] * 2, "value string")
+    got = events.parse_events(lines, arrived=F.lit("2024-05-01 00:00:00").cast("timestamp")).collect()
+    assert len({r["id"] for r in got}) == 2 and all(r["ts"].month == 5 for r in got)
