@@ -14,9 +14,11 @@ nodes are one. Their full shingle sets are read again from the texts and compare
 exactly; a group yields a link of each member to the first of its component, so
 the links grow with the members, not with the pairs.
 
-Nodes that are still too large at the last level hold many alike texts. Their
-members that are not yet in the node's main component are compared with all
-others, in blocks, so no link between components is lost.
+Texts that merely share a passage part soon: their nodes shrink at every level. A
+large node that keeps more than half of its parent holds many alike texts, which
+branching would only repeat. Once the other nodes are done, its members that are
+not yet in the node's main component are compared with all others, in blocks, so
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,57 +34,61 @@ from .components import components
 from .shingles import digest, groups_of, labels_of, mix, shingle_set, signature
 
 SIZE = 64
-SIGN = f"n_shingles bigint, digest binary, signature binary"
 
 
-def _sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+def _children(start: np.ndarray, tokens: np.ndarray, branches: int) -> np.ndarray:
+    """For each row the nodes its branches lead to: positions are the node's, tokens the row's."""
+    first, out = mix(start), []
+    for b in range(branches):
+        # an odd stride visits different positions
+        at = (first + np.uint64(b) * (first >> np.uint64(32) | np.uint64(1))) % np.uint64(SIZE)
+        token = tokens[np.arange(len(tokens)), at.astype(np.int64)].astype(np.uint64)
+        out.append(mix(mix(start ^ (at << np.uint64(40))) + token))
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _sets(docs: DataFrame, k: int, trees: int, branches: int, id_col: str, text_col: str) -> DataFrame:
+    """Size, digest, first nodes of all trees, and the last byte of each minwise token, of every text's set."""
+
     def read(batches):
         for batch in batches:
-            n, names, signs = [], [], []
+            n, names, roots, signs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text, k)
                 n.append(len(values))
                 names.append(digest(values))
-                signs.append(signature(values, SIZE).tobytes() if len(values) else None)
+                sign = signature(values, SIZE)[None, :]
+                signs.append((sign[0] & 0xFF).astype(np.uint8).tobytes())
+                roots.append(np.concatenate([_children(np.array([t + 1], dtype=np.uint64), sign, branches)[0] for t in range(trees)]))
+            flat = np.concatenate(roots) if roots else np.zeros(0, dtype=np.int64)
+            ends = pa.array(np.arange(0, len(flat) + 1, trees * branches), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "signature"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()),
+                 pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(signs, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "roots", "signature"],
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(read, f"doc_id {kind}, {SIGN}")
+    return rows.mapInArrow(read, f"doc_id {kind}, n_shingles bigint, digest binary, roots array<bigint>, signature binary")
 
 
-def _branch(rows: DataFrame, trees: int, branches: int) -> DataFrame:
-    """Send every (node, rec, signature) on to its branches; the roots are made for node NULL."""
+def _branch(rows: DataFrame, branches: int) -> DataFrame:
+    """Send every member of a node on to its branches; ``parent`` is the size of the node it comes from."""
 
     def send(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, SIZE)
-            rec = batch.column("rec").to_numpy()
-            given = batch.column("node")
-            if given.null_count:
-                starts = [np.full(len(rec), t + 1, dtype=np.uint64) for t in range(trees)]
-            else:
-                starts = [given.to_numpy().view(np.uint64)]
-            nodes, recs = [], []
-            for start in starts:
-                first = mix(start)
-                for b in range(branches):
-                    # an odd stride visits different positions
-                    at = (first + np.uint64(b) * (first >> np.uint64(32) | np.uint64(1))) % np.uint64(SIZE)
-                    token = sign[np.arange(len(rec)), at.astype(np.int64)].astype(np.uint64)
-                    nodes.append(mix(mix(start ^ (at << np.uint64(40))) + token))
-                    recs.append(rec)
+            sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
+            nodes = _children(batch.column("node").to_numpy().view(np.uint64), sign, branches)
+            again = np.repeat(np.arange(batch.num_rows), branches)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(recs))],
-                names=["node", "rec"],
+                [pa.array(nodes.ravel()), batch.column("rec").take(again), batch.column("n").take(again)],
+                names=["node", "rec", "parent"],
             )
 
-    return rows.select("node", "rec", "signature").mapInArrow(send, "node bigint, rec bigint")
+    return rows.select("node", "rec", "n", "signature").mapInArrow(send, "node bigint, rec bigint, parent bigint")
 
 
 def _compare(rows: DataFrame, enough: int) -> DataFrame:
@@ -93,7 +99,7 @@ def _compare(rows: DataFrame, enough: int) -> DataFrame:
         for part in groups_of(batches, "node"):
             if part.num_rows < 2:
                 continue
-            sign = np.frombuffer(b"".join(part.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, SIZE)
+            sign = np.frombuffer(b"".join(part.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
             rec = part.column("rec").to_numpy()
             if len(rec) == 2:
                 label = np.zeros(2, dtype=int) if (sign[0] == sign[1]).sum() >= enough else np.arange(2)
@@ -128,8 +134,10 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     def check(batches):
         left, right = [], []
         for part in groups_of(batches, "grp"):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("values").to_pylist()]
-            rec, m = part.column("rec").to_numpy(), len(sets)
+            # rows that repeat an id may bring a set more than once
+            rec, once = np.unique(part.column("rec").to_numpy(), return_index=True)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("values").take(pa.array(once)).to_pylist()]
+            m = len(sets)
             sizes = np.array([len(s) for s in sets])
             if m < 2:
                 continue
@@ -168,8 +176,8 @@ def join(
     percent: int = 80,
     trees: int = 3,
     branches: int = 3,
-    limit: int = 1024,
-    levels: int = 6,
+    limit: int = 4096,
+    levels: int = 12,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -184,33 +192,38 @@ def join(
     """
     spark = docs.sparkSession
     fresh = lambda df, name: written(df, new_dir(spark, name))
-    read = fresh(_sets(docs, k, id_col, text_col), "sets")
+    read = fresh(_sets(docs, k, trees, branches, id_col, text_col), "sets")
     classes = fresh(
         read.where("digest IS NOT NULL").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("rep"), F.first("roots").alias("roots"), F.first("signature").alias("signature"))
         .withColumn("rec", F.monotonically_increasing_id()),
         "classes",
     )
     signs = classes.select("rec", "signature")
-    # 0.8 less four standard deviations of the estimate
-    enough = int(np.floor(SIZE * (percent / 100 - 4 * np.sqrt(percent / 100 * (1 - percent / 100) / SIZE)) - 1))
+    # the similarity less four standard deviations of its estimate
+    s = percent / 100
+    enough = int(np.floor(SIZE * (s - 4 * np.sqrt(s * (1 - s) / SIZE)) - 1))
 
-    nodes = fresh(_branch(signs.withColumn("node", F.lit(None).cast("bigint")), trees, branches), "nodes")
-    found = []
+    nodes = classes.select(F.explode("roots").alias("node"), "rec", F.lit(None).cast("bigint").alias("parent"))
+    groups, alike = None, None
     for level in range(levels):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = fresh(nodes.join(sizes, "node").join(signs, "rec"), "met")
-        found.append(fresh(_compare(met.where(F.col("n") <= limit), enough).distinct(), "groups"))
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent")).where("n > 1")
+        met = fresh(nodes.select("node", "rec").join(sizes, "node").join(signs, "rec"), "met")
+        here = _compare(met.where(F.col("n") <= limit), enough)
+        groups = here if groups is None else groups.union(here)
         large = met.where(F.col("n") > limit)
-        if large.isEmpty() or level == levels - 1:
+        if level < levels - 1:
+            stuck = F.col("parent").isNotNull() & (2 * F.col("n") > F.col("parent"))
+        else:
+            stuck = F.lit(True)
+        alike = large.where(stuck) if alike is None else alike.union(large.where(stuck))
+        large = large.where(~stuck)
+        if large.isEmpty():
             break
-        nodes = fresh(_branch(large, trees, branches), "nodes")
-    groups = found[0]
-    for more in found[1:]:
-        groups = groups.union(more)
-    links = _exact(docs, groups.distinct(), classes, k, percent, id_col, text_col)
-    if not large.isEmpty():
-        more = _compare(_blocks(large, links, limit // 2), enough).distinct()
+        nodes = fresh(_branch(large, branches), "nodes")
+    links = _exact(docs, fresh(groups.distinct(), "groups"), classes, k, percent, id_col, text_col)
+    if not alike.isEmpty():
+        more = _compare(_blocks(alike, links, limit // 2), enough).distinct()
         links = links.union(_exact(docs, fresh(more, "groups"), classes, k, percent, id_col, text_col))
 
     tied = classes.join(components(links), F.col("rec") == F.col("node"), "left")
@@ -267,8 +280,8 @@ def _exact(docs, groups, classes, k, percent, id_col, text_col) -> DataFrame:
             )
 
     sets = rows.mapInArrow(read, "digest binary, values binary")
-    sets = sets.join(wanted.select("digest", "rec"), "digest").groupBy("rec").agg(F.first("values").alias("values"))
-    return written(_verify(groups.join(sets, "rec"), percent), new_dir(spark, "links"))
+    members = groups.join(wanted.select("digest", "rec"), "rec")
+    return written(_verify(members.join(sets, "digest"), percent), new_dir(spark, "links"))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

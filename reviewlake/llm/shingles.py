@@ -70,10 +70,16 @@ def groups_of(batches, key: str):
 def labels_of(near: np.ndarray) -> np.ndarray:
     """For each row of a symmetric neighbour matrix the first row of its component."""
     label = np.arange(len(near))
-    near = near | np.eye(len(near), dtype=bool)
-    while True:
-        new = np.where(near, label[None, :], len(near)).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    open_ = near.any(axis=1)
+    for first in np.flatnonzero(open_):
+        if not open_[first]:
+            continue
+        front = np.array([first])
+        while len(front):  # each row is spread from once
+            open_[front] = False
+            label[front] = first
+            reached = near[front[:256]].any(axis=0)
+            for start in range(256, len(front), 256):
+                reached |= near[front[start: start + 256]].any(axis=0)
+            front = np.flatnonzero(reached & open_)
+    return label
