@@ -200,6 +200,9 @@ def _grid(q: DataFrame, c: DataFrame, keys: list[str], cells: dict[str, Column],
 
 BUCKET_ROWS = 64
 PLANE_STEP = 0.7390851
+RECALL = 0.9  # least share of the exact matches that approximate retrieval finds
+SAMPLE_QUERIES, SAMPLE_PAIRS = 2000, 1000
+NEAREST_PLANES = 10
 
 
 def planes(dim: int, n: int) -> np.ndarray:
@@ -208,6 +211,73 @@ def planes(dim: int, n: int) -> np.ndarray:
     return np.sin((j * dim + i + 1.0) ** 2 * PLANE_STEP)
 
 
+def _own(side: np.ndarray) -> np.ndarray:
+    return ((side > 0) * (1 << np.arange(side.shape[1], dtype=np.int64))).sum(axis=1)
+
+
+def _probed(side: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` buckets that each row looks into: its own, then by the least margins to cross."""
+    # what crosses a plane comes after all that cross a nearer one only
+    near = min(side.shape[1], NEAREST_PLANES, n - 1)
+    masks = np.arange(1 << near)[:, None] >> np.arange(near) & 1
+    out = np.empty((len(side), min(n, len(masks))), dtype=np.int64)
+    for at in range(0, len(side), 4096):
+        margin = np.abs(side[at: at + 4096])
+        order = np.argsort(margin, axis=1, kind="stable")[:, :near]
+        cost = np.take_along_axis(margin, order, axis=1) ** 2 @ masks.T
+        crossed = masks[np.argsort(cost, axis=1, kind="stable")[:, :n]]
+        flips = (crossed * (1 << order.astype(np.int64))[:, None, :]).sum(axis=2)
+        out[at: at + 4096] = _own(side[at: at + 4096])[:, None] ^ flips
+    return out
+
+
+def _ranks(a: np.ndarray, b: np.ndarray, dim: int, tables: int, bits: int, probes: int) -> np.ndarray:
+    """For each pair of unit rows the fewest probes a table that bring them together; inf beyond ``probes``."""
+    best = np.full(len(a), np.inf)
+    normals = planes(dim, tables * bits)
+    for t in range(tables):
+        own = normals[:, t * bits: (t + 1) * bits]
+        hit = _probed(a @ own, probes) == _own(b @ own)[:, None]
+        best = np.minimum(best, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, np.inf))
+    return best
+
+
+def _probing(q: DataFrame, c: DataFrame, dim, k, min_sim, tables, bits) -> tuple[int, int] | None:
+    """(bits, probes) that find RECALL of the exact matches of sampled queries; None if comparing all costs less.
+
+    The buckets of ``bits`` planes with two probes serve where they suffice, else the
+    cheapest choice of fewer bits and more probes. Equal vectors always meet and are left
+    out, so that they cannot hide what others lose.
+    """
+    size = max(1, min(SAMPLE_QUERIES, MAX_BROADCAST_NUMBERS // (2 * dim * k)))
+    sample = q.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(size + 1).toPandas()
+    whole, sample = len(sample) <= size, sample[:size]
+    plain = [(i, None if v is None else list(map(float, v))) for i, v in zip(sample["id"], sample["vec"])]
+    asked = q.sparkSession.createDataFrame(plain, "id string, vec array<double>")
+    best = topk(asked, c, dim=dim, k=k, min_sim=min_sim, query_id="id", item_id="id").where("score < 1")
+    items = c.select(F.col("id").alias("item_id"), F.col("vec").alias("b")).dropDuplicates(["item_id"])
+    pairs = best.join(items, "item_id").orderBy(F.xxhash64("query_id", "item_id"), "query_id", "item_id").toPandas()
+    if not len(pairs):
+        return bits, 2
+    vectors = dict(zip(sample["id"], sample["vec"]))
+    a, b = _unit([vectors[i] for i in pairs["query_id"]], dim), _unit(list(pairs["b"]), dim)
+
+    def needed(ranks, every):
+        # a sample has to be better by two standard errors
+        share = RECALL + (0 if every else 2 * np.sqrt(RECALL * (1 - RECALL) / len(ranks)))
+        return np.sort(ranks)[min(len(ranks), int(np.ceil(share * len(ranks)))) - 1]
+
+    if needed(_ranks(a, b, dim, tables, bits, 2), whole) <= 2:
+        return bits, 2
+    found, least = None, 1.0
+    for fewer in range(bits, 0, -1):
+        ranks = _ranks(a[:SAMPLE_PAIRS], b[:SAMPLE_PAIRS], dim, tables, fewer, 1 << NEAREST_PLANES)
+        probes = needed(ranks, whole and len(pairs) <= SAMPLE_PAIRS)
+        if tables * probes / 2**fewer < least:
+            found, least = (fewer, max(2, int(probes))), tables * probes / 2**fewer
+    return found
+
+
 def ann_topk(
     queries: DataFrame, corpus: DataFrame, *, dim: int, k: int = fv.TOP_K, min_sim: float,
     query_id: str = "query_id", item_id: str = "item_id", vec: str = "vec",
@@ -217,33 +287,34 @@ def ann_topk(
 
     The scores are exact. A bucket is named by the sides of a few planes; their number
     grows with the logarithm of the items, so that a bucket keeps about ``bucket_rows``
-    items and the pairs that are scored grow with the rows. A query also looks into the
-    bucket beyond its nearest plane. A bucket of many copies is cut into blocks.
+    items. A query also looks into the bucket beyond its nearest plane. Where that finds
+    less than RECALL of the exact matches of a sample of the queries, planes are left out
+    and more buckets looked into until it does; where comparing all costs less, all are
+    compared. A bucket of many copies is cut into blocks.
     """
     bits = max(1, int(np.ceil(np.log2(max(corpus.count(), 1) / bucket_rows))))
-    normals, weights = planes(dim, tables * bits), 1 << np.arange(bits, dtype=np.int64)
-
-    def sign_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            side = (_unit(list(batch["vec"]), dim) @ normals).reshape(len(batch), tables, bits)
-            own = ((side > 0) * weights).sum(axis=2)
-            batch["own"] = list(own)
-            batch["beyond"] = list(own ^ weights[np.abs(side).argmin(axis=2)])
-            yield batch
-
-    def signed(df, id_col, buckets):
-        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-        out = rows.mapInPandas(sign_rows, "id string, vec array<double>, own array<bigint>, beyond array<bigint>")
-        parts = [out.select("id", "vec", F.posexplode(b).alias("_t", "_h")) for b in buckets]
-        return parts[0] if len(parts) == 1 else out.select(
-            "id", "vec", F.inline(F.flatten(F.zip_with(
-                F.transform("own", lambda h, t: F.struct(t.alias("_t"), h.alias("_h"))),
-                F.transform("beyond", lambda h, t: F.struct(t.alias("_t"), h.alias("_h"))),
-                lambda x, y: F.array(x, y),
-            ))),
-        )
-
-    q, c = signed(queries, query_id, ["own", "beyond"]), signed(corpus, item_id, ["own"])
+    q, c = (
+        df.select(F.col(name).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+        for df, name in ((queries, query_id), (corpus, item_id))
+    )
+    chosen = _probing(q, c, dim, k, min_sim, tables, bits)
+    if chosen is None:
+        return topk(q, c, dim=dim, k=k, min_sim=min_sim, query_id="id", item_id="id")
+    bits, probes = chosen
+    normals = planes(dim, tables * bits)
+
+    def signed(df, probes):
+        def sign_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                side = (_unit(list(batch["vec"]), dim) @ normals).reshape(len(batch) * tables, bits)
+                batch["looked"] = list(_probed(side, probes).reshape(len(batch), -1))
+                yield batch
+
+        out = df.mapInPandas(sign_rows, "id string, vec array<double>, looked array<bigint>")
+        out = out.select("id", "vec", F.size("looked").alias("_n"), F.posexplode("looked").alias("_t", "_h"))
+        return out.select("id", "vec", F.expr(f"_t div (_n div {tables})").alias("_t"), "_h")
+
+    q, c = signed(q, probes), signed(c, 1)
     keys = ["_t", "_h"]
     blocks = lambda df, name: df.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name)
