@@ -186,9 +186,10 @@ def join(
     Returns doc_id, n_shingles, component_id (smallest id reachable by links, itself
     included), kept (doc_id = component_id), one row for each given row. A text that
     is null or has no words has the empty set and links with nothing; equal texts
-    always link. Rows that repeat an id are one document in links and results. A null
-    id is in no component but that of its copies. Extra columns are left out; an empty
-    table stays empty.
+    always link. Rows that repeat an id are one document as far as their sets are equal;
+    where an id has several sets, each row has the component of its own set. A null id is
+    in no component but that of its copies. Extra columns are left out; an empty table
+    stays empty.
     """
     spark = docs.sparkSession
     fresh = lambda df, name: written(df, new_dir(spark, name))
@@ -285,7 +286,21 @@ def _exact(docs, groups, classes, k, percent, id_col, text_col) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id."""
-    gone = join(docs, k, percent, id_col=id_col, text_col=text_col).where(~F.col("kept"))
-    gone = written(gone.select(F.col("doc_id").alias("_gone")), new_dir(docs.sparkSession, "gone"))
-    return docs.join(small_side(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component: the one with the smallest id, null ids last.
+
+    Rows are told apart by a tag of their own, so ids may repeat or be null. Of rows
+    with the same smallest id the first one stays.
+    """
+    spark = docs.sparkSession
+    tagged = written(docs.withColumn("_row", F.monotonically_increasing_id()), new_dir(spark, "tagged"))
+    found = join(tagged, k, percent, id_col="_row", text_col=text_col)
+    tied = found.where(~F.col("kept")).select(F.col("doc_id").alias("_row"), "component_id")
+    tied = written(tied, new_dir(spark, "tied"))
+    # the first row of a component is the one that is kept so far
+    tied = tied.union(tied.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    ids = tagged.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row")).alias("_place"))
+    tied = written(tied.join(ids, "_row"), new_dir(spark, "tied"))
+    best = tied.groupBy("component_id").agg(F.min("_place").alias("_best"))
+    gone = tied.join(best, "component_id").where("_place <> _best").select("_row")
+    gone = written(gone, new_dir(spark, "gone"))
+    return tagged.join(small_side(gone), "_row", "left_anti").select(*docs.columns)

@@ -89,6 +89,17 @@ def test_shingle_join_of_nothing_and_of_repeated_rows(docs_of):
     assert [tuple(r)[1:] for r in got if not r.n_shingles] == [(0, None, True)]
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(docs_of):
+    same, other = "a b c d e f g h", "q r s t u v w x"
+    rows = [(1, same), (1, same), (None, same), (5, other), (7, other), (7, "one two three four five six"), (None, "i j k l m n"),
+            (None, "i j k l m n"), (9, None), (9, None), (2, "z y x w v u"), (3, "Z y x w v u"), (2, "z y x w v u")]
+    docs = docs_of([(i, t, "en", "s") for i, t in rows])
+    kept = chosen_path.deduplicate(docs, k=5)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, same), (5, other), (7, rows[5][1]), (None, "i j k l m n"), (9, None), (9, None), (2, rows[10][1])], key=repr)
+
+
 def vectors_of(spark, rows):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, n int, block string")
 
