@@ -21,8 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and those whose language stays in doubt."""
-    predict = langid.language(langid.fit(docs), spark)
-    return docs.where(predict(F.col("text"))["score"] >= KEEP)
+    return langid.predicted(docs, langid.fit(docs)).where(F.col("score") >= KEEP).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

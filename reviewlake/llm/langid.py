@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.work import new_dir, written
+from .base import small_side
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-REMEMBERED = 300_000  # words a task keeps
+SENT = 300_000  # scores of words that are sent to all tasks; more are joined by a shuffle
 UNKNOWN = "und"
 
 
@@ -45,7 +47,7 @@ class Model:
         self.langs = langs
         share = np.array([totals.get(x, 0) for x in langs], dtype=float)
         self.prior = np.log((share + 1) / (share.sum() + len(langs))) if langs else share
-        rate = np.maximum(share, 1.0)
+        self.rate = rate = np.maximum(share, 1.0)
         self.words = {k: self._row(c, rate) for k, c in words}
         self.grams = {k: self._row(c, rate) for k, c in grams_}
 
@@ -54,6 +56,12 @@ class Model:
         logs = np.log((np.array([counts.get(x, 0) for x in self.langs]) + 0.5) / rate)
         return logs - logs.mean()
 
+    def bare(self) -> "Model":
+        """Without its tables, for tasks."""
+        out = copy(self)
+        out.all_words = out.all_grams = None
+        return out
+
     def word(self, word: str) -> np.ndarray | None:
         """Score of one word in each language; None if no n-gram of it is known."""
         known = self.words.get(word)
@@ -66,56 +74,30 @@ class Model:
         return None
 
 
-class Identifier:
-    """Predicts with a model; remembers the words it has scored, up to a bound."""
+class Reader:
+    """Adds up the known words of texts and returns the others with their counts."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.rows = [np.zeros(len(self.model.langs))]
-        self.table = np.zeros((1, len(self.model.langs)))
+        self.place = {w: i for i, w in enumerate(model.words)}
+        self.table = np.array(list(model.words.values())).reshape(len(self.place), len(model.langs))
 
-    def _learn(self, words: list[str]) -> None:
+    def read(self, text: str | None) -> tuple[bool, np.ndarray, Counter]:
+        words = words_of(text) if text else []
+        at, rest = [], Counter()
         for word in words:
-            if word not in self.place:
-                row = self.model.word(word)
-                self.place[word] = 0 if row is None else len(self.rows)
-                if row is not None:
-                    self.rows.append(row)
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table):])])
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        langs, out = self.model.langs, []
-        split = [words_of(t) if t else [] for t in texts]
-        if len(self.place) > REMEMBERED:
-            self._forget()
-        self._learn([w for words in split for w in words])
-        for text, words in zip(texts, split):
-            if not text or not langs or not has_letter(text, words):
-                out.append((UNKNOWN, 0.0))
-                continue
-            at = np.array([self.place[w] for w in words], dtype=np.int64)
-            score = self.model.prior + self.table[at].sum(axis=0)
-            odds = np.exp(score - score.max())
-            best = int(score.argmax())
-            out.append((langs[best], float(odds[best] / odds.sum())))
-        return out
+            i = self.place.get(word)
+            if i is None:
+                rest[word] += 1
+            else:
+                at.append(i)
+        return bool(text) and has_letter(text, words), self.table[at].sum(axis=0), rest
 
 
 def _counted(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("entry", "lang").agg(F.sum("n").alias("n"))
-
-
-def _top(counts: DataFrame, size: int) -> list:
-    """The entries with the largest counts, each with its count by language."""
+    """Of each entry its count by language."""
+    counts = parts.groupBy("entry", "lang").agg(F.sum("n").alias("n"))
     by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-    top = counts.groupBy("entry").agg(F.sum("n").alias("total"), by_lang.alias("counts"))
-    rows = top.orderBy(F.desc("total"), "entry").limit(size).select("entry", "counts").collect()
-    return [(r[0], r[1]) for r in rows]
+    return counts.groupBy("entry").agg(F.sum("n").alias("total"), by_lang.alias("counts"))
 
 
 def fit(
@@ -125,9 +107,10 @@ def fit(
     known_words: int = 60_000,
     known_grams: int = 60_000,
 ) -> Model:
-    """Count words and n-grams of all labelled rows; keep the most frequent of each.
+    """Count words and n-grams of all labelled rows; all counts are written as tables.
 
-    Only the two tables of bounded size, and one total a language, reach the driver.
+    The most frequent ``known_words`` are handed to tasks, all others are joined. The
+    n-grams are joined too; up to ``known_grams`` of them the table is sent to the tasks.
     Rows with a null language or text teach nothing.
     """
     def count(batches):
@@ -158,24 +141,92 @@ def fit(
     schema = "entry string, lang string, n bigint"
     taught = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     taught = taught.where("text IS NOT NULL AND lang IS NOT NULL")
-    words = written(_counted(taught.mapInArrow(count, schema)), new_dir(docs.sparkSession, "words"))
-    found = _counted(words.select("entry", "lang", "n").mapInArrow(count_grams, schema))
-    totals = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()}
-    return Model(sorted(totals), _top(words, known_words), _top(found, known_grams), totals)
+    spark = docs.sparkSession
+    words = written(_counted(taught.mapInArrow(count, schema)), new_dir(spark, "words"))
+    each = words.select("entry", F.explode("counts").alias("lang", "n"))
+    found = written(_counted(each.mapInArrow(count_grams, schema)), new_dir(spark, "grams"))
+    totals = {r[0]: r[1] for r in each.groupBy("lang").agg(F.sum("n")).collect()}
+    top = words.orderBy(F.desc("total"), "entry").limit(known_words).select("entry", "counts").collect()
+    model = Model(sorted(totals), [(r[0], r[1]) for r in top], [], totals)
+    model.all_words, model.all_grams, model.known_grams = words, found, known_grams
+    return model
+
+
+def _vector(model: Model, counts: Column) -> Column:
+    """``Model._row`` of a map of counts."""
+    logs = F.array(*[
+        F.log((F.coalesce(F.try_element_at(counts, F.lit(x)), F.lit(0)) + 0.5) / F.lit(float(r)))
+        for x, r in zip(model.langs, model.rate)
+    ])
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / len(model.langs)
+    return F.transform(F.array(logs), lambda v: F.transform(v, lambda x: x - mean(v)))[0]
+
+
+def _sums(model: Model, vector: str, times: str) -> list[Column]:
+    return [F.sum(F.col(times) * F.col(vector)[i]).alias(f"_l{i}") for i in range(len(model.langs))]
+
+
+def _scores(model: Model, words: DataFrame) -> DataFrame:
+    """``word, vector`` of distinct words: their own counts, or those of their longest n-grams that are known."""
+    spark = words.sparkSession
+    n = len(model.langs)
+    known = words.join(model.all_words.withColumnRenamed("entry", "word"), "word", "left")
+    known = written(known.select("word", "counts"), new_dir(spark, "known"))
+
+    def cut_words(batches):
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                rows = [(size, g, c) for size in range(1, LONGEST + 1) for g, c in Counter(grams(word, size)).items()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([word] * len(rows), pa.string()), *(pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64())))],
+                    names=["word", "size", "entry", "times"],
+                )
+
+    pieces = known.where("counts IS NULL").select("word").mapInArrow(cut_words, "word string, size int, entry string, times bigint")
+    table = small_side(model.all_grams.select("entry", _vector(model, F.col("counts")).alias("v")), model.known_grams)
+    met = pieces.join(table, "entry").groupBy("word", "size").agg(F.sum("times").alias("times"), *_sums(model, "v", "times"))
+    mean = F.array(*[F.col(f"_l{i}") / F.col("times") for i in range(n)])
+    longest = met.groupBy("word").agg(F.max_by(mean, "size").alias("vector"))
+    return known.where("counts IS NOT NULL").select("word", _vector(model, F.col("counts")).alias("vector")).union(longest)
+
 
+def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (all, if not given) of every row with ``lang_pred, score``.
 
-def language(model: Model, spark) -> "callable":
-    """A column function: text -> struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast(model)
+    Tasks score the words handed to them; scores of all other words are joined.
+    """
+    spark, n = docs.sparkSession, len(model.langs)
+    keep = docs.columns if keep is None else keep
+    if not n:
+        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = spark.sparkContext.broadcast(model.bare())
     kept: dict = {}
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("letter boolean, base array<double>, rest array<string>, times array<bigint>")
+    def read(texts: pd.Series) -> pd.DataFrame:
         if "it" not in kept:
-            kept["it"] = Identifier(shared.value)
-        return pd.DataFrame(kept["it"].predict(texts.tolist()), columns=["lang_pred", "score"])
-
-    return predict
+            kept["it"] = Reader(shared.value)
+        rows = [kept["it"].read(t) for t in texts.tolist()]
+        return pd.DataFrame({
+            "letter": [x for x, _, _ in rows], "base": [x for _, x, _ in rows],
+            "rest": [list(c) for _, _, c in rows], "times": [list(c.values()) for _, _, c in rows],
+        })
+
+    rows = docs.select(*keep, read(F.col(text_col)).alias("_p")).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows, new_dir(spark, "read"))
+    rest = rows.select("_row", F.inline(F.arrays_zip(F.col("_p.rest").alias("word"), F.col("_p.times").alias("times"))))
+    scores = written(_scores(model, rest.select("word").distinct()), new_dir(spark, "scores"))
+    more = rest.join(small_side(scores, SENT), "word").groupBy("_row").agg(*_sums(model, "vector", "times"))
+    total = F.array(*[
+        F.col("_p.base")[i] + F.coalesce(f"_l{i}", F.lit(0.0)) + F.lit(float(p)) for i, p in enumerate(model.prior)
+    ])
+    out = rows.join(more, "_row", "left").withColumn("_s", total).withColumn("_m", F.array_max("_s"))
+    odds = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))
+    best = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("_s", F.col("_m")).cast("int"))
+    return out.select(
+        *keep, F.when(F.col("_p.letter"), best).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("_p.letter"), 1 / odds).otherwise(0.0).alias("score"),
+    )
 
 
 def identify(
@@ -188,6 +239,4 @@ def identify(
     was taught. Without any known n-gram the most taught language wins; ties go to
     the first language by name.
     """
-    predict = language(model, docs.sparkSession)
-    out = docs.select(id_col, predict(F.col(text_col)).alias("_p"))
-    return out.select(id_col, "_p.lang_pred", "_p.score")
+    return predicted(docs, model, text_col, [id_col])

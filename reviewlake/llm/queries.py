@@ -43,9 +43,7 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
     model = langid.fit(docs.where(~F.col("held_out")))
-    predict = langid.language(model, spark)
-    out = docs.select("doc_id", "held_out", predict(F.col("text")).alias("p"))
-    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return langid.predicted(docs, model, keep=["doc_id", "held_out"])
 
 
 @query("op6_order_minhash")

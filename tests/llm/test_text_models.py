@@ -99,6 +99,32 @@ def test_unseen_words_fall_back_to_shorter_grams():
     assert model.word("qqq") is None
 
 
+def test_every_taught_word_and_gram_counts_however_few_are_handed_to_tasks(docs_of):
+    rng = random.Random(8)
+    parts = {"en": ["th", "er", "ing"], "xx": ["er", "sch", "ung", "ing"]}
+    word = lambda x: "".join(rng.choice(parts[x]) for _ in range(rng.randrange(1, 5)))
+    rows = [(i, " ".join(word(x) for _ in range(12)), x, "s") for i, x in enumerate(rng.choices(["en", "xx"], weights=[9, 1], k=200))]
+    texts = [" ".join(word(rng.choice("en xx".split())) + rng.choice(["", "", "q"]) for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    texts += ["zzz", "qqq erq erq", "日本語 thing", "sch " * 50]
+    counts = {"w": collections.defaultdict(collections.Counter), "g": collections.defaultdict(collections.Counter)}
+    totals: collections.Counter = collections.Counter()
+    for _, t, x, _ in rows:
+        for w in t.split():
+            totals[x] += 1
+            counts["w"][w][x] += 1
+            for n in range(1, 6):
+                for g in langid.grams(w, n):
+                    counts["g"][g][x] += 1
+    plain = langid.Model(sorted(totals), list(counts["w"].items()), list(counts["g"].items()), totals)
+    model = langid.fit(docs_of(rows), known_words=4, known_grams=5)
+    got = {r.doc_id: r for r in langid.identify(docs_of([(i, t, None, "s") for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        found = [plain.word(w) for w in langid.words_of(t)]
+        score = plain.prior + sum(x for x in found if x is not None)
+        odds = np.exp(score - score.max())
+        assert (got[i].lang_pred, got[i].score) == (plain.langs[score.argmax()], pytest.approx(odds.max() / odds.sum(), rel=1e-9)), t
+
+
 def test_language_without_teaching(docs_of):
     docs = docs_of([(1, "hello", None, None)])
     assert [tuple(r) for r in langid.identify(docs, langid.fit(docs)).collect()] == [(1, "und", 0.0)]
