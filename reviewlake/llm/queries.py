@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chosen_path, digests, epsilon_grid, langid, maxent, mixing, oracles, order_minhash, quality, shards
+from . import (
+    bpe, chosen_path, digests, epsilon_grid, l2ap, langid, maxent, mixing, oracles, order_minhash, quality, shards, warc, whitening,
+)
 from .base import query, remainder, table
 
 # The rules that pages are judged by, and their verdicts.
@@ -72,3 +74,20 @@ def op9(spark, sf_dir):
 @query("op10_jump_shards")
 def op10(spark, sf_dir):
     return shards.shard_documents(table(spark, sf_dir, "documents"), 16).withColumn("law", F.lit("key"))
+
+
+@query("op11_zip_warc", oracles.WARC)
+def op11(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=64, shift=1_000_000)
+
+
+@query("op12_l2ap_negatives", oracles.NEGATIVES)
+def op12(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return l2ap.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
