@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..operators import growth as gr
 from ..operators import scoring as sc
+from ..operators import signatures as sg
 from ..operators import weights as wt
 from ..sources import events as ev
 from ..sources import tables as tb
@@ -154,6 +155,71 @@ def weight_history(spark, sf_dir):
     )
 
 
+# Findings at all times of the events; a third of them are of one rule.
+_DATED = """l_orderkey AS payload_id, l_linenumber AS finding_no, CASE WHEN l_orderkey % 3 = 0 THEN 'RULE-1' WHEN l_linenumber = 7 THEN NULL ELSE 'RULE-' || (l_partkey % 180) END AS rule_id,
+   timestampadd(SECOND, CAST((l_orderkey * 7919 + l_linenumber * 104729) % 2700000 AS INTEGER), TIMESTAMP '2023-12-31 12:00:00') AS found_at"""
+_DATED_SQL = _DATED.replace("timestampadd(SECOND, CAST(", "TIMESTAMP '2023-12-31 12:00:00' + to_seconds(CAST(").replace(
+    " AS INTEGER), TIMESTAMP '2023-12-31 12:00:00')", " AS INTEGER))"
+)
+
+
+@query(
+    "finding_weights",
+    f"""WITH {_FOLDED_SQL}, dated AS (SELECT {_DATED_SQL} FROM lineitem),
+      n AS (SELECT f.id, f.rule_id, f.ts, r.ds, CAST(round(r.current_weight * 10000) AS INTEGER) AS w0, row_number() OVER (PARTITION BY f.rule_id ORDER BY f.ts, f.id) AS i
+        FROM feed f JOIN folded r USING (rule_id)),
+      s AS (SELECT rule_id, ts, arg_max(CAST({_FOLD.format(list='ds[1:i]', start='w0')} AS DOUBLE) / 10000, i) AS w FROM n GROUP BY rule_id, ts),
+      a AS (SELECT d.*, s.w FROM dated d ASOF LEFT JOIN s ON d.rule_id = s.rule_id AND d.found_at >= s.ts)
+    SELECT payload_id, finding_no, a.rule_id, found_at, coalesce(a.w, CAST(r.current_weight AS DOUBLE), CAST({fv.DEFAULT_WEIGHT} AS DOUBLE)) AS weight
+    FROM a LEFT JOIN rules r USING (rule_id)""",
+)
+def finding_weights(spark, sf_dir):
+    dated = table(spark, sf_dir, "lineitem").selectExpr(*_split_columns(_DATED))
+    return wt.weight_as_of(dated, feed(spark, sf_dir), rules(spark, sf_dir), time="found_at")
+
+
+# Two keys that take turns, one longer than a block of the hash; a third is nobody's.
+_TURN = "TIMESTAMP '2024-01-10'"
+_KEYS = {
+    "k1": ("md5('first')", "NULL", "TIMESTAMP '2024-01-12'"), "k2": ("repeat(md5('second'), 4)", _TURN, "NULL"),
+    "kx": ("md5('third')", "TIMESTAMP '2034-01-01'", "NULL"),
+}
+_SIGNER = "CASE WHEN event_id % 8 IN (2, 3) THEN 'k2' WHEN event_id % 8 = 6 THEN 'kx' ELSE 'k1' END"
+_PAD_SQL = """unhex(array_to_string([printf('%02x', xor({byte}, ('0x' || substr(rpad(hex(CASE WHEN octet_length(encode(key)) > 64 THEN unhex(sha256(key)) ELSE encode(key) END), 128, '0'), 2 * i + 1, 2))::INTEGER)) FOR i IN range(64)], ''))"""
+_FIELD_SQL = " || ".join(
+    f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("id", "{kind}", "repo_name", "commit_sha", "rule_id", "CAST(epoch_us(ts) AS VARCHAR)")
+)
+
+
+@query(
+    "events_signed",
+    f"""WITH {FEED_SQL}, keys AS (SELECT key_id, valid_from, valid_to, {_PAD_SQL.format(byte=0x36)} AS ipad, {_PAD_SQL.format(byte=0x5C)} AS opad FROM (VALUES
+        {', '.join(f"('{k}', {a}, CAST({b} AS TIMESTAMP), CAST({c} AS TIMESTAMP))" for k, (a, b, c) in _KEYS.items())}) v(key_id, key, valid_from, valid_to)),
+      m AS (SELECT *, {_SIGNER} AS signer, {_FIELD_SQL.format(kind='event_type')} AS message,
+        {_FIELD_SQL.format(kind="CASE WHEN event_id % 8 = 1 THEN 'DEV_ACCEPTED_PATCH ' ELSE event_type END")} AS signed FROM feed),
+      s AS (SELECT m.id, ts, event_id, sha256(opad || unhex(sha256(ipad || encode(signed)))) AS mac, signer FROM m JOIN keys ON signer = key_id),
+      g AS (SELECT *, CASE event_id % 8 WHEN 0 THEN NULL WHEN 5 THEN ' ' WHEN 4 THEN upper(mac) ELSE 'sha256=' || mac END AS signature FROM s),
+      c AS (SELECT g.*, min(k.key_id) FILTER (sha256(opad || unhex(sha256(ipad || encode(message)))) = replace(lower(signature), 'sha256=', '')) AS signed_by
+        FROM g JOIN m USING (id) JOIN keys k ON (valid_from IS NULL OR valid_from <= g.ts) AND (valid_to IS NULL OR g.ts < valid_to) GROUP BY ALL)
+    SELECT id, signature, signed_by, CASE WHEN trim(coalesce(signature, '')) = '' THEN 'unsigned' WHEN signed_by IS NULL THEN 'forged' ELSE 'valid' END AS signature_status FROM c""",
+)
+def events_signed(spark, sf_dir):
+    """Every eighth event lacks a signature, one was changed after, one is by a key that is not valid."""
+    keys = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("key_id"), *[F.expr(f"CAST({e} AS {t})").alias(n) for e, t, n in zip(v, ("BINARY", "TIMESTAMP", "TIMESTAMP"), ("key", "valid_from", "valid_to"))])
+        for k, v in _KEYS.items()
+    ])))
+    rows = feed(spark, sf_dir).withColumn("key_id", F.expr(_SIGNER))
+    kind = F.col("event_type")
+    rows = rows.withColumns({"event_type": F.when(F.col("event_id") % 8 == 1, "DEV_ACCEPTED_PATCH ").otherwise(kind), "_kind": kind})
+    rows = sg.sign(rows, keys).withColumn("event_type", F.col("_kind")).drop("_kind")
+    turn, mac = F.col("event_id") % 8, F.col("signature")
+    rows = rows.withColumn(
+        "signature", F.when(turn == 5, " ").when(turn == 4, F.upper(F.substring(mac, 8, 64))).when(turn != 0, mac)
+    )
+    return sg.check_signatures(rows, keys).select("id", "signature", "signed_by", "signature_status")
+
+
 @query(
     "rule_counters",
     f"""WITH {FEED_SQL}, {RULES_SQL}, n AS (SELECT rule_id, count(*) FILTER (event_type = 'CI_BUILD_FLAKINESS') AS ci,

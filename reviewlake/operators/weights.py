@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..plans.ordered import block, number_rows
 from ..plans.work import stable
+from .asof import asof_join
 
 UNIT = 10_000
 WIDE = 1 << 40
@@ -268,6 +269,28 @@ def ledger(events: DataFrame, rules: DataFrame, *, alpha=fv.LEARNING_RATE, order
     )
 
 
+def weight_as_of(
+    rows: DataFrame, events: DataFrame, rules: DataFrame, *, time: str = "ts", alpha=fv.LEARNING_RATE, order=("ts", "id")
+) -> DataFrame:
+    """``rows`` (``rule_id`` and a time) with the ``weight`` their rule had then.
+
+    An event counts from its own time on. A rule of the table starts with its weight; one
+    that is in no table, or a row without rule or time, has the default weight.
+    """
+    start = rules.select(
+        "rule_id", F.lit("0001-01-01").cast("timestamp").alias("_at"), F.lit(None).cast(dict(events.dtypes)[order[1]]).alias("_id"),
+        F.col("current_weight").cast("double").alias("weight"),
+    )
+    moved = weight_history(events, rules, alpha=alpha, order=order).select(
+        "rule_id", F.col(order[0]).cast("timestamp").alias("_at"), F.col(order[1]).alias("_id"), F.col("updated_weight").alias("weight")
+    )
+    timed = rows.withColumn("_time", F.col(time).cast("timestamp"))
+    found = asof_join(
+        timed, start.unionByName(moved), ["rule_id"], left_time="_time", right_time="_at", values=["weight"], order=["_id"]
+    ).drop("_time")
+    return found.withColumn("weight", F.coalesce("weight", F.lit(float(fv.DEFAULT_WEIGHT))))
+
+
 def retro_entries(history: DataFrame) -> DataFrame:
     """Retrospective entries for reverts; needs ``commit_sha`` and ``repo_name``."""
     sha = F.substring("commit_sha", 1, 8)
