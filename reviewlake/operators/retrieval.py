@@ -19,7 +19,6 @@ from ..functions.vectors import cluster_strength, dense, hashed_features, tokens
 
 # A side is sent to all tasks only up to this many numbers (64 MB of doubles).
 MAX_BROADCAST_NUMBERS = 8_000_000
-CELL_ROWS = 4096
 SIM_DIGITS = 9  # equal vectors must tie, whatever block they were multiplied in
 
 _CELLS = "array<struct<dim:int,v:double>>"
@@ -127,25 +126,33 @@ def topk(
     """Exact top-k: (query_id, item_id, score, rank); ties go to the smaller id.
 
     A side of checked size is sent to the tasks of the other one, which stays
-    where it is. When both sides are beyond the bound they are cut into blocks
-    and every pair of blocks is one task.
+    where it is. When both sides are beyond the bound the smaller one is sent in
+    chunks; the larger one is read once a chunk and never shuffled or copied.
     """
     q = queries.select(F.col(query_id).cast("string").alias("id"), F.col(vec).alias("vec"))
     c = corpus.select(F.col(item_id).cast("string").alias("id"), F.col(vec).alias("vec"))
-    small = _fetch_small(c, dim)
-    if small is not None:
-        found = _sweep(q, small, dim, k, min_sim, small_is_corpus=True)
-    else:
-        small = _fetch_small(q, dim)
-        if small is not None:
-            found = _sweep(c, small, dim, k, min_sim, small_is_corpus=False)
-        else:
-            a, b = (max(1, -(-d.count() // CELL_ROWS)) for d in (q, c))
-            cells = {"_a": F.lit(a), "_b": F.lit(b)}
-            found = _grid(q, c, [], cells, dim, k, min_sim)
+    found = None
+    for small, is_corpus in _chunks(q, c, dim):
+        part = _sweep(q if is_corpus else c, small, dim, k, min_sim, small_is_corpus=is_corpus)
+        found = part if found is None else found.unionByName(part)
     return rank_matches(found, k)
 
 
+def _chunks(q: DataFrame, c: DataFrame, dim: int) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """The smaller side in pieces that fit the bound, and whether it is the corpus."""
+    for df, is_corpus in ((c, True), (q, False)):
+        small = _fetch_small(df, dim)
+        if small is not None:
+            yield small, is_corpus
+            return
+    n_q, n_c = q.count(), c.count()
+    small, n = (c, n_c) if n_c <= n_q else (q, n_q)
+    # four fifths of the bound, as hashes do not part rows quite evenly
+    n_chunks = -(-n * dim * 5 // (MAX_BROADCAST_NUMBERS * 4))
+    for i in range(n_chunks):
+        yield small.where(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == i).toPandas(), n_c <= n_q
+
+
 def rank_matches(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "item_id")
     return (
@@ -174,157 +181,6 @@ def _sweep(big: DataFrame, small: pd.DataFrame, dim, k, floor, small_is_corpus:
     return big.mapInPandas(score, MATCH_SCHEMA)
 
 
-def _grid(q: DataFrame, c: DataFrame, keys: list[str], cells: dict[str, Column], dim, k, floor) -> DataFrame:
-    """Cut both sides into blocks and score every pair of blocks of a key.
-
-    ``cells`` gives the number of query and item blocks; both are chosen so that
-    a block keeps about CELL_ROWS rows, however hot its key is.
-    """
-    def split(df, own, other):
-        return df.withColumn("_own", F.pmod(F.xxhash64("id"), cells[own]).cast("int")).withColumn(
-            "_other", F.explode(F.sequence(F.lit(0), (cells[other] - 1).cast("int")))
-        )
-
-    left = split(q, "_a", "_b").select(*keys, F.col("_own").alias("_i"), F.col("_other").alias("_j"), "id", "vec")
-    right = split(c, "_b", "_a").select(*keys, F.col("_other").alias("_i"), F.col("_own").alias("_j"), "id", "vec")
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
-        sims = _unit(list(a["vec"]), dim) @ _unit(list(b["vec"]), dim).T
-        return _best(sims, list(a["id"]), list(b["id"]), k, floor)
-
-    by = [*keys, "_i", "_j"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(score, MATCH_SCHEMA)
-
-
-BUCKET_ROWS = 64
-PLANE_STEP = 0.7390851
-RECALL = 0.9  # least share of the exact matches that approximate retrieval finds
-SAMPLE_QUERIES, SAMPLE_PAIRS = 2000, 1000
-NEAREST_PLANES = 10
-
-
-def planes(dim: int, n: int) -> np.ndarray:
-    """``n`` fixed directions (columns), from sines of growing squares."""
-    j, i = np.meshgrid(np.arange(n), np.arange(dim))
-    return np.sin((j * dim + i + 1.0) ** 2 * PLANE_STEP)
-
-
-def _own(side: np.ndarray) -> np.ndarray:
-    return ((side > 0) * (1 << np.arange(side.shape[1], dtype=np.int64))).sum(axis=1)
-
-
-def _probed(side: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` buckets that each row looks into: its own, then by the least margins to cross."""
-    # what crosses a plane comes after all that cross a nearer one only
-    near = min(side.shape[1], NEAREST_PLANES, n - 1)
-    masks = np.arange(1 << near)[:, None] >> np.arange(near) & 1
-    out = np.empty((len(side), min(n, len(masks))), dtype=np.int64)
-    for at in range(0, len(side), 4096):
-        margin = np.abs(side[at: at + 4096])
-        order = np.argsort(margin, axis=1, kind="stable")[:, :near]
-        cost = np.take_along_axis(margin, order, axis=1) ** 2 @ masks.T
-        crossed = masks[np.argsort(cost, axis=1, kind="stable")[:, :n]]
-        flips = (crossed * (1 << order.astype(np.int64))[:, None, :]).sum(axis=2)
-        out[at: at + 4096] = _own(side[at: at + 4096])[:, None] ^ flips
-    return out
-
-
-def _ranks(a: np.ndarray, b: np.ndarray, dim: int, tables: int, bits: int, probes: int) -> np.ndarray:
-    """For each pair of unit rows the fewest probes a table that bring them together; inf beyond ``probes``."""
-    best = np.full(len(a), np.inf)
-    normals = planes(dim, tables * bits)
-    for t in range(tables):
-        own = normals[:, t * bits: (t + 1) * bits]
-        hit = _probed(a @ own, probes) == _own(b @ own)[:, None]
-        best = np.minimum(best, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, np.inf))
-    return best
-
-
-def _probing(q: DataFrame, c: DataFrame, dim, k, min_sim, tables, bits) -> tuple[int, int] | None:
-    """(bits, probes) that find RECALL of the exact matches of sampled queries; None if comparing all costs less.
-
-    The buckets of ``bits`` planes with two probes serve where they suffice, else the
-    cheapest choice of fewer bits and more probes. Equal vectors always meet and are left
-    out, so that they cannot hide what others lose.
-    """
-    size = max(1, min(SAMPLE_QUERIES, MAX_BROADCAST_NUMBERS // (2 * dim * k)))
-    sample = q.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(size + 1).toPandas()
-    whole, sample = len(sample) <= size, sample[:size]
-    plain = [(i, None if v is None else list(map(float, v))) for i, v in zip(sample["id"], sample["vec"])]
-    asked = q.sparkSession.createDataFrame(plain, "id string, vec array<double>")
-    best = topk(asked, c, dim=dim, k=k, min_sim=min_sim, query_id="id", item_id="id").where("score < 1")
-    items = c.select(F.col("id").alias("item_id"), F.col("vec").alias("b")).dropDuplicates(["item_id"])
-    pairs = best.join(items, "item_id").orderBy(F.xxhash64("query_id", "item_id"), "query_id", "item_id").toPandas()
-    if not len(pairs):
-        return bits, 2
-    vectors = dict(zip(sample["id"], sample["vec"]))
-    a, b = _unit([vectors[i] for i in pairs["query_id"]], dim), _unit(list(pairs["b"]), dim)
-
-    def needed(ranks, every):
-        # a sample has to be better by two standard errors
-        share = RECALL + (0 if every else 2 * np.sqrt(RECALL * (1 - RECALL) / len(ranks)))
-        return np.sort(ranks)[min(len(ranks), int(np.ceil(share * len(ranks)))) - 1]
-
-    if needed(_ranks(a, b, dim, tables, bits, 2), whole) <= 2:
-        return bits, 2
-    found, least = None, 1.0
-    for fewer in range(bits, 0, -1):
-        ranks = _ranks(a[:SAMPLE_PAIRS], b[:SAMPLE_PAIRS], dim, tables, fewer, 1 << NEAREST_PLANES)
-        probes = needed(ranks, whole and len(pairs) <= SAMPLE_PAIRS)
-        if tables * probes / 2**fewer < least:
-            found, least = (fewer, max(2, int(probes))), tables * probes / 2**fewer
-    return found
-
-
-def ann_topk(
-    queries: DataFrame, corpus: DataFrame, *, dim: int, k: int = fv.TOP_K, min_sim: float,
-    query_id: str = "query_id", item_id: str = "item_id", vec: str = "vec",
-    tables: int = 12, bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """Approximate top-k: only items that share a random-projection bucket are scored.
-
-    The scores are exact. A bucket is named by the sides of a few planes; their number
-    grows with the logarithm of the items, so that a bucket keeps about ``bucket_rows``
-    items. A query also looks into the bucket beyond its nearest plane. Where that finds
-    less than RECALL of the exact matches of a sample of the queries, planes are left out
-    and more buckets looked into until it does; where comparing all costs less, all are
-    compared. A bucket of many copies is cut into blocks.
-    """
-    bits = max(1, int(np.ceil(np.log2(max(corpus.count(), 1) / bucket_rows))))
-    q, c = (
-        df.select(F.col(name).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-        for df, name in ((queries, query_id), (corpus, item_id))
-    )
-    chosen = _probing(q, c, dim, k, min_sim, tables, bits)
-    if chosen is None:
-        return topk(q, c, dim=dim, k=k, min_sim=min_sim, query_id="id", item_id="id")
-    bits, probes = chosen
-    normals = planes(dim, tables * bits)
-
-    def signed(df, probes):
-        def sign_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                side = (_unit(list(batch["vec"]), dim) @ normals).reshape(len(batch) * tables, bits)
-                batch["looked"] = list(_probed(side, probes).reshape(len(batch), -1))
-                yield batch
-
-        out = df.mapInPandas(sign_rows, "id string, vec array<double>, looked array<bigint>")
-        out = out.select("id", "vec", F.size("looked").alias("_n"), F.posexplode("looked").alias("_t", "_h"))
-        return out.select("id", "vec", F.expr(f"_t div (_n div {tables})").alias("_t"), "_h")
-
-    q, c = signed(q, probes), signed(c, 1)
-    keys = ["_t", "_h"]
-    blocks = lambda df, name: df.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name)
-    )
-    sizes = blocks(q, "_na").join(blocks(c, "_nb"), keys)
-    cells = {"_a": F.col("_na"), "_b": F.col("_nb")}
-    found = _grid(q.join(sizes, keys), c.join(sizes, keys), keys, cells, dim, k, min_sim)
-    return rank_matches(found.groupBy("query_id", "item_id").agg(F.max("sim").alias("sim")), k)
-
-
 def topk_text(queries: DataFrame, corpus: DataFrame, *, query_text="text", item_vec="vec", **options) -> DataFrame:
     """Embed the query texts and retrieve."""
     qid = options.get("query_id", "query_id")
