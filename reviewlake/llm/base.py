@@ -63,9 +63,40 @@ def shipped_path(name: str) -> str:
     return SparkFiles.get(name)
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``df`` for the narrow side of a join: broadcast if it is counted to be small.
+def small_side(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` for the narrow side of a join: broadcast if its values are counted to be small.
 
-    Beyond ``max_rows`` it is returned as it is, and Spark shuffles both sides.
+    Beyond ``max_bytes`` it is returned as it is, and Spark shuffles both sides. A row
+    counts with 64 bytes and the length of its values written out.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.sum(F.length(F.to_json(F.struct("*"))) + 64)
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= max_bytes else df
+
+
+def most_frequent(df: DataFrame, count_col: str, n: int) -> DataFrame:
+    """The rows of largest count, about ``n`` of them and never more, without sorting any.
+
+    Counts are put into steps of a sixteenth of a doubling; one number a step reaches the
+    driver, and the last step that would go beyond ``n`` is left out as a whole. (Asking
+    for the first n rows in order makes every task send n rows of its own.)
+    """
+    step = F.floor(F.log2(F.col(count_col).cast("double")) * 16).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in df.where(F.col(count_col) > 0).groupBy(step).count().collect()), reverse=True)
+    least, taken = None, 0
+    for at, size in sizes:
+        taken += size
+        if taken > n:
+            break
+        least = at
+    return df.limit(0) if least is None else df.where((F.col(count_col) > 0) & (step >= least))
+
+
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python workers a thousand rows at a time, unless the session says how many.
+
+    Spark's own 10,000 rows of a few kilobytes, several times in flight, are most of what a
+    worker and the buffers beside it hold.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

@@ -78,7 +78,7 @@ def test_languages_are_told_apart_and_odd_texts_are_und(docs_of):
     rows += [(1000 + i, t, None, None) for i, t in enumerate(ODD)] + [(2000, None, "en", "s")]
     docs = docs_of(rows)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    model = langid.fit(docs.where(~held), known_words=50, known_grams=200)
+    model = langid.fit(docs.where(~held), known_words=50)
     got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     assert len(got) == len(rows)
     out = [(got[i].lang_pred, x) for i, _, x, _ in rows[:400] if is_held(i, 5, 0)]
@@ -91,43 +91,66 @@ def test_languages_are_told_apart_and_odd_texts_are_und(docs_of):
             assert r.lang_pred in parts and 0 < r.score <= 1
 
 
-def test_unseen_words_fall_back_to_shorter_grams():
-    model = langid.Model(["a", "b"], [("known", {"a": 9})], [("nown ", {"b": 9}), ("z", {"a": 5})], {"a": 20, "b": 20})
-    assert model.word("known").argmax() == 0
-    assert model.word("unknown").argmax() == 1  # its five-gram
-    assert model.word("zap").argmax() == 0  # its single letter
-    assert model.word("qqq") is None
+def plain_language(rows, texts):
+    """Prediction, score and familiar share of each text, word by word, with all counts in memory."""
+    counts = {"w": collections.defaultdict(collections.Counter), "g": collections.defaultdict(collections.Counter)}
+    totals: collections.Counter = collections.Counter()
+    for t, x in rows:
+        for w in langid.words_of(t):
+            totals[x] += 1
+            counts["w"][w][x] += 1
+            for n in range(1, 6):
+                for g in langid.grams(w, n):
+                    counts["g"][g][x] += 1
+    langs = sorted(totals)
+    logs = lambda c: np.array([math.log((c[x] + 0.5) / totals[x]) for x in langs])
+    prior = np.array([math.log((totals[x] + 1) / (sum(totals.values()) + len(langs))) for x in langs])
+    out = []
+    for t in texts:
+        score, familiar, words = prior.copy(), 0, collections.Counter(langid.words_of(t))
+        for w, n in words.items():
+            if w in counts["w"]:
+                score += n * logs(counts["w"][w])
+                familiar += n * (sum(counts["w"][w].values()) > n)
+                continue
+            for size in range(5, 0, -1):
+                found = [logs(counts["g"][g]) for g in langid.grams(w, size) if g in counts["g"]]
+                if found:
+                    score += n * np.mean(found, axis=0)
+                    familiar += n * (size >= 4)
+                    break
+        odds = np.exp(score - score.max())
+        out.append((langs[score.argmax()], odds.max() / odds.sum(), familiar / max(1, sum(words.values()))))
+    return out
+
+
+def test_unseen_words_fall_back_to_shorter_grams(docs_of):
+    docs = docs_of([(1, "known unknowable", "a", "s"), (2, "known shown zip", "b", "s"), (3, "zap", None, "s"), (4, "qqq", None, "s"), (5, "shownow", None, "s")])
+    got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert got[5].lang_pred == "b" and got[5].familiar == 1.0  # its four- and five-grams
+    assert got[3].lang_pred == "b" and got[3].familiar == 0.0  # its " z"
+    assert got[4].lang_pred == "b" and got[4].familiar == 0.0  # nothing known: the most taught language
+    assert got[1].familiar == 0.5  # of its two words one has been taught by another text
 
 
-def test_every_taught_word_and_gram_counts_however_few_are_handed_to_tasks(docs_of):
+@pytest.mark.parametrize("known", [0, 4, 10**6])
+def test_every_taught_word_and_gram_counts_however_few_are_handed_to_tasks(docs_of, monkeypatch, known):
     rng = random.Random(8)
+    monkeypatch.setattr(langid, "HELD", 20)
     parts = {"en": ["th", "er", "ing"], "xx": ["er", "sch", "ung", "ing"]}
     word = lambda x: "".join(rng.choice(parts[x]) for _ in range(rng.randrange(1, 5)))
     rows = [(i, " ".join(word(x) for _ in range(12)), x, "s") for i, x in enumerate(rng.choices(["en", "xx"], weights=[9, 1], k=200))]
     texts = [" ".join(word(rng.choice("en xx".split())) + rng.choice(["", "", "q"]) for _ in range(rng.randrange(1, 9))) for _ in range(80)]
     texts += ["zzz", "qqq erq erq", "日本語 thing", "sch " * 50]
-    counts = {"w": collections.defaultdict(collections.Counter), "g": collections.defaultdict(collections.Counter)}
-    totals: collections.Counter = collections.Counter()
-    for _, t, x, _ in rows:
-        for w in t.split():
-            totals[x] += 1
-            counts["w"][w][x] += 1
-            for n in range(1, 6):
-                for g in langid.grams(w, n):
-                    counts["g"][g][x] += 1
-    plain = langid.Model(sorted(totals), list(counts["w"].items()), list(counts["g"].items()), totals)
-    model = langid.fit(docs_of(rows), known_words=4, known_grams=5)
+    model = langid.fit(docs_of(rows), known_words=known)
     got = {r.doc_id: r for r in langid.identify(docs_of([(i, t, None, "s") for i, t in enumerate(texts)]), model).collect()}
-    for i, t in enumerate(texts):
-        found = [plain.word(w) for w in langid.words_of(t)]
-        score = plain.prior + sum(x for x in found if x is not None)
-        odds = np.exp(score - score.max())
-        assert (got[i].lang_pred, got[i].score) == (plain.langs[score.argmax()], pytest.approx(odds.max() / odds.sum(), rel=1e-9)), t
+    for i, (lang, score, familiar) in enumerate(plain_language([(t, x) for _, t, x, _ in rows], texts)):
+        assert (got[i].lang_pred, got[i].score, got[i].familiar) == (lang, pytest.approx(score, rel=1e-9), pytest.approx(familiar)), texts[i]
 
 
 def test_language_without_teaching(docs_of):
     docs = docs_of([(1, "hello", None, None)])
-    assert [tuple(r) for r in langid.identify(docs, langid.fit(docs)).collect()] == [(1, "und", 0.0)]
+    assert [tuple(r) for r in langid.identify(docs, langid.fit(docs)).collect()] == [(1, "und", 0.0, 0.0)]
     assert langid.identify(docs_of([]), langid.fit(docs_of([]))).count() == 0
 
 
