@@ -19,7 +19,10 @@ F1, FA, F2, F3, F4 = "AST-FIN-001", "AST-FIN-001-ASSIGN", "AST-FIN-002", "AST-FI
 
 
 class Case:
-    """A snippet, its findings (text key, line, values), spans and depths."""
+    """A snippet, its findings (text key, line, values), spans and depths.
+
+    A finding's column is that of its line's first sign, if ``col`` does not say otherwise.
+    """
 
     def __init__(self, code, findings=(), spans=(), depths=()):
         self.code, self.findings, self.spans, self.depths = code, findings, spans, depths
@@ -29,13 +32,13 @@ CASES = [
     Case("from decimal import Decimal\nfee = Decimal('0.5')\nok = account.debit(fee)"),
     Case(
         "def calculate_fee(amount):\n    fee = amount * 0.025\n    return fee",
-        [(F1, 2, {"value": "0.025", "op": "*"})],
+        [(F1, 2, {"value": "0.025", "op": "*", "col": 10})],
         [("def", "calculate_fee", 1, None)],
         [(2, "calculate_fee", 0, 0), (3, "calculate_fee", 0, 0)],
     ),
     Case(
         "def add(balance, x):\n    return balance + float(x)",
-        [(F1, 2, {"value": "float(...)", "op": "+"})],
+        [(F1, 2, {"value": "float(...)", "op": "+", "col": 11})],
         [("def", "add", 1, None)],
         [(2, "add", 0, 0)],
     ),
@@ -49,19 +52,19 @@ CASES = [
     ),
     Case(
         "def f(total, x):\n    log(total, x * 0.5)\n    y = (total + x) * 0.5\n    q = total * 0.5 ** 2\n    w = -0.5 * total\n    return round(\n        total *\n        0.25, 2)",
-        [(F1, 3, {"value": "0.5", "op": "*"}), (F1, 7, {"value": "0.25", "op": "*"})],
+        [(F1, 3, {"value": "0.5", "op": "*", "col": 8}), (F1, 7, {"value": "0.25", "op": "*", "rows": 1})],
         [("def", "f", 1, None)],
         [(i, "f", 0, 0) for i in (2, 3, 4, 5, 6)],
     ),
     Case(
         "def settle(total):\n    z = total - 0.5 - 0.5\n    t = latency * 2.5",
-        [(F1, 2, {"value": "0.5", "op": "-"}), (F1, 2, {"value": "0.5", "op": "-"}), (F1, 3, {"value": "2.5", "op": "*"})],
+        [(F1, 2, {"value": "0.5", "op": "-", "col": 8}), (F1, 2, {"value": "0.5", "op": "-", "col": 8}), (F1, 3, {"value": "2.5", "op": "*", "col": 8})],
         [("def", "settle", 1, None)],
         [(2, "settle", 0, 0), (3, "settle", 0, 0)],
     ),
     Case(
         '@app.post("/pay/process")\nasync def pay(\n    payload: dict,\n    rate: float = 1.5 * 2,\n):\n    pass',
-        [(F2, 2, {"name": "/pay/process", "value": "pay"})],
+        [(F2, 2, {"name": "/pay/process", "value": "pay", "rows": 3})],
         [("def", "pay", 2, None)],
         [(6, "pay", 0, 0)],
     ),
@@ -96,23 +99,31 @@ CASES = [
     ),
     Case(
         "def settle_fee(db, account, amount):\n    fee = amount * 0.02\n    with transaction.atomic():\n        httpx.post(u)\n        account.debit(fee)",
-        [(F1, 2, {"value": "0.02", "op": "*"}), (F3, 4, {"name": "httpx.post"}), (F4, 5, {"name": "account.debit"})],
+        [(F1, 2, {"value": "0.02", "op": "*", "col": 10}), (F3, 4, {"name": "httpx.post"}), (F4, 5, {"name": "account.debit"})],
         [("def", "settle_fee", 1, None), ("txn", "", 3, None)],
         [(2, "settle_fee", 0, 0), (3, "settle_fee", 0, 0), (4, "settle_fee", 1, 0), (5, "settle_fee", 1, 0)],
     ),
     Case(
         "def deep_fee(account, a):\n    x = a * float(f(g(h(i(j(k(1)))))))\n    account.debit(f(g(h(i(j(k(1)))))))\n    with db.begin(f(g(h(i(j(k(1))))))):\n        requests.post(u)",
-        [(F1, 2, {"value": "float(...)", "op": "*"}), (F4, 3, {"name": "account.debit"}), (F3, 5, {"name": "requests.post"})],
+        [(F1, 2, {"value": "float(...)", "op": "*", "col": 8}), (F4, 3, {"name": "account.debit"}), (F3, 5, {"name": "requests.post"})],
         [("def", "deep_fee", 1, None), ("txn", "", 4, None)],
         [(2, "deep_fee", 0, 0), (3, "deep_fee", 0, 0), (4, "deep_fee", 0, 0), (5, "deep_fee", 1, 0)],
     ),
     Case(
         "def one(total, account):\n    if ok: account.debit(5)\n    x = 1; account.withdraw(5); total = 2.5\n    log(f'{total * 0.5:.2f}')",
-        [(F4, 2, {"name": "account.debit"}), (F4, 3, {"name": "account.withdraw"}), (FA, 3, {"value": "2.5", "name": "total"}),
-         (F1, 4, {"value": "0.5", "op": "*"})],
+        [(F4, 2, {"name": "account.debit", "col": 11}), (F4, 3, {"name": "account.withdraw", "col": 11}), (FA, 3, {"value": "2.5", "name": "total", "col": 32}),
+         (F1, 4, {"value": "0.5", "op": "*", "col": 11})],
         [("def", "one", 1, None)],
         [(2, "one", 0, 0), (3, "one", 0, 0), (4, "one", 0, 0)],
     ),
+    Case(
+        "def g(total, x):\n    a = 0.5 + x * total\n    b = 1.5 * x + 0.25 - total\n    c = x * total * float(x) + 2.5\n    d = f(0.5 * x, total) * x, total[x * 0.5] * 3\n"
+        "    e = (0.5) ** total | (lambda rate=0.5 * total: 1.5 << x)(total=x * 0.5)\n    é = 'ß'; h = 1 if x else total // 1_0.5e1",
+        [(F1, 2, {"value": "0.5", "op": "+", "col": 8}), (F1, 4, {"value": "float(...)", "op": "*", "col": 8}), (F1, 4, {"value": "2.5", "op": "+", "col": 8}),
+         (F1, 6, {"value": "0.5", "op": "**", "col": 8}), (F1, 7, {"value": "105.0", "op": "//", "col": 31})],
+        [("def", "g", 1, None)],
+        [(i, "g", 0, 0) for i in range(2, 8)],
+    ),
 ]
 SNIPPETS = [c.code for c in CASES]
 _META = {r[0]: r for r in fv.RULES}
@@ -123,7 +134,8 @@ def _expected_rows():
         for key, line, values in case.findings:
             rule = key.removesuffix("-ASSIGN")
             message, fix = (t.format(**{"value": "", "name": "", "op": "", **values}) for t in fv.RULE_TEXTS[key])
-            yield i, rule, line, message, fix
+            text = case.code.split("\n")[line - 1]
+            yield i, rule, line, message, fix, values.get("col", len(text) - len(text.lstrip())), line + values.get("rows", 0)
 
 
 def _values(rows, names) -> str:
@@ -134,8 +146,8 @@ def _values(rows, names) -> str:
 _SRC_SQL = f"""src AS (SELECT doc_id AS file_id, doc_id % {len(CASES)} AS c, length(text) - length(replace(text, chr(10), '')) + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS skip,
    CASE WHEN doc_id % 2 = 0 THEN '\"\"\"' || replace(text, '\"', ' ') || chr(10) || '\"\"\"' || chr(10) ELSE '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10) END
      || {sql_pick(SNIPPETS, 'doc_id')} AS source FROM documents)"""
-_WANT_SQL = f"""{_SRC_SQL}, want AS (SELECT * FROM {_values(_expected_rows(), 'c, rule_id, line, message, suggested_fix')}),
-   findings AS (SELECT file_id, rule_id, CAST(line + skip AS INTEGER) AS line_start, message, suggested_fix FROM src JOIN want USING (c))"""
+_WANT_SQL = f"""{_SRC_SQL}, want AS (SELECT * FROM {_values(_expected_rows(), 'c, rule_id, line, message, suggested_fix, col_offset, line_to')}),
+   findings AS (SELECT file_id, rule_id, CAST(line + skip AS INTEGER) AS line_start, CAST(line_to + skip AS INTEGER) AS line_end, col_offset, message, suggested_fix FROM src JOIN want USING (c))"""
 
 
 def sources(spark, sf_dir):
@@ -186,12 +198,12 @@ def in_block(spark, sf_dir):
 
 
 def _rule_query(name, rule_id):
-    sql = f"WITH {_WANT_SQL} SELECT file_id, line_start, message, suggested_fix FROM findings WHERE rule_id = '{rule_id}'"
+    sql = f"WITH {_WANT_SQL} SELECT file_id, line_start, line_end, col_offset, message, suggested_fix FROM findings WHERE rule_id = '{rule_id}'"
 
     @query(name, sql)
     def run(spark, sf_dir):
         found = rl.find(sources(spark, sf_dir)).where(F.col("rule_id") == rule_id)
-        return found.select("file_id", "line_start", "message", "suggested_fix")
+        return found.select("file_id", "line_start", "line_end", "col_offset", "message", "suggested_fix")
 
     return run
 

@@ -105,8 +105,8 @@ def opens_transaction(code: Column) -> Column:
 def pieces(code: Column) -> Column:
     """Simple statements of a logical one: what ``;`` and the colon of a one-line block part.
 
-    An array of (code, top, row): the piece, its ``top_level`` and the line it starts on,
-    from 0. The header of a block is no piece.
+    An array of (code, top, row, col): the piece, its ``top_level`` and the line and
+    column it starts on, from 0. The header of a block is no piece.
     """
     top = top_level(code)
     head = F.length(F.regexp_extract(top, HEADER, 0))
@@ -117,7 +117,8 @@ def pieces(code: Column) -> Column:
         own = F.substr(code, before + 1, F.length(segment))
         up_to = F.concat(F.substr(code, F.lit(1), before), F.regexp_extract(own, r"^\s*", 0))
         return F.struct(
-            own.alias("code"), segment.alias("top"), F.length(F.regexp_replace(up_to, r"[^\n]", "")).alias("row")
+            own.alias("code"), segment.alias("top"), F.length(F.regexp_replace(up_to, r"[^\n]", "")).alias("row"),
+            F.length(F.regexp_extract(up_to, r"[^\n]*$", 0)).alias("col"),
         )
 
     return F.filter(F.transform(segments, piece), lambda p: p["top"].rlike(r"\S"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import contains_any, fixed
-from .lines import BRACKET, HEADER, in_block, pieces, top_level
+from .lines import in_block, pieces, top_level
+from .operands import operations_of
 
 _FIN = "|".join(fv.FINANCIAL_KEYWORDS)
 _NOT_FIN = "|".join(fv.NON_FINANCIAL_TOKENS)
@@ -22,46 +23,9 @@ _NUMBER = (
     r"(?<![\w.])(?:\d[\d_]*\.(?:\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?"
     r"|\d[\d_]*[eE][+-]?\d+)(?![\w.])"
 )
-# Brackets are marked with a sign for their depth on the inside; the same sign then ends
-# what it began, so a match reaches to its own closing bracket at any depth.
-DEPTHS = "\ue000-\uf8ff"
-_CAST = rf"(?<![\w.])float\s*\(([{DEPTHS}])[\s\S]*?\1\)"
-_CAST_ARGS = rf"(?=(?<![\w.])float\s*(\(([{DEPTHS}])[\s\S]*?\2\)))"
 MAY_FLOAT = rf"(?:{_NUMBER}|(?<![\w.])float\s*\()"
 FLOAT = f"(?:{_NUMBER}|(?<![\\w.])float\\s*\\( *\\))"  # where the inside of brackets is blank
 
-# Marks put around floats; they cannot occur in source that parses.
-_L, _R, _NL, _SIGNED = "\u0002", "\u0003", "\u0004", "\u0005"
-_WORDS = (
-    r"\b(?:and|or|not|if|elif|else|return|in|is|for|while|await|yield|lambda|assert|del|raise"
-    r"|from|import|with|as|except)\b"
-)
-_SIGN = rf"(?<![\w)\]\"'{_R}][ {_NL}]{{0,2}})[-+][ \t{_NL}]*{_L}[^{_R}]*{_R}(?![ \t{_NL}]*\^)"
-_BUSY = rf"{_R}[ \t{_NL}]*[-+*/%^]|[-+*/%^][ \t{_NL}]*{_L}"  # a float beside an operator
-_INNER = rf"(?:[^()\[\]{_L}]|{_L}[^{_R}]*{_R})*"
-
-
-def _segment(operators: str) -> str:
-    """A stretch of operands and operators within one pair of brackets.
-
-    Bracketed groups belong to it unless they hold a float beside an operator;
-    those are stretches of their own.
-    """
-    chars = rf"[\w.\s\"'~{_NL}{_SIGNED}{operators}]++"
-    group = rf"\((?![^()]*(?:{_BUSY})){_INNER}\)|\[(?![^\[\]]*(?:{_BUSY})){_INNER}\]"
-    return rf"[)\]]?(?:{chars}|{_L}[^{_R}]*{_R}|{group})++"
-
-
-# Operators with a float as direct operand, after white space is gone, every
-# float is one mark and ** is written ^. A float belongs to the stronger of its
-# neighbours, of equal ones to the left, and to the right one for powers.
-_POWER = rf"(?:(?<={_L})\^|\^(?={_L}(?!\^)))"
-_STRONG = rf"(?:(?<=(?<![*/%^]){_L})(?://|[*/%])|(?://|[*/%])(?={_L}(?!\^)))"
-_WEAK = (
-    rf"(?:(?<=(?<![*/%^+\-]){_L})[-+]|(?<=[\w)\]\"'{_L}{_SIGNED}])[-+](?={_L}(?![*/%^])))"
-)
-TIERS = [(_segment("\\^"), _POWER), (_segment("\\^*/%"), _STRONG), (_segment("\\^*/%+\\-"), _WEAK)]
-
 ASSIGN = (
     r"^\s*((?:[A-Za-z_]\w*\s*=\s*)*[A-Za-z_]\w*)\s*(?::[^=\n]+)?(?:=|\+=|-=|//=|\*\*=|\*=|/=|%=)\s*("
     + FLOAT + r")\s*$"
@@ -98,12 +62,14 @@ def _fill(template: str, **values: Column) -> Column:
     return out
 
 
-def _finding(rule_id, line_start, line_end, line_text, text_key=None, **values) -> Column:
+def _finding(rule_id, line_start, line_end, col, line_text, text_key=None, **values) -> Column:
+    """A finding; its column counts the bytes before it on its line, as compilers do."""
     message, fix = fv.RULE_TEXTS[text_key or rule_id]
     return F.struct(
         F.lit(rule_id).alias("rule_id"),
         line_start.cast("int").alias("line_start"),
         line_end.cast("int").alias("line_end"),
+        F.octet_length(F.left(line_text, col)).cast("int").alias("col_offset"),
         _fill(message, **values).alias("message"),
         _fill(fix, **values).alias("suggested_fix"),
         line_text.alias("line_text"),
@@ -116,110 +82,28 @@ def _float_text(literal: Column) -> Column:
     return F.when(literal.startswith("float"), "float(...)").otherwise(number)
 
 
-def mark_depth(code: Column) -> Column:
-    """Put the sign of its depth inside every bracket."""
-    marks = F.regexp_extract_all(code, F.lit(f"({BRACKET})"), F.lit(1))
-    pairs = F.zip_with(
-        F.split(code, BRACKET, -1), marks, lambda t, m: F.struct(t.alias("text"), F.coalesce(m, F.lit("")).alias("mark"))
-    )
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
-    sign = lambda depth: F.decode(
-        F.unhex(F.hex(F.lit(0xE000) + F.pmod(depth, F.lit(0x1900)))), "UTF-16BE"
-    )
-
-    def step(state: Column, x: Column) -> Column:
-        depth, mark = state["depth"], x["mark"]
-        opens, closes = mark.isin("(", "[", "{"), mark.isin(")", "]", "}")
-        after = F.when(opens, depth + 1).when(closes, F.greatest(depth - 1, F.lit(0))).otherwise(depth)
-        return F.struct(
-            after.alias("depth"),
-            F.concat(
-                state["out"], x["text"],
-                F.when(opens, F.concat(mark, sign(depth))).when(closes, F.concat(sign(after), mark)).otherwise(mark),
-            ).alias("out"),
-        )
-
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
-
+def float_operations(stmts: DataFrame) -> DataFrame:
+    """Add ``_ops``: the operations of every statement that holds a float and may be financial.
 
-def mark_floats(stmts: DataFrame) -> DataFrame:
-    """Add the stretches of every statement that holds a float and may be financial.
-
-    A stretch holds names of its statement only, so statements without a financial
-    name outside financial functions are left out. Of a signature only the body on
-    the same line counts. The arguments of a cast are looked at on their own, as
-    they may compute too.
+    An operation holds names of its statement only, so statements without a financial
+    name outside financial functions are left out.
     """
-    own, is_def = F.col("code"), F.coalesce(F.col("kind") == "def", F.lit(False))
-    head = F.regexp_extract(F.when(is_def, top_level(own)).otherwise(F.lit("")), HEADER, 0)
-    start = F.substr(own, F.lit(1), F.length(head))
-    body = F.concat(F.regexp_replace(start, r"[^\n]", " "), F.substr(own, F.length(head) + 1))
-    own = F.when(is_def & (head == ""), F.lit("")).when(is_def, body).otherwise(own)
-    code = F.regexp_replace(F.regexp_replace(own, r"[ \t\f]+", " "), "\n", _NL)
-    code = mark_depth(F.regexp_replace(F.replace(code, F.lit("**"), F.lit("^")), _WORDS, ";"))
-
-    def floats(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(x, f"{_CAST}|{_NUMBER}", f"{_L}$0{_R}"), f"[{DEPTHS}]", "")
-
-    marked = floats(code)
-    inner = F.transform(F.regexp_extract_all(code, F.lit(_CAST_ARGS), F.lit(1)), floats)
+    is_def = F.coalesce(F.col("kind") == "def", F.lit(False))
     names = F.regexp_extract_all("code", F.lit(r"([A-Za-z_]\w*)"), F.lit(1))
     financial = is_financial(F.when(is_def, F.col("name")).otherwise(F.col("function"))) | F.exists(names, is_financial)
     has = F.col("code").rlike(MAY_FLOAT) & financial
-    out = fixed(
-        stmts,
-        _texts=F.when(
-            has,
-            F.transform(F.concat(F.array(marked), inner), lambda x: F.regexp_replace(x, _SIGN, _SIGNED)),
-        ).otherwise(F.array().cast("array<string>")),
-    )
-
-    def count_breaks(x: Column) -> Column:
-        return F.length(F.regexp_replace(x, f"[^{_NL}]", ""))
-
-    def stretches(text: Column, segment: str, operator: str) -> Column:
-        segs = F.regexp_extract_all(text, F.lit(f"({segment})"), F.lit(1))
-        gaps = F.split(text, segment, -1)
-
-        def one(seg: Column, i: Column) -> Column:
-            earlier = F.concat(
-                F.array_join(F.slice(gaps, F.lit(1), i + 1), ""), F.array_join(F.slice(segs, F.lit(1), i), "")
-            )
-            lead = F.regexp_extract(seg, rf"^[\s{_NL}]*", 0)
-            bare = F.regexp_replace(
-                F.regexp_replace(seg, rf"[\s{_NL}]", ""), f"{_L}[^{_R}]*{_R}", _L
-            )
-            return F.struct(
-                F.when(seg.rlike(r"^[)\]]"), text).otherwise(seg).alias("scope"),
-                (count_breaks(earlier) + count_breaks(lead)).alias("row"),
-                F.regexp_count(bare, F.lit(operator)).alias("n"),
-                F.replace(F.regexp_extract(bare, operator, 0), F.lit("^"), F.lit("**")).alias("op"),
-                _float_text(F.regexp_extract(seg, f"{_L}([^{_R}]*){_R}", 1)).alias("value"),
-            )
-
-        return F.filter(F.transform(segs, one), lambda s: s["n"] > 0)
-
-    all_tiers = F.flatten(
-        F.transform("_texts", lambda t: F.concat(*[stretches(t, s, o) for s, o in TIERS]))
-    )
-    return fixed(out, _ops=all_tiers).drop("_texts")
+    out = fixed(stmts, _float_code=F.when(has, F.col("code")))
+    return fixed(out, _ops=operations_of(F.col("_float_code"), is_def)).drop("_float_code")
 
 
 def _rule_float(s: dict[str, Column]) -> Column:
     fin_function = is_financial(F.when(s["kind"].eqNullSafe("def"), s["name"]).otherwise(s["function"]))
-    names = lambda scope: F.regexp_extract_all(
-        scope, F.lit(rf"(?<![\w.{_L}])([A-Za-z_]\w*)"), F.lit(1)
-    )
-    hits = F.filter("_ops", lambda o: fin_function | F.exists(names(o["scope"]), is_financial))
+    hits = F.filter("_ops", lambda o: fin_function | F.exists(o["names"], is_financial))
 
-    def expand(o: Column) -> Column:
-        part = F.get(s["parts"], F.least(o["row"], F.size(s["parts"]) - 1))
-        one = _finding(
-            "AST-FIN-001", part["line_no"], s["line_end"], part["text"], value=o["value"], op=o["op"]
-        )
-        return F.array_repeat(one, o["n"])
+    def operation(o: Column) -> Column:
+        first, last = F.get(s["parts"], o["row"]), F.get(s["parts"], o["row_end"])
+        return _finding("AST-FIN-001", first["line_no"], last["line_no"], o["col"], first["text"], value=o["value"], op=o["op"])
 
-    operations = F.flatten(F.transform(hits, expand))
     targets = lambda p: F.split(
         F.regexp_replace(F.regexp_extract(p["top"], ASSIGN, 1), r"\s", ""), "=", -1
     )
@@ -232,11 +116,11 @@ def _rule_float(s: dict[str, Column]) -> Column:
     def assignment(p: Column) -> Column:
         part = F.get(s["parts"], p["row"])
         return _finding(
-            "AST-FIN-001", part["line_no"], s["line_end"], part["text"], "AST-FIN-001-ASSIGN",
+            "AST-FIN-001", part["line_no"], s["line_end"], p["col"], part["text"], "AST-FIN-001-ASSIGN",
             value=_float_text(F.regexp_extract(p["top"], ASSIGN, 2)), name=F.array_join(targets(p), ", "),
         )
 
-    return F.concat(operations, F.transform(assigned, assignment))
+    return F.concat(F.transform(hits, operation), F.transform(assigned, assignment))
 
 
 def _rule_idempotency(s: dict[str, Column]) -> Column:
@@ -250,7 +134,7 @@ def _rule_idempotency(s: dict[str, Column]) -> Column:
     guarded = F.regexp_replace(inside, r"^\(.*,\s*/\s*(?=[,)])", "(").rlike(GUARD_NAME)
     hit = (s["kind"] == "def") & (s["route.group"] == s["group"]) & ~guarded
     one = _finding(
-        "AST-FIN-002", s["line_start"], F.coalesce(s["block_end"], s["line_end"]), s["parts"][0]["text"],
+        "AST-FIN-002", s["line_start"], F.coalesce(s["block_end"], s["line_end"]), _lead(s["parts"][0]["code"]), s["parts"][0]["text"],
         name=s["route.path"], value=s["name"],
     )
     return F.when(hit, F.array(one)).otherwise(F.array().cast(_ARRAY))
@@ -259,27 +143,34 @@ def _rule_idempotency(s: dict[str, Column]) -> Column:
 def _rule_network(s: dict[str, Column]) -> Column:
     in_txn = (s["txn_depth"] > 0) | (s["kind"] == "txn")
 
+    def found(code: Column, pattern: str, name) -> Column:
+        """Name and place of every call that the pattern matches."""
+        gaps, hits = F.split(code, pattern, -1), F.regexp_extract_all(code, F.lit(f"({pattern})"), F.lit(1))
+        width = lambda texts, n: F.aggregate(F.slice(texts, F.lit(1), n), F.lit(0), lambda w, x: w + F.length(x))
+
+        def one(hit: Column, i: Column) -> Column:
+            # what is called may be an attribute of what stands before
+            chain = F.length(F.regexp_extract(F.get(gaps, i), r"[\w.]*$", 0)) if pattern is CALL_ON_REQUEST else F.lit(0)
+            return F.struct(name(hit).alias("name"), (width(gaps, i + 1) + width(hits, i) - chain).alias("col"))
+
+        return F.transform(hits, one)
+
     def calls(part: Column) -> Column:
-        code = part["code"]
-        both = F.zip_with(
-            F.regexp_extract_all(code, F.lit(CALL_ON_NAME), F.lit(1)),
-            F.regexp_extract_all(code, F.lit(CALL_ON_NAME), F.lit(2)),
-            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+        code, bare = part["code"], lambda hit: F.regexp_extract(hit, BARE_CALL, 1)
+        owner = lambda c: F.element_at(F.split(c["name"], r"\."), 1)
+        named = F.filter(
+            found(code, CALL_ON_NAME, lambda hit: F.concat_ws(".", F.regexp_extract(hit, CALL_ON_NAME, 1), F.regexp_extract(hit, CALL_ON_NAME, 2))),
+            lambda c: owner(c).isin(fv.NETWORK_MODULES) | contains_any(F.lower(owner(c)), ["client", "session"]),
         )
-        risky = F.filter(
-            both, lambda c: c["a"].isin(fv.NETWORK_MODULES) | contains_any(F.lower(c["a"]), ["client", "session"])
+        requested = found(
+            code, CALL_ON_REQUEST, lambda hit: F.concat(F.lit("request."), F.regexp_extract(hit, CALL_ON_REQUEST, 1))
         )
-        named = F.transform(risky, lambda c: F.concat_ws(".", c["a"], c["b"]))
-        requested = F.transform(
-            F.regexp_extract_all(code, F.lit(CALL_ON_REQUEST), F.lit(1)), lambda m: F.concat(F.lit("request."), m)
-        )
-        bare = F.filter(
-            F.regexp_extract_all(code, F.lit(BARE_CALL), F.lit(1)),
-            lambda m: (m == "urlopen") | ~m.eqNullSafe(s["function"]),
+        alone = F.filter(
+            found(code, BARE_CALL, bare), lambda c: (c["name"] == "urlopen") | ~c["name"].eqNullSafe(s["function"])
         )
         return F.transform(
-            F.concat(named, requested, bare),
-            lambda n: _finding("AST-FIN-003", part["line_no"], s["line_end"], part["text"], name=n),
+            F.concat(named, requested, alone),
+            lambda c: _finding("AST-FIN-003", part["line_no"], s["line_end"], c["col"], part["text"], name=c["name"]),
         )
 
     return F.when(in_txn, F.flatten(F.transform(s["parts"], calls))).otherwise(F.array().cast(_ARRAY))
@@ -301,14 +192,19 @@ def _rule_debit(s: dict[str, Column]) -> Column:
             .when(owner == "", F.concat(F.lit("obj."), method(p)))
             .otherwise(F.concat_ws(".", owner, method(p)))
         )
-        return _finding("AST-FIN-004", part["line_no"], s["line_end"], part["text"], name=name)
+        return _finding("AST-FIN-004", part["line_no"], s["line_end"], p["col"], part["text"], name=name)
 
     return F.transform(hits, one)
 
 
-_PIECES = "array<struct<code:string,top:string,row:int>>"
+def _lead(code: Column) -> Column:
+    """Number of blanks that a line begins with."""
+    return F.length(F.regexp_extract(code, r"^\s*", 0))
+
+
+_PIECES = "array<struct<code:string,top:string,row:int,col:int>>"
 _ARRAY = (
-    "array<struct<rule_id:string,line_start:int,line_end:int,message:string,suggested_fix:string,line_text:string>>"
+    "array<struct<rule_id:string,line_start:int,line_end:int,col_offset:int,message:string,suggested_fix:string,line_text:string>>"
 )
 
 
@@ -346,7 +242,7 @@ def routes(stmts: DataFrame) -> DataFrame:
 def find(files: DataFrame, *, source_col="source", marker: str = fv.SUPPRESS_MARKER) -> DataFrame:
     """All findings of a table of files (``file_id``, source), without suppressed ones."""
     worth = files.where(worth_scanning(F.col(source_col)))
-    stmts = mark_floats(routes(in_block(worth, source_col=source_col)))
+    stmts = float_operations(routes(in_block(worth, source_col=source_col)))
     parted = F.col("code").rlike(MAY_FLOAT) | contains_any(F.lower("code"), fv.DEBIT_NAMES)
     stmts = fixed(stmts, pieces=F.when(parted, pieces(F.col("code"))))
     s = {c: F.col(c) for c in stmts.columns} | {
