@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import fixed, rewrite_matches, split_lines
+from ..plans.layout import by_key
 
 # Comments and string literals of Python source; the mark of an f-string belongs to it.
 LITERAL = (
@@ -148,7 +149,7 @@ def statements(files: DataFrame, *, source_col="source") -> DataFrame:
     ``parts`` holds the lines (line_no, code, text); ``code`` joins the masked
     lines with \\n. Lines without code drop out.
     """
-    by_file = files.select("file_id", source_col).repartition("file_id")
+    by_file = by_key(files.select("file_id", source_col), "file_id")
     lines = explode_lines(by_file, source_col=source_col).where(F.col("code").rlike(r"\S"))
     count = lambda chars: F.length(F.regexp_replace("code", f"[^{chars}]", ""))
     lines = lines.withColumns(
