@@ -245,6 +245,9 @@ def find(files: DataFrame, *, source_col="source", marker: str = fv.SUPPRESS_MAR
     stmts = float_operations(routes(in_block(worth, source_col=source_col)))
     parted = F.col("code").rlike(MAY_FLOAT) | contains_any(F.lower("code"), fv.DEBIT_NAMES)
     stmts = fixed(stmts, pieces=F.when(parted, pieces(F.col("code"))))
+    in_txn = (F.col("txn_depth") > 0) | (F.col("kind") == "txn")
+    guarded = (F.col("kind") == "def") & F.col("route").isNotNull()
+    stmts = stmts.where((F.size("_ops") > 0) | F.col("pieces").isNotNull() | F.coalesce(in_txn | guarded, F.lit(False)))
     s = {c: F.col(c) for c in stmts.columns} | {
         "route.group": F.col("route.group"), "route.path": F.col("route.path"),
         "block_end": F.lit(None).cast("int"),
