@@ -21,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ship, shipped_path
+from ..plans.work import new_dir, written
+from .base import lean_batches, most_frequent, ship, shipped_path
 from .lexicon import Lexicon, build
 
 END = "</w>"  # fixed value: the mark of a word's last symbol
-REMEMBERED = 300_000  # pieces a task keeps
+REMEMBERED = 150_000  # pieces a task keeps
+HELD = 250_000  # pieces that a task counts before it sends them on
 
 
 def byte_signs() -> list[str]:
@@ -170,14 +172,19 @@ def piece_counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
 
     def count(batches):
         parts = _vocabulary(vocabulary).parts
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 counts.update(parts(text or ""))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                names=["piece", "n"],
-            )
+                if len(counts) > HELD:
+                    yield send(counts)
+                    counts = Counter()
+        yield send(counts)
+
+    def send(counts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"]
+        )
 
     partial = docs.select(text_col).mapInArrow(count, "piece string, n bigint")
     return partial.groupBy("piece").agg(F.sum("n").alias("n"))
@@ -195,17 +202,19 @@ def encode(
 
     Returns id, n_tokens, ids (array, unless ``keep_ids`` is off), ids_sha256,
     decoded (with ``keep_ids``), decoded_sha256; a row for each given row. The
-    lexicon holds the ``lexicon_size`` most frequent pieces of all texts (the only
+    lexicon holds up to ``lexicon_size`` most frequent pieces of all texts (the only
     rows that reach the driver); its size changes the speed only. A null text
-    counts as empty: no ids, an empty decoding. Extra columns are left out.
+    counts as empty: no ids, an empty decoding. Texts are encoded whole; ids may be null
+    or repeat. Extra columns are left out; an empty table stays empty.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
     vocabulary = ship(spark, "vocabulary", content.encode())
     own = Vocabulary(content)
-    top = piece_counts(docs, vocabulary, text_col).orderBy(F.desc("n"), "piece").limit(lexicon_size)
-    frequent = [r[0] for r in top.select("piece").collect()]
+    counts = written(piece_counts(docs, vocabulary, text_col), new_dir(spark, "pieces"))
+    frequent = most_frequent(counts, "n", lexicon_size).select("piece").toArrow().column(0).to_pylist()
     lexicon = ship(
         spark, "lexicon",
         build([p.encode() for p in frequent], [ids_bytes(own.merge(p)) for p in frequent]),

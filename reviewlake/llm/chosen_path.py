@@ -289,18 +289,22 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     """``docs`` with one row of each component: the one with the smallest id, null ids last.
 
     Rows are told apart by a tag of their own, so ids may repeat or be null. Of rows
-    with the same smallest id the first one stays.
+    with the same smallest id the first one stays. A text that is null or has no word
+    resembles nothing and stays; very long texts are compared whole. All columns come
+    back, whatever their names; an empty table stays empty.
     """
     spark = docs.sparkSession
-    tagged = written(docs.withColumn("_row", F.monotonically_increasing_id()), new_dir(spark, "tagged"))
-    found = join(tagged, k, percent, id_col="_row", text_col=text_col)
+    # the given columns stay packed, so none of their names can clash
+    tagged = written(docs.select(F.struct("*").alias("given"), F.monotonically_increasing_id().alias("_row")), new_dir(spark, "tagged"))
+    found = join(tagged, k, percent, id_col="_row", text_col=f"given.`{text_col}`")
     tied = found.where(~F.col("kept")).select(F.col("doc_id").alias("_row"), "component_id")
     tied = written(tied, new_dir(spark, "tied"))
     # the first row of a component is the one that is kept so far
     tied = tied.union(tied.select(F.col("component_id").alias("_row"), "component_id").distinct())
-    ids = tagged.select("_row", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row")).alias("_place"))
+    own = F.col(f"given.`{id_col}`")
+    ids = tagged.select("_row", F.struct(own.isNull().alias("none"), own.alias("id"), F.col("_row")).alias("_place"))
     tied = written(tied.join(ids, "_row"), new_dir(spark, "tied"))
     best = tied.groupBy("component_id").agg(F.min("_place").alias("_best"))
     gone = tied.join(best, "component_id").where("_place <> _best").select("_row")
     gone = written(gone, new_dir(spark, "gone"))
-    return tagged.join(small_side(gone), "_row", "left_anti").select(*docs.columns)
+    return tagged.join(small_side(gone), "_row", "left_anti").select("given.*")

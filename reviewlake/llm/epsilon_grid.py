@@ -60,7 +60,7 @@ def join(
     row. Vectors that are null, empty, zero or hold a null or non-finite component,
     and rows without a label, link with nothing; vectors of different lengths do
     not either. Rows with equal vectors and labels count one by one but are compared
-    once. The directions are fitted on at most ``sample_rows`` rows; they decide how
+    once. The directions are fitted on about ``sample_rows`` rows; they decide how
     much is skipped, not what is found. A null id cannot be a component's name.
     Extra columns are left out; an empty table stays empty.
     """
@@ -82,9 +82,10 @@ def join(
         "classes",
     )
     epsilon = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    axes = principal(
-        [r[0] for r in classes.orderBy("_k1", "_k2").limit(sample_rows).select("vector").collect()], dims
-    )
+    # drawn by their hash; the limit only guards against equal hashes
+    share = min(1.0, sample_rows / max(classes.count(), 1))
+    drawn = classes.where(F.pmod(F.col("_k2"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    axes = principal([r[0] for r in drawn.limit(2 * sample_rows).select("vector").collect()], dims)
     # a length that the sample missed is projected on its first coordinates
     spots = _project(classes, axes, dims)
     cells = [F.floor(F.col("at")[i] / epsilon).alias(f"_c{i}") for i in range(dims)]

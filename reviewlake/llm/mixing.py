@@ -67,6 +67,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    tag_col: str | None = None,
 ) -> DataFrame:
     """How often the mix takes each document.
 
@@ -75,14 +76,15 @@ def mix(
     last. Draws depend on ``seed`` and the id only, so reruns agree. A document
     without words (null, empty, blanks only) is never taken; a null id draws as the
     empty text; rows with one id draw alike and are told apart by their size. An
-    empty table stays empty; extra columns are left out.
+    empty table stays empty; extra columns are left out, but for ``tag_col``, which is
+    given back as ``tag`` so that rows of one id can be told apart.
     """
     spark = docs.sparkSession
     # one pass over the texts; what follows moves a few numbers a row
     narrow = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-            words(F.col(text_col)).alias("size"),
+            words(F.col(text_col)).alias("size"), *([F.col(tag_col).alias("tag")] if tag_col else []),
         ).withColumns({
             "_none": F.col("source").isNull().cast("int"),
             "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
@@ -136,5 +138,5 @@ def mix(
     copies = F.col("_copies") + one_more.cast("bigint")
     return ranked.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+        (copies * F.col("size")).alias("taken"), *(["tag"] if tag_col else []),
     )

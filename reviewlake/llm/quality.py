@@ -9,19 +9,30 @@ the text itself and decides.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import lean_batches
+
 BAD, NONE, GOOD = 0, 1, 2
 LABELLERS = ("repeats", "symbols", "separators", "letters", "variety", "shouting", "lengths", "lines", "prose", "singles")
 DIM = 1 << 12
-REMEMBERED = 300_000  # words a task keeps
-_MARKS = re.compile(r"[^\w\s]{2,}")
+REMEMBERED = 100_000  # words a task keeps
+_MARKS = regex.compile(r"[^\w\s\p{M}]{2,}")
+# Letters of scripts that are written without blanks; so many of them make a word.
+_UNBROKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+UNBROKEN_WORD = 5
+
+
+def _is_letter(c: str) -> bool:
+    """A letter or digit, or a sign that combines with one."""
+    return c.isalnum() or unicodedata.category(c)[0] == "M"
 
 
 class Reader:
@@ -41,12 +52,19 @@ class Reader:
         if body.isalpha() and (body.islower() or body.istitle()):
             shape = ("x" if body.islower() else "Xx" if len(body) > 1 else "X") + word[len(body):]
             return zlib.crc32(shape.encode()), len(word), len(body), False, False, False
-        signs = ["x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "l" if c.isalpha() else c for c in word]
+        # letters without case count as small ones
+        signs = ["X" if c.isupper() else "9" if c.isdigit() else "x" if _is_letter(c) else c for c in word]
         shape = "".join(s for i, s in enumerate(signs) if not i or s != signs[i - 1])
-        letters = sum(map(str.isalnum, word))
+        letters, size = sum(map(_is_letter, word)), len(word)
+        unbroken = 0 if word.isascii() else len(_UNBROKEN.findall(word))
+        if unbroken > UNBROKEN_WORD:
+            # a sentence without blanks is as long as a word, with as large a share of letters
+            rest = size - unbroken
+            marks = regex.sub(r"\p{P}", "", word) if rest else word
+            letters, size = UNBROKEN_WORD + sum(map(_is_letter, marks)) - unbroken, UNBROKEN_WORD + max(0, len(marks) - unbroken)
         return (
-            zlib.crc32(shape.encode()), len(word), letters, bool(_MARKS.search(word)),
-            not any(map(str.isalnum, word)), letters > 1 and word.isupper(),
+            zlib.crc32(shape.encode()), size, letters, bool(_MARKS.search(word)),
+            letters == 0, letters > 1 and word.isupper(),
         )
 
     def _ids(self, text: str) -> np.ndarray:
@@ -198,12 +216,17 @@ def fit(
 ) -> Model:
     """Estimate the heuristics on all rows and train the scorer on a bounded sample.
 
+    A null text counts as an empty one; repeated rows count again, ids may be null or
+    repeat, other columns do not matter. Texts are read whole, however long. Without a
+    row the scorer finds everything good.
+
     Vote patterns are counted over every row. The linear scorer is trained on about
     ``train_rows`` rows, those with the smallest hash of id and text (all rows of a
     smaller table); only their sparse features, and one count a pattern, reach the
     driver.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     counts = docs.select(vote(text_col).alias("votes")).groupBy("votes").count().collect()
     patterns = {r[0]: r[1] for r in counts}
     posterior = estimate(patterns)
@@ -222,6 +245,7 @@ def fit(
 
     drawn = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < int(share * (1 << 30))
     rows = docs.where(drawn).select(featurise(F.col(text_col)).alias("f")).select("f.*").collect()
+    shared.unpersist()
     return Model(posterior, fit_linear([tuple(r) for r in rows]))
 
 
@@ -250,7 +274,8 @@ def classify(
     """``id, votes, posterior, score, kept`` of every row.
 
     ``score`` is the linear scorer's probability of good, ``posterior`` that of the
-    votes alone. A null text counts as empty. A row is kept from ``threshold`` on.
+    votes alone. A null text counts as empty. A row is kept from ``threshold`` on. Repeated
+    rows and ids are rows of their own, extra columns are left out, an empty table stays empty.
     """
     s = docs.select(id_col, scored(model, docs.sparkSession)(F.col(text_col)).alias("_s"))
     return s.select(id_col, "_s.*", (F.col("_s.score") >= threshold).alias("kept"))

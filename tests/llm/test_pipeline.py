@@ -96,6 +96,66 @@ def test_mixed_rows_are_whole_copies(spark, docs_of, corpus):
     assert counts == {r.doc_id: r.copies for r in mix(docs).collect() if r.copies}
 
 
+# Names that the operators use themselves; the columns hold nothing of use to them.
+CLASHES = (
+    "_row _copies _n _id tag given score lang_pred familiar copies size row p s m word words times cells entry total n lang2 target "
+    "_place _best component_id kept node rec signature label _text id digest"
+).split()
+
+
+@pytest.mark.parametrize("name", sorted(CALLS))
+def test_columns_of_any_name_come_back(spark, docs_of, corpus, name):
+    rows, _ = corpus
+    base = spark.createDataFrame([(i, t, x, src, len(t or "")) for i, t, x, src in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = base.selectExpr("*", *[f"'{c}' AS `{c}`" for c in CLASHES])
+    got = stage(name)(spark, docs, "")
+    plain = stage(name)(spark, base, "")
+    if name != "encode":
+        assert got.columns == docs.columns
+        assert {tuple(r)[5:] for r in got.collect()} == {tuple(CLASHES)}
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(got) == ids(plain) != []
+
+
+def test_rows_of_one_id_are_mixed_each_for_itself(spark, docs_of):
+    text = "one two three four five six"
+    rows = [(7, "", "en", "a"), (7, " ", "en", "a"), (7, text, "en", "a"), (None, "", "en", "a"), (None, text + " seven", "en", "a")]
+    rows += [(i, text, "en", "b") for i in range(20)] + [(3, "x " * 200_000, "en", "c"), (3, None, "en", "c")]
+    taken = collections.Counter(r.text for r in stage("mix")(spark, docs_of(rows), "").collect())
+    assert not {"", " ", None} & set(taken)
+    assert taken["x " * 200_000] <= 3 and taken[text + " seven"] <= 3
+
+
+def test_untaught_languages_and_gibberish_go(spark, docs_of, corpus):
+    rows, good = corpus
+    rng = random.Random(4)
+    odd = {
+        1000: "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και τρέχει μακριά",
+        1001: " ".join("".join(rng.choice("bcdfgjkpqvxz") for _ in range(rng.randrange(3, 12))) for _ in range(60)),
+        1002: "北京的秋天很美 人们在公园里散步",
+    }
+    docs = docs_of(rows + [(i, t, None, "a") for i, t in odd.items()])
+    ids = {r.doc_id for r in stage("language")(spark, docs, "").collect()}
+    assert set(range(good)) <= ids and not set(odd) & ids
+
+
+CLEAN = {
+    "chinese": "秋天的北京非常美丽，树叶变成了金黄色。人们喜欢在公园里散步，孩子们在草地上奔跑，老人们坐在长椅上聊天。天气凉爽，阳光温暖而明亮，是一年中最好的季节。",
+    "japanese": "春になると桜の花が咲き、人々は公園に集まってお花見を楽しみます。子どもたちは走り回り、大人たちは食事をしながら話をします。日本の春はとても美しい季節です。",
+    "thai": "ฤดูใบไม้ผลิเป็นช่วงเวลาที่สวยงามที่สุดของปี ผู้คนออกมาเดินเล่นในสวนสาธารณะ เด็ก ๆ วิ่งเล่นกันอย่างสนุกสนาน และดอกไม้บานสะพรั่งไปทั่วทุกแห่ง",
+    "hindi": "वसंत ऋतु में मौसम बहुत सुहावना होता है। लोग बगीचों में टहलते हैं, बच्चे खेलते हैं और चारों ओर रंग बिरंगे फूल खिलते हैं। यह साल का सबसे सुंदर समय है।",
+    "greek": "Την άνοιξη ο καιρός είναι πολύ ευχάριστος. Οι άνθρωποι περπατούν στα πάρκα, τα παιδιά παίζουν και τα λουλούδια ανθίζουν παντού.",
+}
+
+
+def test_clean_texts_of_other_scripts_stay(spark, docs_of, corpus):
+    rows, good = corpus
+    docs = docs_of(rows + [(2000 + i, t, None, "a") for i, t in enumerate(CLEAN.values())])
+    ids = {r.doc_id for r in stage("quality")(spark, docs, "").collect()}
+    assert {2000 + i for i in range(len(CLEAN))} <= ids
+    assert set(range(good)) <= ids and not set(range(good, good + 12)) & ids
+
+
 def test_last_stage_encodes_every_row(spark, docs_of, corpus):
     rows, _ = corpus
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -124,7 +184,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_each_operator_is_registered():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_native_operators_run_no_python(spark, sf_dir):
