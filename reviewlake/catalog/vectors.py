@@ -10,6 +10,7 @@ from ..operators import cells as cl
 from ..operators import retrieval as rt
 from ..plans.work import new_dir
 from ..sources import history as hi
+from ..sources import records as rc
 from ..sources import tables as tb
 from .base import pick, query, quote, sql_pick, table, texts
 
@@ -329,6 +330,39 @@ def history_csv(spark, sf_dir):
     return history(spark, sf_dir)
 
 
+# Every line of a document in turn opens a quoted cell, closes one, or stands for itself.
+_CELLS = [
+    "{id},Perf,\"{line}", "{line}\" tail,more", "{id}, Type, {line}", "{id},x,\"a \"\"b\"\" {line}\"", "{line}", "  ", "{id},say \"{line}\", \"\"\"{line}",
+]
+
+
+def _cells_sql(dialect: str) -> str:
+    arms = " ".join(
+        f"WHEN {i} THEN '" + case.replace("{id}", "' || n || '").replace("{line}", "' || line || '") + "'" for i, case in enumerate(_CELLS)
+    )
+    return f"CASE (doc_id * 3 + n * n + length(line)) % {len(_CELLS)} {arms} END"
+
+
+_PART = '(?:[^",\\n][^,\\n]*)?'
+_ONE = f'(?:"(?:[^"]|"")*(?:"{_PART}|\\z)|{_PART})'
+_SPANS_SQL = f"""raw AS (SELECT doc_id, n, regexp_replace(line, '\\s+', ' ', 'g') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents) x),
+   rows AS (SELECT doc_id, n, {_TRIM.format('(' + _cells_sql('duckdb') + ')')} AS l FROM raw),
+   files AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY n) AS f FROM rows WHERE l <> '' GROUP BY doc_id),
+   whole AS (SELECT doc_id, unnest(regexp_extract_all(f, {quote(f'{_ONE}(?:,{_ONE})*')})) AS r FROM files)"""
+
+
+@query(
+    "history_records",
+    f"""WITH {_SPANS_SQL}, {_HISTORY_SQL.replace(_HISTORY_SQL[:_HISTORY_SQL.index(',' + chr(10))], "hl AS (SELECT doc_id, replace(r, chr(10), '') AS l FROM whole WHERE r <> '')", 1)}
+    SELECT doc_id, rule_id, rule_type, description FROM history""",
+)
+def history_records(spark, sf_dir):
+    lines = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    lines = lines.withColumn("line", F.regexp_replace("line", r"\s+", " "))
+    lines = lines.select("doc_id", "n", F.expr(_cells_sql("spark")).alias("value"))
+    return hi.parse_history(rc.records(lines, ["doc_id"], ["n"]).drop("at"))
+
+
 @query(
     "history_embed",
     f"""WITH {_HISTORY_SQL}, h AS (SELECT *, upper(left(rule_type, 1)) || lower(substr(rule_type, 2)) || 'Guard: ' || left(description, 40) || '...' AS rule_name,

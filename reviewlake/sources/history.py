@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.text import strip
 from ..operators.retrieval import embed
+from .records import read_lines, records
 
 # One field after its comma: quoted, quoted but never closed, or plain.
 FIELD = r',("[^"]*(?:""[^"]*)*"[^,]*|"[^"]*(?:""[^"]*)*$|[^,]*)'
@@ -41,7 +42,9 @@ def parse_history(lines: DataFrame, *, line_col: str = "value") -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return parse_history(spark.read.text(path))
+    """Rules of history files, quoted cells over several lines included, with the ``file`` they come from."""
+    found = records(read_lines(spark, path), ["file"], ["start", "at"])
+    return parse_history(found.drop("at"))
 
 
 def enrich_history(records: DataFrame) -> DataFrame:
