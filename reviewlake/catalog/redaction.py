@@ -265,13 +265,16 @@ def dlp_report(spark, sf_dir):
 
 @query(
     "fail_closed",
-    f"""WITH p AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), {inspect_sql('p', 'doc_id')}
+    f"""WITH p AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 > 1), {inspect_sql('p', 'doc_id')}
     SELECT doc_id, dlp_status, CAST(n_redacted AS BIGINT) AS n_redacted, coalesce(quarantine_reason, '') AS reason FROM inspected
-    UNION ALL SELECT doc_id, 'QUARANTINED', 0, 'Fail-closed: DLP inspection failed (missing text)' FROM documents WHERE doc_id % 10 = 0""",
+    UNION ALL SELECT doc_id, 'QUARANTINED', 0, 'Fail-closed: DLP inspection failed (' || CASE doc_id % 10 WHEN 0 THEN 'missing text' ELSE 'invalid encoding' END || ')'
+    FROM documents WHERE doc_id % 10 < 2""",
 )
 def fail_closed(spark, sf_dir):
-    """Every tenth payload has lost its text."""
-    docs = texts(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text"))
+    """Payloads come as bytes; every tenth has lost its text, the one after it ends in a byte that no text has."""
+    text = F.col("text").cast("binary")
+    broken = F.when(F.col("doc_id") % 10 == 1, F.concat(text, F.unhex(F.lit("C3")))).when(F.col("doc_id") % 10 > 1, text)
+    docs = texts(spark, sf_dir, "documents").select("doc_id", broken.alias("text"))
     return red.inspect(docs).select(
         "doc_id", "dlp_status", F.col("n_redacted").cast("bigint").alias("n_redacted"),
         F.coalesce("quarantine_reason", F.lit("")).alias("reason"),

@@ -132,14 +132,27 @@ def scan_sources(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", decode_source(raw).alias("source"))
 
 
-@query("scan_files", "SELECT sum(length(text) + 1)::BIGINT AS n_chars, 0::BIGINT AS n_errors FROM documents")
+# A file for every 64 documents; those of more than so many bytes are not read.
+_FILE_BYTES = 200_000
+
+
+@query(
+    "scan_files",
+    f"""WITH f AS (SELECT doc_id // 64 AS part, string_agg(replace(coalesce(text, ''), chr(13), ' ') || chr(10), '' ORDER BY doc_id, text) AS source FROM documents GROUP BY part)
+    SELECT part, strlen(source)::BIGINT AS bytes, CASE WHEN strlen(source) <= {_FILE_BYTES} THEN sha256(source) END AS digest,
+      CASE WHEN strlen(source) > {_FILE_BYTES} THEN 'larger than {_FILE_BYTES} bytes' END AS error FROM f""",
+)
 def scan_files(spark, sf_dir):
-    """All documents written as text files, then read back as binary source files."""
+    """All documents written as text files, then read back as source files; too large ones become error rows."""
     at = new_dir(spark, "files")
-    table(spark, sf_dir, "documents").select(F.replace("text", F.lit("\r"), F.lit(" "))).write.text(at)
-    files = scan_files_below(spark, at, glob="part-*")
-    return files.agg(
-        F.sum(F.length("source")).alias("n_chars"), F.count_if(F.col("error").isNotNull()).alias("n_errors")
+    lines = table(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / 64).alias("part"), "doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")).alias("value")
+    )
+    ordered = lines.repartition("part").sortWithinPartitions("part", "doc_id", "value")
+    ordered.select("part", "value").write.partitionBy("part").text(at)
+    files = scan_files_below(spark, at, glob="part-*", max_bytes=_FILE_BYTES)
+    return files.select(
+        F.regexp_extract("path", r"/part=(\d+)/", 1).cast("bigint").alias("part"), "bytes", F.sha2("source", 256).alias("digest"), "error"
     )
 
 

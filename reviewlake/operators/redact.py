@@ -105,17 +105,19 @@ def check_injection(df: DataFrame, *, text_col="text", patterns=None) -> DataFra
 def inspect(
     df: DataFrame, *, text_col="text", tag=fv.REDACTION_TAG, patterns=None, injections=None
 ) -> DataFrame:
-    """Quarantine, then redact. A missing text fails closed.
+    """Quarantine, then redact. A text that is missing or no valid UTF-8 fails closed.
 
-    Adds ``sanitized``, ``dlp_status``, ``n_redacted``, ``info_types``,
+    The text may come as bytes; nothing looks into it before its encoding is judged. Adds ``sanitized``, ``dlp_status``, ``n_redacted``, ``info_types``,
     ``integrity_hash``, ``original_hash`` and ``quarantine_reason``. Works the
     same on a streaming DataFrame: no shuffle, no state.
     """
-    checked = check_injection(df, text_col=text_col, patterns=injections).withColumn(
-        "_safe", F.when(~F.col("is_quarantined"), F.col(text_col))
+    text = F.col(text_col).cast("string")
+    readable = df.withColumn("_text", F.when(F.is_valid_utf8(text), text))
+    checked = check_injection(readable, text_col="_text", patterns=injections).withColumn(
+        "_safe", F.when(~F.col("is_quarantined"), F.col("_text"))
     )
     red = redact(checked, text_col="_safe", tag=tag, patterns=patterns)
-    failed = F.col(text_col).isNull()
+    missing, failed = F.col(text_col).isNull(), F.col("_text").isNull()
     hostile = F.col("is_quarantined")
     none = F.array().cast("array<string>")
     return red.select(
@@ -138,7 +140,8 @@ def inspect(
         .otherwise(sha_hash(F.col("sanitized")))
         .alias("integrity_hash"),
         sha_hash(F.col(text_col)).alias("original_hash"),
-        F.when(failed, "Fail-closed: DLP inspection failed (missing text)")
+        F.when(missing, "Fail-closed: DLP inspection failed (missing text)")
+        .when(failed, "Fail-closed: DLP inspection failed (invalid encoding)")
         .when(hostile, F.col("reason"))
         .alias("quarantine_reason"),
     )

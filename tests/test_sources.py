@@ -39,6 +39,24 @@ def test_sources_with_two_encodings(spark, tmp_path):
     assert all(r["error"] is None for r in got)
 
 
+@pytest.mark.parametrize("kept", [False, True])
+def test_lost_files_become_error_rows(spark, tmp_path, kept):
+    (tmp_path / "src" / "sub").mkdir(parents=True)
+    folder = str(tmp_path / "src")
+    spark.createDataFrame([("x = 1",)], "value string").coalesce(1).write.text(f"{folder}/broken.d")
+    broken = next(p for p in (tmp_path / "src" / "broken.d").iterdir() if p.name.startswith("part-"))
+    broken.write_bytes(b"y = 2\n")  # no longer what its checksum says
+    (tmp_path / "src" / "sub" / "part-good").write_text("é")
+    (tmp_path / "src" / "part-empty").write_text("")
+    (tmp_path / "src" / "part-large").write_text("z" * 100)
+    work = str(tmp_path / "work") if kept else None
+    got = {r.path.rsplit("/", 1)[1]: tuple(r)[1:] for r in files.scan_sources(spark, folder, glob="part-*", max_bytes=50, work_path=work).collect()}
+    assert got == {
+        "part-good": (2, "é", None), "part-large": (100, None, "larger than 50 bytes"),
+        broken.name: (6, None, "unreadable"),
+    }
+
+
 def test_events_from_files(spark, tmp_path):
     (tmp_path / "e.json").write_text(
         '{"event_type": "POST_DEPLOY_REVERT", "rule_id": "R"}\n{"event_type": "X", "rule_id": "R"}\n{"rule_id": "R"}\n{bad\n'
