@@ -53,6 +53,19 @@ def weight_fold_stream(spark, sf_dir):
     return jobs.latest_weights(spark, f"{at}/weights")
 
 
+@query(
+    "weight_state_stream",
+    f"""WITH {fb._FOLDED_SQL}, {fb._UNKNOWN_SQL}, n AS (SELECT rule_id, count(*) AS n FROM feed GROUP BY rule_id)
+    SELECT rule_id, w AS current_weight, true AS known, n AS n_events FROM folded JOIN n USING (rule_id)
+    UNION ALL SELECT rule_id, weight, false, n FROM unknown JOIN n USING (rule_id)""",
+)
+def weight_state_stream(spark, sf_dir):
+    at = new_dir(spark, "states-stream")
+    states = jobs.weight_states(_feed(spark, sf_dir), fb.rules(spark, sf_dir))
+    jobs.write_batches(states, f"{at}/states", f"{at}/checkpoint", mode="update").awaitTermination()
+    return jobs.latest_states(spark, f"{at}/states").drop("idle")
+
+
 @query(
     "event_counts_stream",
     f"""WITH {fb.FEED_SQL}

@@ -6,9 +6,11 @@ run again, so a restart from the checkpoint leaves no duplicates.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import fixed_values as fv
 from ..operators import redact, weights
@@ -75,6 +77,66 @@ def fold_weights(
     return _start(events, write, checkpoint, trigger or {"availableNow": True})
 
 
+_STATE = "units bigint, known boolean, n bigint"
+_STATE_ROWS = "rule_id string, current_weight double, known boolean, n_events bigint, idle boolean"
+
+
+def weight_states(
+    events: DataFrame, rules: DataFrame, *, alpha=fv.LEARNING_RATE, idle: str = "1 day", late: str = "10 minutes", forget: bool = False
+) -> DataFrame:
+    """A stream of weights with one keyed state per rule, for update mode: what every batch moved.
+
+    A rule's state starts with its weight in ``rules``; one that is in no table restarts at the
+    default with every batch's last event, and is not ``known``. Events of a batch count in
+    (ts, id) order, batches in order of arrival. All events of a rule in a batch are folded by
+    one task: for rules that take a large share of all events there is ``fold_weights``.
+    A rule without events for ``idle``, by the time of all events less ``late``, is written out
+    once more, marked ``idle``. With ``forget`` its state goes then; its next event starts
+    from the table again, which must have taken the idle row by that time.
+    """
+    low, high, base = (int(round(float(w) * weights.UNIT)) for w in (fv.MIN_WEIGHT, fv.MAX_WEIGHT, fv.DEFAULT_WEIGHT))
+    start = rules.select("rule_id", weights.to_units(F.col("current_weight")).alias("start"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    slim = timed.select("rule_id", "ts", "id", weights.delta_units(F.col("event_type"), alpha).alias("delta"))
+    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def fold(key, batches, state):
+        if state.hasTimedOut:
+            units, known, n = state.get
+            if forget:
+                state.remove()
+            yield row(key, units, known, n, True)
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        first = rows["start"].dropna()
+        units, known, n = state.get if state.exists else (int(first.iloc[0]) if len(first) else base, bool(len(first)), 0)
+        if known:
+            for delta in rows["delta"].tolist():
+                units = min(high, max(low, units + delta))
+        else:
+            units = min(high, max(low, base + int(rows["delta"].iloc[-1])))
+        state.update((units, known, n + len(rows)))
+        newest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + millis)
+        yield row(key, units, known, n + len(rows), False)
+
+    def row(key, units, known, n, is_idle):
+        return pd.DataFrame({
+            "rule_id": [key[0]], "current_weight": [units / weights.UNIT], "known": [known], "n_events": [n], "idle": [is_idle],
+        })
+
+    return slim.join(start, "rule_id", "left").groupBy("rule_id").applyInPandasWithState(
+        fold, _STATE_ROWS, _STATE, "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def latest_states(spark: SparkSession, path: str) -> DataFrame:
+    """Of every rule the last row that ``write_batches`` has of it."""
+    rows = spark.read.parquet(path)
+    last = F.max_by(F.struct("current_weight", "known", "n_events", "idle"), F.struct("batch_id", "idle"))
+    return rows.groupBy("rule_id").agg(last.alias("_r")).select("rule_id", "_r.*")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

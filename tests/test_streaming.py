@@ -45,6 +45,36 @@ def test_weights_in_many_batches_and_after_restart(spark, tmp_path):
     assert run() == first
 
 
+def test_keyed_states_over_batches_a_restart_and_idle_rules(spark, tmp_path):
+    folder = tmp_path / "in"
+    _write_events(folder)
+    later = sorted(folder.iterdir())[2].rename(tmp_path / "later.json")
+    rules = weights.seed_rules(spark).where("rule_id <> 'AST-FIN-003'")
+
+    def folded():
+        good = events.split_events(events.read_events(spark, str(folder)))[0]
+        known = {r["rule_id"]: r["current_weight"] for r in weights.fold_weights(good, rules).join(good, "rule_id", "left_semi").collect()}
+        return known | {r["rule_id"]: r["weight"] for r in weights.unknown_rule_weights(good, rules).collect()}
+
+    def run():
+        good, _ = events.split_events(events.read_event_stream(spark, str(folder), files_per_trigger=1))
+        states = jobs.weight_states(good, rules, idle="2 days")
+        jobs.write_batches(states, str(tmp_path / "s"), str(tmp_path / "cp"), mode="update").awaitTermination()
+        return {r["rule_id"]: r for r in jobs.latest_states(spark, str(tmp_path / "s")).collect()}
+
+    got = run()
+    assert {k: r["current_weight"] for k, r in got.items()} == folded() and sum(r["n_events"] for r in got.values()) == 80
+    later.rename(folder / "2.json")
+    got = run()
+    assert {k: r["current_weight"] for k, r in got.items()} == folded() and sum(r["n_events"] for r in got.values()) == 120
+    assert {k: r["known"] for k, r in got.items()} == {"AST-FIN-001": True, "AST-FIN-002": True, "AST-FIN-003": False}
+    # an event of one rule long after shows that the others have been idle
+    (folder / "3.json").write_text(json.dumps({"id": "Z", "event_type": KINDS[0], "rule_id": "AST-FIN-001", "timestamp": "2024-03-01T00:00:00"}))
+    got = run()
+    assert {k: r["idle"] for k, r in got.items()} == {"AST-FIN-001": False, "AST-FIN-002": True, "AST-FIN-003": True}
+    assert {k: r["current_weight"] for k, r in got.items()} == folded()
+
+
 def test_events_are_routed_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"event_type": "DEV_ACCEPTED_PATCH", "rule_id": "R"}\n{"rule_id": 1}\n')
