@@ -9,7 +9,9 @@ from ..operators import growth as gr
 from ..operators import scoring as sc
 from ..operators import signatures as sg
 from ..operators import weights as wt
+from ..plans.work import new_dir
 from ..sources import events as ev
+from ..sources import keyed as kt
 from ..sources import tables as tb
 from .base import query, quote, table
 
@@ -487,7 +489,10 @@ def kpis(spark, sf_dir):
     FROM sessions WHERE id IN ('S-7', 'S-42', 'S-77777777')""",
 )
 def lookup(spark, sf_dir):
-    found = tb.lookup(sessions(spark, sf_dir), "id", ["S-7", "S-42", "S-77777777"])
+    """From the table as it is stored: of its folders only those of the ids are opened."""
+    at = new_dir(spark, "sessions")
+    kt.create(sessions(spark, sf_dir), at, "id")
+    found = kt.lookup(spark, at, "id", ["S-7", "S-42", "S-77777777"])
     return found.select(
         "id", "repo_name", "pr_id", "author_id", "dlp_status", "quality_score",
         F.coalesce("language", F.lit("python")).alias("language"),
@@ -545,6 +550,27 @@ def rules_upsert(spark, sf_dir):
     return tb.upsert_rules(rules(spark, sf_dir), updates, order="input_order").drop("last_updated")
 
 
+@query(
+    "rules_upsert_stored",
+    f"""WITH {RULES_SQL}, upd AS (SELECT {_UPD} FROM orders),
+      last AS (SELECT rule_id, arg_max(rule_name, input_order) AS rule_name, arg_max(current_weight, input_order) AS current_weight FROM upd WHERE rule_id LIKE '%7' GROUP BY rule_id)
+    SELECT rule_id, coalesce(l.rule_name, r.rule_name) AS rule_name, coalesce(CAST(r.base_weight AS DOUBLE), l.current_weight) AS base_weight,
+      coalesce(l.current_weight, CAST(r.current_weight AS DOUBLE)) AS current_weight, coalesce(r.revert_count, 0) AS revert_count
+    FROM rules r FULL JOIN last l USING (rule_id)""",
+)
+def rules_upsert_stored(spark, sf_dir):
+    """Updates of every tenth rule, into the stored table and twice over; folders without one keep their files."""
+    at = new_dir(spark, "rules")
+    kt.create(rules(spark, sf_dir), at, "rule_id")
+    updates = table(spark, sf_dir, "orders").selectExpr(*_split_columns(_UPD)).where("rule_id LIKE '%7'")
+    updates = updates.withColumns({
+        "base_weight": F.col("current_weight"), "ci_flakiness_correlation": F.lit(0.0), "revert_count": F.lit(0).cast("bigint"),
+    })
+    for _ in range(2):
+        kt.upsert_stored(updates, at, "rule_id", ["rule_name", "current_weight"], order="input_order")
+    return kt.stored(spark, at).select("rule_id", "rule_name", "base_weight", "current_weight", "revert_count")
+
+
 @query(
     "seed_defaults",
     f"""WITH {RULES_SQL} SELECT 'filled' AS target, rule_id, CAST(current_weight AS DOUBLE) AS current_weight FROM rules
