@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators import growth as gr
+from ..operators import retrieval as rt
 from ..operators import scoring as sc
 from ..operators import signatures as sg
 from ..operators import weights as wt
-from ..plans.work import new_dir
+from ..plans.work import new_dir, written
 from ..sources import events as ev
 from ..sources import keyed as kt
 from ..sources import tables as tb
@@ -273,14 +274,7 @@ def retro_entries(spark, sf_dir):
     f"WITH {_FOLDED_SQL} SELECT row_number() OVER (ORDER BY w DESC, rule_id) AS place, rule_id, w AS current_weight FROM folded",
 )
 def rules_ranked(spark, sf_dir):
-    """Rules by weight; the place comes from block counts, not from one sorted task."""
-    from ..plans.ordered import positions
-
-    folded = wt.fold_weights(feed(spark, sf_dir), rules(spark, sf_dir))
-    slim = folded.select(
-        F.lit(0).alias("all"), (-F.col("current_weight")).alias("down"), "rule_id", "current_weight"
-    )
-    return positions(slim, ["all"], ["down", "rule_id"], "place").select("place", "rule_id", "current_weight")
+    return wt.rank_rules(wt.fold_weights(feed(spark, sf_dir), rules(spark, sf_dir))).select("place", "rule_id", "current_weight")
 
 
 # --- findings and scores --------------------------------------------------------
@@ -414,6 +408,15 @@ def user_growth(spark, sf_dir):
     return gr.growth(sessions(spark, sf_dir))
 
 
+@query(
+    "improvement_pct",
+    f"""WITH {_GROWTH_SQL} SELECT user_id, initial_score, latest_score, round((CAST(round(latest_score * 10) AS INTEGER) - CAST(round(initial_score * 10) AS INTEGER)) * 100.0::DOUBLE
+      / greatest(1, CAST(round(initial_score * 10) AS INTEGER)), 2) AS improvement_pct FROM g""",
+)
+def improvement_pct(spark, sf_dir):
+    return gr.improvement(sessions(spark, sf_dir))
+
+
 @query(
     "user_growth_default",
     f"""WITH {_GROWTH_SQL} SELECT 'U-' || c_custkey AS user_id, coalesce(total_reviews, 0) AS total_reviews, coalesce(average_score, 10.0) AS average_score,
@@ -471,18 +474,6 @@ def defect_freq(spark, sf_dir):
     return gr.defect_frequency(findings(spark, sf_dir).join(owners, "payload_id"))
 
 
-@query(
-    "kpis",
-    f"""WITH {SESSIONS_SQL}, {FEED_SQL},
-      a AS (SELECT count(*) AS n_sessions, CAST(quantile_cont(execution_duration_ms, 0.5) AS DOUBLE) AS median_duration_ms FROM sessions),
-      b AS (SELECT round(count(*) FILTER (event_type = 'POST_DEPLOY_REVERT') * 100.0 / count(*), 4) AS revert_rate_pct FROM feed)
-    SELECT n_sessions, median_duration_ms, CAST(revert_rate_pct AS DOUBLE) AS revert_rate_pct, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in fv.PILOT_TARGETS.items())} FROM a, b""",
-)
-def kpis(spark, sf_dir):
-    out = gr.kpis(sessions(spark, sf_dir), feed(spark, sf_dir))
-    return out.withColumn("revert_rate_pct", F.col("revert_rate_pct").cast("double"))
-
-
 @query(
     "lookup",
     f"""WITH {SESSIONS_SQL} SELECT id, repo_name, pr_id, author_id, dlp_status, quality_score, coalesce(language, 'python') AS language
@@ -510,16 +501,34 @@ def lookup(spark, sf_dir):
     UNION ALL SELECT id, repo_name, 'duplicate' FROM new WHERE id IN (SELECT id FROM clash)""",
 )
 def sessions_append(spark, sf_dir):
-    """The second half comes in with one day that is there already."""
-    all_rows = sessions(spark, sf_dir)
-    old = all_rows.where("created_at < TIMESTAMP '2024-01-16'")
+    """Stored by appends; the second half comes in with one day that is there already, and is refused as a whole."""
+    all_rows, at = sessions(spark, sf_dir), new_dir(spark, "sessions")
+    tb.append_sessions(all_rows.where("created_at < TIMESTAMP '2024-01-16'"), at)
     new = all_rows.where("created_at >= TIMESTAMP '2024-01-15'")
-    fresh, clash = tb.split_duplicates(old, new, "id")
-    return (
-        old.select("id", "repo_name", F.lit("stored").alias("state"))
-        .unionByName(fresh.select("id", "repo_name", F.lit("stored").alias("state")))
-        .unionByName(clash.select("id", "repo_name", F.lit("duplicate").alias("state")))
+    fresh, clash = tb.split_duplicates(spark.read.parquet(at), new, "id")
+    refused = written(clash.select("id", "repo_name", F.lit("duplicate").alias("state")), new_dir(spark, "refused"))
+    try:
+        tb.append_sessions(new, at)
+    except ValueError:
+        tb.append_sessions(written(fresh, new_dir(spark, "fresh")), at)
+    return spark.read.parquet(at).select("id", "repo_name", F.lit("stored").alias("state")).unionByName(refused)
+
+
+@query(
+    "incidents_insert",
+    "SELECT 'INC-' || page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'FLOAT_PRECISION_DRIFT' ELSE 'OTHER' END AS bug_category, url AS pr_url, 768 AS n FROM pages",
+)
+def incidents_insert(spark, sf_dir):
+    """A page is an incident; odd ones are inserted after the others, with their vectors."""
+    rows = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("INC-"), F.col("page_id").cast("string")).alias("id"), "page_id",
+        F.when(F.col("page_id") % 2 == 0, "FLOAT_PRECISION_DRIFT").otherwise("OTHER").alias("bug_category"), F.col("url").alias("pr_url"),
     )
+    vectors = rt.embed(rows.select("id", F.col("pr_url").alias("text")), id_col="id", text_col="text")
+    full, at = written(rows.join(vectors, "id"), new_dir(spark, "made")), new_dir(spark, "incidents")
+    for odd in (0, 1):
+        tb.append_sessions(full.where(F.col("page_id") % 2 == odd).drop("page_id"), at, partition="bug_category")
+    return spark.read.parquet(at).select("id", "bug_category", "pr_url", F.size("embedding").alias("n"))
 
 
 @query(

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators import diffs as df_
+from ..operators import growth as gr
 from ..operators import report as rp
 from ..operators import scoring as sc
+from ..plans.cached import review_cached
 from ..plans.review import review
 from ..plans.work import new_dir
 from ..sources.files import decode_source
 from ..sources.files import scan_sources as scan_files_below
+from ..sources import tables as tb
 from ..sources.findings_json import extract_findings
 from . import feedback as fb
 from . import scan as sn
@@ -24,9 +27,7 @@ _PAY = """'org/' || (doc_id % 9) AS repo_name, md5('r' || doc_id) AS commit_sha,
    'U-' || (doc_id % 30) AS user_id, CASE WHEN doc_id % 5 = 0 THEN 'go' ELSE 'python' END AS language"""
 
 
-@query(
-    "sessions_build",
-    f"""WITH {sn._WANT_SQL},
+_SESSIONS = f"""WITH {sn._WANT_SQL},
       pay AS (SELECT doc_id, '--- a/src/m.py' || chr(10) || '+++ b/src/m.py' || chr(10) || '@@ -0,0 +1,' || (length(source) - length(replace(source, chr(10), '')) + CASE WHEN ends_with(source, chr(10)) THEN 0 ELSE 1 END) || ' @@' || chr(10)
         || '+' || replace(CASE WHEN ends_with(source, chr(10)) THEN source[1:length(source) - 1] ELSE source END, chr(10), chr(10) || '+') AS text, {_PAY} FROM (SELECT file_id AS doc_id, source FROM src)),
       {inspect_sql('pay', 'doc_id, repo_name, commit_sha, author_id, user_id, language')},
@@ -34,16 +35,74 @@ _PAY = """'org/' || (doc_id % 9) AS repo_name, md5('r' || doc_id) AS commit_sha,
       j AS (SELECT i.*, CASE WHEN language = 'python' AND dlp_status <> 'QUARANTINED' THEN coalesce(n, 0) ELSE 0 END AS n, CASE WHEN language = 'python' AND dlp_status <> 'QUARANTINED' THEN coalesce(p, 0) ELSE 0 END AS p
         FROM inspected i LEFT JOIN n ON file_id = doc_id)
     SELECT doc_id AS id, repo_name, left(commit_sha, 8) AS pr_id, author_id, integrity_hash AS payload_hash, CAST(n AS INTEGER) AS findings_count, dlp_status,
-      CAST(greatest(10, least(100, 100 - p)) AS DOUBLE) / 10 AS quality_score, user_id, language FROM j""",
-)
-def sessions_build(spark, sf_dir):
+      CAST(greatest(10, least(100, 100 - p)) AS DOUBLE) / 10 AS quality_score, user_id, language, commit_sha, (doc_id % 400)::BIGINT AS execution_duration_ms,
+      TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS created_at FROM j"""
+
+
+def payloads(spark, sf_dir):
     src = sn.sources(spark, sf_dir).withColumnRenamed("file_id", "doc_id")
-    payloads = src.selectExpr(
+    rows = src.selectExpr(
         "doc_id AS payload_id", "source", "'org/' || (doc_id % 9) AS repo_name", "md5('r' || doc_id) AS commit_sha",
         "'dev-' || (doc_id % 40) AS author_id", "'U-' || (doc_id % 30) AS user_id",
-        "CASE WHEN doc_id % 5 = 0 THEN 'go' ELSE 'python' END AS language", "TIMESTAMP '2024-01-01' AS created_at",
-    ).withColumn("diff", df_.as_added(F.lit("src/m.py"), F.col("source"))).drop("source")
-    return review(payloads, work_path=new_dir(spark, "inspected")).sessions.drop("commit_sha", "created_at", "execution_duration_ms")
+        "CASE WHEN doc_id % 5 = 0 THEN 'go' ELSE 'python' END AS language", "TIMESTAMP_NTZ '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, doc_id) AS created_at",
+        "doc_id % 400 AS execution_duration_ms",
+    )
+    return rows.withColumn("diff", df_.as_added(F.lit("src/m.py"), F.col("source"))).drop("source")
+
+
+@query("sessions_build", _SESSIONS)
+def sessions_build(spark, sf_dir):
+    return review(payloads(spark, sf_dir), work_path=new_dir(spark, "inspected")).sessions
+
+
+@query("sessions_cached", _SESSIONS)
+def sessions_cached(spark, sf_dir):
+    """Two runs over one store of results: the second finds the texts of even ids there and reviews the others."""
+    store, rows = new_dir(spark, "reviews"), payloads(spark, sf_dir)
+    review_cached(rows.where("payload_id % 2 = 0"), store, version="1")
+    return review_cached(rows, store, version="1").sessions
+
+
+@query(
+    "kpis",
+    f"""WITH {fb.FEED_SQL},
+      a AS (SELECT count(*) AS n_sessions, CAST(quantile_cont(doc_id % 400, 0.5) AS DOUBLE) AS median_duration_ms FROM documents),
+      b AS (SELECT round(count(*) FILTER (event_type = 'POST_DEPLOY_REVERT') * 100.0 / count(*), 4) AS revert_rate_pct FROM feed)
+    SELECT n_sessions, median_duration_ms, CAST(revert_rate_pct AS DOUBLE) AS revert_rate_pct, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in fv.PILOT_TARGETS.items())} FROM a, b""",
+)
+def kpis(spark, sf_dir):
+    """From the sessions that a review has written."""
+    at = new_dir(spark, "sessions")
+    tb.append_sessions(review(payloads(spark, sf_dir), work_path=new_dir(spark, "inspected")).sessions, at)
+    out = gr.kpis(spark.read.parquet(at), fb.feed(spark, sf_dir))
+    return out.withColumn("revert_rate_pct", F.col("revert_rate_pct").cast("double"))
+
+
+_STATS_FIELDS = ("n_files", "latency_ms", "rules_fired", "dlp_status")
+
+
+@query(
+    "findings_stats_export",
+    f"""WITH {fb.FINDINGS_SQL}, f0 AS (SELECT {fb._FILES} FROM lineitem),
+      r AS (SELECT review_id, count(*) AS n_files, round(sum(latency_ms), 2) AS latency_ms, CAST(sum(rules_fired) AS BIGINT) AS rules_fired,
+        coalesce(arg_max(dlp_status, (file_no, dlp_status)) FILTER (dlp_status <> 'CLEAN'), 'CLEAN') AS dlp_status FROM f0 GROUP BY review_id),
+      l AS (SELECT payload_id, list((finding_no || ':' || severity || ':' || category) ORDER BY finding_no, severity, category) AS fs FROM findings GROUP BY payload_id)
+    SELECT payload_id, n_files, latency_ms, rules_fired, dlp_status, array_to_string(fs, ',') AS findings FROM r JOIN l ON payload_id = review_id""",
+)
+def findings_stats_export(spark, sf_dir):
+    """The export of findings with the statistics of their review, written as JSON and read back."""
+    files = table(spark, sf_dir, "lineitem").selectExpr(*fb._split_columns(fb._FILES))
+    rolled = sc.rollup_reviews(files).withColumnRenamed("review_id", "payload_id")
+    at = new_dir(spark, "export")
+    rp.export_report(rolled, fb.findings(spark, sf_dir), fields=_STATS_FIELDS).select("report").write.text(at)
+    item = "array<struct<finding_no:int,severity:string,category:string>>"
+    schema = f"payload_id bigint, part int, n_files bigint, latency_ms double, rules_fired bigint, dlp_status string, findings {item}"
+    rows = spark.read.schema(schema).json(at)
+    parts = rows.groupBy("payload_id", *_STATS_FIELDS).agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("part", "findings"))), lambda p: p["findings"]
+    )).alias("all"))
+    lines = F.transform("all", lambda f: F.concat_ws(":", f["finding_no"].cast("string"), f["severity"], f["category"]))
+    return parts.select("payload_id", *_STATS_FIELDS, F.array_join(lines, ",").alias("findings"))
 
 
 _ITEM = {

@@ -53,6 +53,12 @@ def growth(sessions: DataFrame) -> DataFrame:
     )
 
 
+def improvement(sessions: DataFrame) -> DataFrame:
+    """Percent by which each user's latest score is above the first one (scores are at least 0.1)."""
+    pct = F.col("improvement_delta") * 100 / F.greatest(F.col("initial_score"), F.lit(0.1))
+    return growth(sessions).select("user_id", "initial_score", "latest_score", F.round(pct, 2).alias("improvement_pct"))
+
+
 def growth_for(users: DataFrame, sessions: DataFrame) -> DataFrame:
     """Growth of the requested users; a user without sessions gets the default row."""
     return users.join(growth(sessions), "user_id", "left").select(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..plans.ordered import block, number_rows
+from ..plans.ordered import block, number_rows, positions
 from ..plans.work import stable
 from .asof import asof_join
 
@@ -309,7 +309,9 @@ def retro_entries(history: DataFrame) -> DataFrame:
 
 
 def rank_rules(rules: DataFrame) -> DataFrame:
-    return rules.orderBy(F.col("current_weight").desc(), "rule_id")
+    """``rules`` with their ``place`` by weight, then id; it comes from block counts, not from one sorted task."""
+    keyed = rules.withColumns({"_all": F.lit(0), "_down": -F.col("current_weight")})
+    return positions(keyed, ["_all"], ["_down", "rule_id"], "place").drop("_all", "_down")
 
 
 def seed_rules(spark: SparkSession) -> DataFrame:

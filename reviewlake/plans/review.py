@@ -53,7 +53,7 @@ def review(
     if work_path is not None:
         found = written(found, f"{work_path}-findings")
     ratings = scoring.rate(seen.select("payload_id"), found)
-    return Review(seen, found, ratings, session_rows(seen, ratings), *_retrieve(accepted, incidents))
+    return Review(seen, found, ratings, session_rows(seen, ratings), *retrieve(accepted, incidents))
 
 
 def session_rows(inspected: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def session_rows(inspected: DataFrame, ratings: DataFrame) -> DataFrame:
     )
 
 
-def _retrieve(accepted: DataFrame, incidents: DataFrame | None):
+def retrieve(accepted: DataFrame, incidents: DataFrame | None):
     if incidents is None:
         return None, None
     queries = accepted.select(

@@ -26,14 +26,14 @@ def append_sessions(new: DataFrame, path: str, *, key="id", partition="repo_name
     spark = new.sparkSession
     if new.groupBy(key).count().where("count > 1").limit(1).count():
         raise ValueError(f"duplicate {key} in the new rows")
-    if _exists(spark, path):
+    if table_exists(spark, path):
         _, clash = split_duplicates(spark.read.parquet(path), new, key)
         if clash.limit(1).count():
             raise ValueError(f"duplicate {key}: already stored in {path}")
     new.write.mode("append").partitionBy(partition).parquet(path)
 
 
-def _exists(spark, path: str) -> bool:
+def table_exists(spark, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
