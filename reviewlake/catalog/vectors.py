@@ -321,7 +321,7 @@ _HISTORY_SQL = f"""hl AS (SELECT doc_id, {_TRIM.format('(' + _line_sql('duckdb')
 
 
 def history(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.expr(_line_sql("spark")).alias("value"))
+    lines = texts(spark, sf_dir, "documents").select("doc_id", F.expr(_line_sql("spark")).alias("value"))
     return hi.parse_history(lines)
 
 

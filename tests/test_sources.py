@@ -67,6 +67,16 @@ def test_events_from_files(spark, tmp_path):
     assert sorted(r["reject_reason"] for r in bad.collect()) == ["missing field", "unknown event type", "unreadable"]
 
 
+def test_made_ids_stay_the_same(spark, tmp_path):
+    line = '{"event_type": "POST_DEPLOY_REVERT", "rule_id": "R"}'
+    (tmp_path / "e.json").write_text("\n".join([line] * 3 + ['{"id": "own", "event_type": "X"}']))
+    (tmp_path / "f.json").write_text(line)
+    rows = events.read_events(spark, str(tmp_path))
+    first = sorted(r.id for r in rows.select("id").collect())
+    assert len(set(first)) == 5 and "own" in first
+    assert sorted(r.id for r in rows.select("id", "event_type").collect()) == first
+
+
 def test_append_refuses_duplicates(spark, tmp_path):
     path = str(tmp_path / "sessions")
     rows = spark.createDataFrame([("a", "r"), ("b", "r")], "id string, repo_name string")
