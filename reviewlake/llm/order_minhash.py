@@ -1,6 +1,7 @@
 """Order MinHash fingerprints of texts, in plain column expressions.
 
-The units are words. Every k-mer of neighbouring words is numbered by its
+The units are words; signs of scripts that are written without blanks are words of
+their own, and longer stretches without a blank are cut into pieces. Every k-mer of neighbouring words is numbered by its
 occurrence in the text, and hashed with that number. The hashes are dealt to
 ``bins`` classes by some of their bits; in each class the two smallest are
 selected, put back into text order, and hashed as a tuple. Equal tuples need
@@ -16,27 +17,35 @@ from pyspark.sql import functions as F
 from ..functions.text import fixed
 from .base import BLANKS
 
-POSITION, RANK, BIN = 22, 34, 7  # bits of a packed entry: bin, rank, position of the k-mer
+POSITION, RANK, BIN = 32, 24, 7  # bits of a packed entry: bin, rank, position of the k-mer
 KMER = 2
+UNBROKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+PIECE = 24  # signs of a piece of a stretch that is longer
 
 
 def _low(value: Column, bits: int) -> Column:
     return value.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Replace the text column by ``name``: an array of (class, tuple hash) numbers.
+def units(text: Column) -> Column:
+    """The text's words; a text without one has the empty word."""
+    parted = F.when(text.rlike(UNBROKEN), F.regexp_replace(text, f"({UNBROKEN})", " $1 ")).otherwise(text)
+    long = f"[^{BLANKS}]{{{PIECE}}}"
+    parted = F.when(parted.rlike(f"{long}[^{BLANKS}]"), F.regexp_replace(parted, f"({long})(?=[^{BLANKS}])", "$1 ")).otherwise(parted)
+    return F.split(F.btrim(parted, F.lit(" \t\n\x0b\f\r")), f"[{BLANKS}]+")
 
-    Positions beyond 2**22 words count as one position.
-    """
-    words = F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\f\r")), f"[{BLANKS}]+")
-    df = fixed(df.withColumn("_w", words).drop(text), _w=F.col("_w"))
+
+def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Replace the text column by ``name``: an array of (class, tuple hash) numbers."""
+    df = fixed(df.withColumn("_u", F.col(text)).drop(text), _u=F.col("_u"))
+    words = units(F.col("_u"))
+    df = fixed(df.withColumn("_w", words).drop("_u"), _w=F.col("_w"))
     # the k-mer at i, and i itself; the last ones hold the end of the text
     kmer = lambda w, i: F.xxhash64(w, *[F.get("_w", i + j) for j in range(1, KMER)])
     packed = F.transform(
         "_w",
         lambda w, i: F.shiftleft(_low(kmer(w, i), 63 - POSITION), POSITION)
-        .bitwiseOR(F.least(i, F.lit((1 << POSITION) - 1)).cast("bigint")),
+        .bitwiseOR(i.cast("bigint")),
     )
     df = fixed(df.withColumn("_p", F.sort_array(packed)).drop("_w"), _p=F.col("_p"))
     of = lambda x: F.shiftright(x, POSITION)
@@ -140,9 +149,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last half replaced by the first half of the next document
     (by id; after the last comes the first). Returns doc_id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next. A null text counts as
-    empty; a text without words has one k-mer of its own. Extra columns are left out;
-    an empty table stays empty.
+    fingerprint, edited_fingerprint, near_edited, near_next. Ids are integers; they may
+    repeat or be null (see ``with_next``). A null text counts as empty; a text without
+    words has one k-mer of its own; texts are read whole. Extra columns are left out; an
+    empty table stays empty.
     """
     rows = with_next(docs, id_col, text_col)
     n = F.char_length("text")

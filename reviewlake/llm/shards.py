@@ -42,7 +42,7 @@ def _step(state: Column) -> Column:
 
 
 def jump_hash(key: Column, shards: int) -> Column:
-    """The shard, 0 to ``shards`` - 1, of a bigint key; a null key counts as 0.
+    """The shard, 0 to ``shards`` - 1, of an integer key; a null key counts as 0.
 
     A jump goes up by one shard at least, so ``shards`` steps are always enough.
     """

@@ -157,7 +157,7 @@ def plain_fingerprint(spark, text):
     units = [w for w in text.split(" ") if w] or [""]
     rows = [(i, units[i], units[i + 1] if i + 1 < len(units) else None) for i in range(len(units))]
     df = spark.createDataFrame(rows, "i int, a string, b string").select("i", F.xxhash64("a", "b").alias("h"))
-    cut = [(r.i, r.h & (1 << 41) - 1) for r in df.collect()]
+    cut = [(r.i, r.h & (1 << 31) - 1) for r in df.collect()]
     seen, numbered = collections.Counter(), []
     for i, h in sorted(cut):
         numbered.append((i, h, seen[h]))
@@ -166,11 +166,11 @@ def plain_fingerprint(spark, text):
     bins = collections.defaultdict(list)
     for r in df.collect():
         v = r.v % 2**64
-        bins[v & 127].append((v >> 30, r.i))
+        bins[v & 127].append((v >> 40, r.i))
     out = []
     for b, entries in sorted(bins.items()):
         chosen = sorted(sorted(entries)[:2], key=lambda x: x[1])
-        out.append((b, [(b << 34) | rank for rank, _ in chosen]))
+        out.append((b, [(b << 24) | rank for rank, _ in chosen]))
     return out
 
 
@@ -184,6 +184,18 @@ def test_fingerprint_keeps_text_order(docs_of, spark):
     assert sorted(got) == sorted((r.b << 16) | (r.h & 0xFFFF) for r in hashed)
 
 
+def test_texts_without_blanks_have_units(spark):
+    text = "秋天的北京非常美丽树叶变成了金黄色人们喜欢在公园里散步孩子们在草地上奔跑老人们坐在长椅上聊天天气凉爽阳光温暖而明亮"
+    blob = "".join(f"{i * i:x}" for i in range(5000))
+    rows = [(0, text), (1, text[:20] + "X" + text[21:]), (2, text[::-1]), (3, blob), (4, blob[:300] + "#" + blob[301:])]
+    f = {r.i: r.f for r in order_minhash.fingerprint(spark.createDataFrame(rows, "i int, t string"), "t", "f").collect()}
+    pairs = spark.createDataFrame([(a, b, f[a], f[b]) for a, b in ((0, 1), (0, 2), (3, 4))], "i int, j int, a array<int>, b array<int>")
+    near = {(r.i, r.j): r.s for r in pairs.select("i", "j", order_minhash.likeness(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert near[0, 1] > 0.6 and near[0, 2] < 0.2 and near[3, 4] > 0.9
+    got = spark.createDataFrame([("a " + "x" * 50 + " 中b", ), ("",), (" \n",)], "t string").select(order_minhash.units(F.col("t"))).collect()
+    assert [r[0] for r in got] == [["a", "x" * 24, "x" * 24, "xx", "中", "b"], [""], [""]]
+
+
 def test_likeness_falls_with_edits_and_sees_order(docs_of, spark):
     rng = random.Random(12)
     base = [f"w{rng.randrange(5000)}" for _ in range(400)]
