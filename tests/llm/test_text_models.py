@@ -61,6 +61,17 @@ def test_probabilities_of_all_next_words_sum_to_one(docs_of):
     assert sum(10 ** r.score for r in got) + 10 ** ended[0] < 1
 
 
+def test_group_sums_equal_plain_sums():
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(900, 7))
+    row = np.concatenate([rng.integers(0, 60, size=500), np.full(300, 3), rng.integers(100, 900, size=100)])
+    order = np.argsort(row, kind="stable")
+    where, first = np.unique(row[order], return_index=True)
+    got = maxent.group_sums(values, order, first)
+    for w, g in zip(where.tolist(), got):
+        assert np.allclose(g, values[row == w].sum(axis=0))
+
+
 def test_language_model_of_nothing(docs_of):
     assert maxent.score(docs_of([]), F.lit(False)).count() == 0
     r = maxent.score(docs_of([(1, "a b", "en", "s"), (None, None, None, None)]), F.lit(True)).orderBy(F.desc("n_tokens")).collect()
