@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import MATCH_SCHEMA, MAX_BROADCAST_NUMBERS, _best, _keep_best, _unit, rank_matches, topk
+from .retrieval import MATCH_SCHEMA, MAX_BROADCAST_NUMBERS, _by_id, _keep_best, _matches, _unit, rank_matches, topk
 
 RECALL = 0.9
 AIMED = 0.95  # share of the matches of sampled queries; the queries of a search may be harder than the sample
@@ -244,9 +244,8 @@ def _scored(spark, path: str, ids: list, vectors: np.ndarray, look: np.ndarray,
             for cell, some in batch.groupby("cell"):
                 who = asked.get(int(cell))
                 if who is not None:
-                    sims = np.round(matrix[who] @ np.array(some["vec"].tolist()).T, 9)
-                    hits = _best(sims, [names[w] for w in who], list(some["id"]), k, float(least[who].min()))
-                    found.append(hits)
+                    items, stored = _by_id(some["id"], np.array(some["vec"].tolist()), k)
+                    found.append(_matches(matrix[who], [names[w] for w in who], stored, items, k, least[who]))
             if len(found) > 1:
                 best = _keep_best(pd.concat(found), k)
         yield best

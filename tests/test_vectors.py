@@ -103,3 +103,27 @@ def test_split_white_space_like_text(spark):
     df = spark.createDataFrame([(text,)], "t string")
     got = df.select(F.split("t", vx.WHITE, -1)).first()[0]
     assert got == text.split() and not re.search(r"\s", "".join(got))
+
+
+def test_products_stay_small(spark, cloud, monkeypatch):
+    """Tiles of any size give the rows of the whole product, in memory that does not grow with it."""
+    import tracemalloc
+
+    rows, want = cloud
+    items, vectors = rt._by_id([r[0] for r in rows], rt._unit([r[1] for r in rows], 8), 3)
+    assert len(items) == 400 - 130 + 3  # of equal rows no more than a query can match
+    asked = rt._unit([r[1] for r in rows], 8)
+    for tiles in ((512, 8192), (7, 5), (64, 40)):
+        monkeypatch.setattr(rt, "TILE_QUERIES", tiles[0])
+        monkeypatch.setattr(rt, "TILE_ITEMS", tiles[1])
+        got = rt._matches(asked, [r[0] for r in rows], vectors, items, 3, 0.6)
+        rank = got.groupby("query_id").cumcount() + 1
+        assert set(zip(got["query_id"], got["item_id"], rank)) == want
+    monkeypatch.undo()
+    many = rt._unit(list(np.random.default_rng(1).standard_normal((6000, 16))), 16)
+    tracemalloc.start()
+    got = rt._matches(many, np.arange(6000), many, np.arange(6000), 3, 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 18_000 and peak < 150e6  # the whole product takes 288 MB, and as much for each copy
+    assert not rt._unit([[np.nan] + [1.0] * 15, [np.inf] + [1.0] * 15], 16).any()
