@@ -99,7 +99,7 @@ def build(items: DataFrame, path: str, *, dim: int, k: int, min_sim: float, item
     rows = np.unique(rows[np.abs(rows).sum(axis=1) > 0], axis=0)
     rows = rows[np.random.default_rng(0).permutation(len(rows))]
     centres = fit_centres(rows, min(cells, len(rows))) if len(rows) else np.eye(1, dim)
-    names = pd.DataFrame({"cell": np.arange(len(centres), dtype=np.int32), "centre": list(centres)})
+    names = pd.DataFrame({"cell": np.arange(len(centres), dtype=np.int32), "centre": centres.tolist()})
     spark.createDataFrame(names, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
     _store(_assigned(c, centres), path, "overwrite")
     probes, recall = _measure(spark, c, path, centres, dim, k, min_sim)

@@ -95,3 +95,16 @@ def test_odd_rows(spark, tmp_path):
     assert [(r.item_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.item_id] == [("1", 1.0), ("4", 1.0)]
     cl.build(df.limit(0), path + "0", dim=2, k=K, min_sim=FLOOR)
     assert cl.search(df.withColumnRenamed("item_id", "query_id"), path + "0", k=K, min_sim=FLOOR, exact=True).collect() == []
+
+
+def test_sessions_without_arrow(spark, clustered, tmp_path):
+    """Spark's own default; numbers of numpy are no numbers to it."""
+    key, path = "spark.sql.execution.arrow.pyspark.enabled", str(tmp_path / "index")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        cl.build(frame(spark, clustered[:500]), path, dim=24, k=K, min_sim=FLOOR)
+        asked = frame(spark, clustered[:20]).withColumnRenamed("item_id", "query_id")
+        assert found(cl.search(asked, path, k=K, min_sim=FLOOR, exact=True)) == exact(clustered[:500], list(range(20)))
+    finally:
+        spark.conf.set(key, before)
