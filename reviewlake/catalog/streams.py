@@ -13,11 +13,9 @@ from .base import ORACLES, query, plant, table
 
 
 def stream(spark, sf_dir, name):
-    """A table of the driver as a file stream."""
+    """A table of the driver, one file or a folder of files, as a file stream."""
     schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")  # as a pattern; a path itself has to be a folder
 
 
 def _feed(spark, sf_dir):

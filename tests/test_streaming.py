@@ -158,3 +158,13 @@ def test_events_without_time_or_id_stay_apart(spark):
     lines = spark.createDataFrame([('{"event_type": "DEV_ACCEPTED_PATCH", "rule_id": "R"}',)] * 2, "value string")
     got = events.parse_events(lines, arrived=F.lit("2024-05-01 00:00:00").cast("timestamp")).collect()
     assert len({r["id"] for r in got}) == 2 and all(r["ts"].month == 5 for r in got)
+
+
+def test_streams_read_tables_in_folders(spark, sf_dir, tmp_path):
+    """A larger table is a folder of files."""
+    from __spark_entry__ import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["inspect_stream"](spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, queries()["inspect_stream"](spark, sf_dir).collect()))
