@@ -127,3 +127,30 @@ def test_products_stay_small(spark, cloud, monkeypatch):
     tracemalloc.stop()
     assert len(got) == 18_000 and peak < 150e6  # the whole product takes 288 MB, and as much for each copy
     assert not rt._unit([[np.nan] + [1.0] * 15, [np.inf] + [1.0] * 15], 16).any()
+
+
+def test_features_leave_in_small_batches():
+    """What a worker holds follows the rows of a slice and not those of a batch; a bound on words changes nothing."""
+    import pyarrow as pa
+
+    words = [[f"w{i % 700}", "same", f"x{i}"] for i in range(2000)]
+    batch = pa.array(words, pa.list_(pa.string())), pa.array([[float(i % 3), 0.0, 1.0, 0.0] for i in range(2000)])
+    whole = [x for total, there in vx._sums([batch]) for x in vx._as_cells(total, there).to_pylist()]
+    sizes = [len(total) for total, _ in vx._sums([batch])]
+    assert len(whole) == 2000 == sum(sizes) and max(sizes) <= vx._SLICE_ROWS
+    for i in (0, 1, 699, 1999):
+        want = {}
+        for w in words[i]:
+            for bucket, v in vx._word_hashes(w):
+                want[bucket] = want.get(bucket, 0.0) + v
+        for c, strength in enumerate((float(i % 3), 0.0, 1.0, 0.0)):
+            if strength:
+                want |= {fv.HASH_BUCKETS + c * fv.CLUSTER_WIDTH + j: strength for j in range(fv.CLUSTER_WIDTH)}
+        assert [(c["dim"], c["v"]) for c in whole[i]] == sorted(want.items())
+
+
+def test_vectors_are_worked_out_once(spark):
+    """A filter drawn from a later explode must not repeat the Python step."""
+    df = spark.createDataFrame([(1, "one two three")], "id int, text string")
+    plan = rt.embed_sparse(df, id_col="id", text_col="text").select("id", F.explode("cells"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("unit_features(") == 1
