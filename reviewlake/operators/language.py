@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,11 @@ def is_python_path(path: Column) -> Column:
 
 
 def guidelines(spark: SparkSession, rows=None) -> DataFrame:
-    rows = fv.GUIDELINES if rows is None else rows
-    return spark.createDataFrame(
-        rows,
-        "language string, best_practices array<string>, anti_patterns array<string>, note string",
-    )
+    """The lookup as a table of values; tasks need no Python to read it."""
+    names = ["language", "best_practices", "anti_patterns", "note"]
+    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+    columns = list(zip(*(fv.GUIDELINES if rows is None else rows))) or [[]] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names))
 
 
 def attach_guidelines(df: DataFrame, table: DataFrame | None = None, *, lang_col="language"):

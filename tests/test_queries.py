@@ -48,3 +48,11 @@ def test_files_are_shuffled_once(spark, sf_dir):
     plan = find(sources(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     by_file = [x for x in plan.splitlines() if "Exchange hashpartitioning(file_id" in x]
     assert len(by_file) == 1
+
+
+def test_guidelines_need_no_python_in_tasks(spark):
+    from reviewlake.operators import language
+
+    plan = language.guidelines(spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "RDD" not in plan
+    assert language.guidelines(spark, []).count() == 0
