@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import fixed, rewrite_matches, split_lines
+from ..functions.text import fixed, let, rewrite_matches, split_lines
 from ..plans.layout import by_key
 
 # Comments and string literals of Python source; the mark of an f-string belongs to it.
@@ -109,11 +109,12 @@ def pieces(code: Column) -> Column:
     An array of (code, top, row, col): the piece, its ``top_level`` and the line and
     column it starts on, from 0. The header of a block is no piece.
     """
-    top = top_level(code)
-    head = F.length(F.regexp_extract(top, HEADER, 0))
-    segments = F.split(F.substr(top, head + 1), ";", -1)
+    def parted(top: Column) -> Column:
+        head = F.length(F.regexp_extract(top, HEADER, 0))
+        cut = F.struct(head.alias("head"), F.split(F.substr(top, head + 1), ";", -1).alias("segments"))
+        return let(cut, lambda x: F.transform(x["segments"], lambda segment, i: piece(x["head"], x["segments"], segment, i)))
 
-    def piece(segment: Column, i: Column) -> Column:
+    def piece(head: Column, segments: Column, segment: Column, i: Column) -> Column:
         before = F.aggregate(F.slice(segments, F.lit(1), i), head, lambda n, x: n + F.length(x) + 1)
         own = F.substr(code, before + 1, F.length(segment))
         up_to = F.concat(F.substr(code, F.lit(1), before), F.regexp_extract(own, r"^\s*", 0))
@@ -122,7 +123,7 @@ def pieces(code: Column) -> Column:
             F.length(F.regexp_extract(up_to, r"[^\n]*$", 0)).alias("col"),
         )
 
-    return F.filter(F.transform(segments, piece), lambda p: p["top"].rlike(r"\S"))
+    return F.filter(let(top_level(code), parted), lambda p: p["top"].rlike(r"\S"))
 
 
 def explode_lines(files: DataFrame, *, source_col="source") -> DataFrame:

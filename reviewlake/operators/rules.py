@@ -208,9 +208,8 @@ _ARRAY = (
 )
 
 
-def worth_scanning(source: Column) -> Column:
-    """What the findings of each rule need somewhere in the file."""
-    low = F.lower(source)
+def worth_scanning(source: Column, low: Column) -> Column:
+    """What the findings of each rule need somewhere in the file; ``low`` is the source in lower case."""
     floats = source.rlike(r"\d[.eE]|\.\d|float\s*\(") & contains_any(low, fv.FINANCIAL_KEYWORDS)
     route = source.contains("@") & contains_any(low, fv.PAYMENT_SEGMENTS)
     network = contains_any(source, fv.TRANSACTION_NAMES) & contains_any(source, fv.NETWORK_METHODS)
@@ -241,7 +240,10 @@ def routes(stmts: DataFrame) -> DataFrame:
 
 def find(files: DataFrame, *, source_col="source", marker: str = fv.SUPPRESS_MARKER) -> DataFrame:
     """All findings of a table of files (``file_id``, source), without suppressed ones."""
-    worth = files.where(worth_scanning(F.col(source_col)))
+    # a filter works out again what it names: the source and its lower case stand fixed before it
+    texts = fixed(files.select("file_id", source_col), **{source_col: F.col(source_col)})
+    texts = fixed(texts, _low=F.lower(source_col))
+    worth = texts.where(worth_scanning(F.col(source_col), F.col("_low"))).drop("_low")
     stmts = float_operations(routes(in_block(worth, source_col=source_col)))
     parted = F.col("code").rlike(MAY_FLOAT) | contains_any(F.lower("code"), fv.DEBIT_NAMES)
     stmts = fixed(stmts, pieces=F.when(parted, pieces(F.col("code"))))
