@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, fixed, split_lines, strip
+from ..functions.text import any_of, fixed, let, split_lines, strip
 
 FILE_HEADER = "diff --git "
 HUNK = r"@@\s+-\d+(?:,\d+)?\s+\+\d+(?:,\d+)?\s+@@"
@@ -63,7 +63,8 @@ def to_source(df: DataFrame, *, text_col="diff", default="patch.py") -> DataFram
         .when(x.rlike(r"^[ \t]*$"), "")
         .otherwise(F.substr(x, F.col("_cut") + 1)),
     )
-    out = fixed(out, _lines=split_lines(strip(F.array_join(freed, "\n"))))
+    out = fixed(out, _freed=strip(F.array_join(freed, "\n")))
+    out = fixed(out, _lines=split_lines(F.col("_freed"))).drop("_freed")
     kept = F.filter(
         "_lines", lambda x: (x.startswith("+") & ~x.startswith("+++")) | x.startswith(" ")
     )
@@ -104,12 +105,14 @@ def drop_deleted(text: Column) -> Column:
 
 def as_added(path: Column, text: Column) -> Column:
     """A whole file as a diff in which every line is new."""
-    lines = split_lines(text)
-    head = F.concat(
-        F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -0,0 +1,"),
-        F.size(lines).cast("string"), F.lit(" @@\n"),
-    )
-    return F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"))
+    def whole(lines: Column) -> Column:
+        head = F.concat(
+            F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -0,0 +1,"),
+            F.size(lines).cast("string"), F.lit(" @@\n"),
+        )
+        return F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("+"), x)), "\n"))
+
+    return let(split_lines(text), whole)
 
 
 def hunks_of(patch: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import split_lines
-from reviewlake.operators import rules
+from reviewlake.operators import diffs, rules
 from reviewlake.operators.lines import pieces
 
 
@@ -28,3 +28,12 @@ def test_every_line_break_ends_a_line(spark):
     assert {r["i"]: r["l"] for r in rows.collect()} == {i: t if t is None else t.splitlines() for i, t in enumerate(texts)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "translate" not in plan and plan.count("regexp_replace") == 1
+
+
+def test_diff_text_is_split_once(spark):
+    rows = spark.range(4).select("id", F.concat(F.lit("    +a = 1\r\n     b\n\n    -c\n    +++ b/x "), F.col("id").cast("string")).alias("diff"))
+    out = diffs.to_source(rows)
+    assert {(r["source"], r["target"]) for r in out.collect()} == {("a = 1\nb", f"x {i}") for i in range(4)}
+    added = rows.select(diffs.as_added(F.lit("x"), F.col("diff")).alias("d"))
+    assert added._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert added.first()["d"].startswith("--- a/x\n+++ b/x\n@@ -0,0 +1,5 @@\n+    +a = 1\n+     b\n+\n")
