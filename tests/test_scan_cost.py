@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions.text import split_lines
 from reviewlake.operators import diffs, rules
 from reviewlake.operators.lines import pieces
+from reviewlake.sources import history, records
 
 
 def test_source_is_worked_out_once(spark):
@@ -37,3 +38,15 @@ def test_diff_text_is_split_once(spark):
     added = rows.select(diffs.as_added(F.lit("x"), F.col("diff")).alias("d"))
     assert added._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert added.first()["d"].startswith("--- a/x\n+++ b/x\n@@ -0,0 +1,5 @@\n+    +a = 1\n+     b\n+\n")
+
+
+def test_history_lines_are_worked_out_once(spark):
+    value = F.concat(F.lit("  R"), F.col("id").cast("string"), F.lit(", Perf, marked  "))
+    lines = spark.range(3).select(F.lit("f").alias("file"), F.col("id").alias("n"), value.alias("value"))
+    rules_ = history.parse_history(lines)
+    plan = rules_._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", Perf, marked") == 1 and plan.count("regexp_extract_all") == 1
+    assert sorted((r["rule_type"], r["description"]) for r in rules_.collect()) == [("perf", "marked")] * 3
+    slim = records.nonblank(lines, ["file"], ["n"], "value")
+    assert slim._jdf.queryExecution().optimizedPlan().toString().count(", Perf, marked") == 1
+    assert sorted(r["_line"] for r in slim.collect()) == [f"R{i}, Perf, marked" for i in range(3)]
