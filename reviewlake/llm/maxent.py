@@ -4,9 +4,13 @@ P(word | history) = P(class | history) * P(word | class). The most frequent word
 are classes of their own; all others share classes by their last letters. The
 class is predicted by a maximum-entropy model over hashed features of the history
 (the word before, the two words before, and the word before the last, skipping
-one). Inside a class a word has its share of the counts plus one, with one more
-share for words that training never met; that is the maximum-entropy solution of
-the class with the word itself as feature.
+one). The word in its class is predicted by a second softmax over features of the word
+before and the two words before. It runs along a Huffman tree over the words of the class: at every inner node a softmax
+chooses one of two sides. The bias of a node is the logarithm of the counts (plus one)
+below its sides, so that without features a word has its share of the counts, and each
+feature (the node, hashed to a slot of the history's row) moves the choice from there. The
+words beyond the most frequent ones are one leaf of their class, in which a word has
+its share of the counts, with one more share for words that training never met.
 
 Training is one pass over all training tokens, in rounds: tasks start from the
 same weights, follow the gradient in small batches, and send what they changed;
@@ -19,6 +23,7 @@ bounded size, are handed to the tasks; the counts of all other words are joined.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from itertools import repeat
@@ -36,8 +41,8 @@ END = b"\n"  # the end of a text as a token; words hold no blanks, so it is no w
 OWN, SHARED = 56, 8
 CLASSES = OWN + SHARED
 BUCKETS = 1 << 14
+SLOTS = 64  # weights of a bucket for the choices inside classes
 BATCH = 4096
-REMEMBERED = 200_000  # words a task keeps besides the shipped ones
 HELD = 250_000  # words that a task counts before it sends them on
 
 
@@ -75,46 +80,66 @@ def counts(docs: DataFrame, text: Column) -> DataFrame:
 
 
 class Words:
-    """Hash, class and count of words; the shipped ones for good, others up to a bound."""
+    """Leaf and hash of words: shipped ones have a leaf each, all others that of their class."""
 
     def __init__(self, table: tuple):
         """``table`` as ``word_table`` makes it."""
-        self.words, self.first_hashes, self.first_classes, self.logs = table
-        self._start()
-
-    def _start(self) -> None:
-        more = np.zeros(1 << 14, dtype=np.int64)
-        self.place = dict(zip(self.words, range(len(self.words))))
-        self.hashes = np.concatenate([self.first_hashes, more.astype(np.uint64)])
-        self.classes = np.concatenate([self.first_classes, more])
-
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        if len(self.place) > len(self.words) + REMEMBERED:
-            self._start()
-        out = np.fromiter(map(self.place.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = self._new(tokens[i])
-        return out
-
-    def _new(self, word: bytes) -> int:
-        at = self.place.get(word)
-        if at is not None:
-            return at
-        at = self.place[word] = len(self.place)
-        if at == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.classes = np.concatenate([self.classes, np.zeros_like(self.classes)])
-        self.hashes[at] = zlib.crc32(word)
-        self.classes[at] = OWN + shared_class(word)
-        return at
-
-
-def word_table(frequent: list[tuple[bytes, int]]) -> tuple:
-    """Words, hashes, classes and logarithms of counts plus one, for tasks."""
+        words, self.hashes, self.classes, self.tree = table
+        self.shipped = len(words)
+        self.place = dict(zip(words, range(len(words))))
+
+    def look(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        leaves = np.fromiter(map(self.place.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+        hashes = self.hashes[leaves]
+        other = np.flatnonzero(leaves < 0)
+        new = [tokens[i] for i in other.tolist()]
+        hashes[other] = np.fromiter(map(zlib.crc32, new), dtype=np.uint64, count=len(new))
+        leaves[other] = self.shipped + np.fromiter(map(shared_class, new), dtype=np.int64, count=len(new))
+        return leaves, hashes
+
+
+def word_table(frequent: list[tuple[bytes, int]], rest: list[int]) -> tuple:
+    """Words, and hashes, classes and trees of their leaves, for tasks.
+
+    After the leaves of the words comes one for each shared class: all its other words,
+    which have ``rest`` shares together.
+    """
     words = [w for w, _ in frequent]
-    hashes = np.array([zlib.crc32(w) for w in words], dtype=np.uint64)
-    classes = np.array([i if i < OWN else OWN + shared_class(w) for i, w in enumerate(words)], dtype=np.int64)
-    return words, hashes, classes, np.log10(np.array([c for _, c in frequent], dtype=float) + 1)
+    hashes = np.array([*map(zlib.crc32, words), *[0] * SHARED], dtype=np.uint64)
+    classes = [i if i < OWN else OWN + shared_class(w) for i, w in enumerate(words)] + list(range(OWN, CLASSES))
+    return words, hashes, np.array(classes), trees([c + 1 for _, c in frequent] + list(rest), classes)
+
+
+def trees(shares: list[int], classes: list[int]) -> tuple:
+    """A Huffman tree over the leaves of each class, so that frequent words need few choices.
+
+    Returns for each leaf where its path begins in the steps and how many there are, and for
+    each step its slot (doubled, plus the side taken) and the node's log odds of side 1.
+    """
+    n = len(shares)
+    up, side = np.full(2 * n, -1), np.zeros(2 * n, dtype=np.int64)
+    odds: list[float] = []
+    heaps: dict[int, list] = {}
+    for leaf, c in enumerate(classes):
+        heaps.setdefault(c, []).append((shares[leaf], leaf))
+    for heap in heaps.values():
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            zero, node = heapq.heappop(heap), n + len(odds)
+            one = heapq.heapreplace(heap, (zero[0] + heap[0][0], node))
+            up[zero[1]] = up[one[1]] = node
+            side[one[1]] = 1
+            odds.append(np.log(one[0] / zero[0]))
+    leaves, at, parts = np.arange(n), np.arange(n), []
+    while len(leaves):
+        leaves, at = leaves[up[at] >= 0], at[up[at] >= 0]
+        parts.append((leaves, (up[at] - n) * 2 + side[at]))
+        at = up[at]
+    owner, steps = (np.concatenate(x) for x in zip(*parts))
+    counted = np.bincount(owner, minlength=n)
+    steps = steps[np.argsort(owner, kind="stable")]
+    slots = (mix(steps >> 1) % np.uint64(SLOTS)).astype(np.uint8) * 2 + (steps & 1)
+    return np.cumsum(counted) - counted, counted, slots.astype(np.uint8), np.array(odds, dtype=np.float32)[steps >> 1]
 
 
 def features(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -132,31 +157,91 @@ def features(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """P(class | history) for a batch of sparse rows; row 0 of the weights is the bias."""
-    score = weights[rows[0]] + weights[rows[1]]
-    score += weights[rows[2]]
+    score = weights.take(rows[0], axis=0)
+    for row in rows[1:]:
+        score += weights.take(row, axis=0)
     score += weights[0]
-    score -= score.max(axis=1, keepdims=True)
-    np.exp(score, out=score)
-    score /= score.sum(axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        raised = np.exp(score)
+        total = raised.sum(axis=1)
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        raised = np.exp(score - score.max(axis=1, keepdims=True))
+        total = raised.sum(axis=1)
+    raised *= (1 / total)[:, None]
+    return raised
+
+
+def powers(weights: np.ndarray) -> np.ndarray:
+    """Each row of the weights, with its part of the bias, as factors of at most one."""
+    rows = weights + weights[0] / 3
+    return np.exp(rows - rows.max(axis=1, keepdims=True))
+
+
+def class_logs(weights: np.ndarray, factors: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """log10 P(class | history) of one class a token: the rows' factors are multiplied instead of raised anew."""
+    product = factors.take(rows[0], axis=0)
+    for row in rows[1:]:
+        product *= factors.take(row, axis=0)
+    total = product.sum(axis=1)
+    chance = product[np.arange(len(classes)), classes] / np.maximum(total, 1e-30)
+    low = np.flatnonzero((chance < 1e-20) | (total < 1e-20))
+    if len(low):  # too small for the products
+        chance[low] = chances(weights, rows[:, low])[np.arange(len(low)), classes[low]]
+    return np.log10(np.maximum(chance, 1e-30))
+
+
+def choices(tree: tuple, leaves: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All choices on the tokens' paths: how many a token has, side, log odds without features, and the weights in use."""
+    starts, counted, slots, odds = tree
+    n = counted[leaves]
+    step = np.repeat(starts[leaves] - (np.cumsum(n) - n), n)
+    step += np.arange(len(step))
+    slot = slots[step]
+    at = [np.repeat(row * SLOTS, n) for row in rows[:2]]
+    for a in at:
+        a += slot >> 1
+    return n, slot & 1, odds[step], at
+
+
+def chosen(weights: np.ndarray, base: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    """The log odds of side 1."""
+    score = base + weights[at[0]]
+    for a in at[1:]:
+        score += weights[a]
     return score
 
 
+def leaf_logs(tree: tuple, weights: np.ndarray, leaves: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """log10 P(leaf | class, history) of each token: the choices of its path together."""
+    n, side, base, at = choices(tree, leaves, rows)
+    score = chosen(weights, base, at)
+    score *= np.float32(1) - np.float32(2) * side
+    costs = np.maximum(score, 0) + np.log(1 + np.exp(-np.abs(score)))
+    sums = np.concatenate([[0], np.cumsum(costs, dtype=float)])
+    ends = np.cumsum(n)
+    return (sums[ends - n] - sums[ends]) / np.log(10)
+
+
 def group_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the rows ``values[order]`` from each start to the next.
 
-    Most groups are small: their second rows are added all at once, then their third
-    rows, and so on; what is left of large ones is summed group by group.
+    Groups are cut into pieces of eight rows; the second rows of all pieces are added at
+    once, then their third rows, and so on, and the sums of pieces are summed the same way.
     """
     sizes = np.diff(np.append(starts, len(order)))
-    out = values[order[starts]]
+    pieces = (sizes + 7) // 8
+    before = np.cumsum(pieces) - pieces
+    rank = (np.arange(pieces.sum()) - np.repeat(before, pieces)) * 8
+    first = np.repeat(starts, pieces) + rank
+    left = np.repeat(sizes, pieces) - rank
+    out = values.take(order[first], axis=0)
+    more = np.arange(len(first))
     for rank in range(1, 8):
-        more = np.flatnonzero(sizes > rank)
+        more = more[left[more] > rank]
         if not len(more):
-            return out
-        out[more] += values[order[starts[more] + rank]]
-    for i in np.flatnonzero(sizes > 8).tolist():
-        out[i] += values[order[starts[i] + 8: starts[i] + sizes[i]]].sum(axis=0)
-    return out
+            break
+        out[more] += values.take(order[first[more] + rank], axis=0)
+    return out if len(first) == len(starts) else group_sums(out, np.arange(len(out)), before)
 
 
 def _slices(batches, size: int = 2_000_000):
@@ -172,54 +257,87 @@ def _slices(batches, size: int = 2_000_000):
 
 
 def _texts(batch, words: Words):
-    """Token ids of the batch's texts, one after the other, where each text ends, and the tokens."""
+    """Leaves and hashes of the batch's tokens, one text after the other, where each text ends, and the tokens."""
     tokens: list[bytes] = []
     ends = []
     for text in batch.column("text").to_pylist():
         tokens += tokens_of(text)
         ends.append(len(tokens))
-    return words.ids(tokens), np.array(ends, dtype=np.int64), tokens
+    return *words.look(tokens), np.array(ends, dtype=np.int64), tokens
+
+
+class Learner:
+    """Weights of both softmaxes that follow the gradient, and how often each row was met."""
+
+    def __init__(self, classes: np.ndarray, slots: np.ndarray, rate: float):
+        self.rate = np.float32(rate)
+        self.classes, self.slots = classes.copy(), slots.copy()
+        self.squares = np.ones(BUCKETS, dtype=np.float32)
+        self.met = np.zeros(BUCKETS, dtype=np.int64)
+        self.faced = np.ones(slots.size, dtype=np.float32)
+
+    def learn_classes(self, rows: np.ndarray, classes: np.ndarray) -> None:
+        error = chances(self.classes, rows)
+        error[np.arange(len(classes)), classes] -= 1
+        flat = rows.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # by digits: there are 2^14 rows
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self._step(flat[first], group_sums(error, order % len(classes), first), np.diff(np.append(first, len(flat))))
+        self._step(np.array([0]), error.sum(axis=0, keepdims=True), len(classes))
+
+    def _step(self, where: np.ndarray, slope: np.ndarray, n) -> None:
+        squares = self.squares[where] + np.einsum("ij,ij->i", slope, slope) / 4
+        self.squares[where] = squares
+        slope *= (-self.rate / np.sqrt(squares))[:, None]
+        slope += self.classes.take(where, axis=0)
+        self.classes[where] = slope
+        self.met[where] += n
+
+    def learn_choices(self, tree: tuple, leaves: np.ndarray, rows: np.ndarray) -> None:
+        weights, one = self.slots.reshape(-1), np.float32(1)
+        _, side, base, at = choices(tree, leaves, rows)
+        step = self.rate * (side - one / (one + np.exp(-chosen(weights, base, at))))
+        for a in at:
+            np.add.at(self.faced, a, one)
+            np.add.at(weights, a, step / np.sqrt(self.faced.take(a)))
 
 
 def train(
     docs: DataFrame, text: Column, slice_of: Column, known, slices: int = 8, rate: float = 0.3
-) -> np.ndarray:
-    """The weights after one pass: first over one slice of the texts, then over all others; ``known`` is a broadcast ``word_table``."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both softmaxes after one pass: first over one slice of the texts, then over all others.
+
+    ``known`` is a broadcast ``word_table``.
+    """
     spark = docs.sparkSession
-    weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
+    weights = np.zeros((BUCKETS, CLASSES + SLOTS), dtype=np.float32)
     rows = docs.select(utf8(text).alias("text"), F.pmod(slice_of, F.lit(slices)).alias("slice"))
-    for part in (rows.where("slice = 0"), rows.where("slice <> 0")):
+    # every task sends its weights: the slice, a small part of the input, goes to fewer tasks than the rest
+    tasks = rows.rdd.getNumPartitions()
+    fewer = max(tasks // slices, min(tasks, spark.sparkContext.defaultParallelism), 1)
+    for part in (rows.where("slice = 0").coalesce(fewer), rows.where("slice <> 0")):
         start = spark.sparkContext.broadcast(weights)
 
         def descend(batches, start=start):
-            words, own = Words(known.value), start.value.copy()
-            met = np.zeros(BUCKETS, dtype=np.int64)
-            squares = np.ones((BUCKETS, 1), dtype=np.float32)
+            words = Words(known.value)
+            own = Learner(start.value[:, :CLASSES], start.value[:, CLASSES:], rate)
             for batch in _slices(batches):
-                ids, ends, _ = _texts(batch, words)
-                rows_, classes = features(words.hashes[ids], ends), words.classes[ids]
-                for at in range(0, len(ids), BATCH):
-                    now, right = rows_[:, at: at + BATCH], classes[at: at + BATCH]
-                    error = chances(own, now)
-                    error[np.arange(len(right)), right] -= 1
-                    for row in (*now, None):
-                        if row is None:
-                            where, slope, n = np.array([0]), error.sum(axis=0, keepdims=True), len(right)
-                        else:
-                            order = np.argsort(row.astype(np.uint16), kind="stable")  # by digits: there are 2^14 rows
-                            where, first = np.unique(row[order], return_index=True)
-                            slope = group_sums(error, order, first)
-                            n = np.diff(np.append(first, len(row)))
-                        squares[where] += np.einsum("ij,ij->i", slope, slope)[:, None] / 4
-                        own[where] -= rate * slope / np.sqrt(squares[where])
-                        met[where] += n
-            where = np.flatnonzero(met)
-            change = (own[where] - start.value[where]).astype(float) * met[where, None]
-            columns = [pa.array(where.astype(np.int32)), pa.array(met[where])]
-            columns += [pa.array(np.ascontiguousarray(change[:, c])) for c in range(CLASSES)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "met", *[f"w{c}" for c in range(CLASSES)]])
-
-        names = [f"w{c}" for c in range(CLASSES)]
+                leaves, hashes, ends, _ = _texts(batch, words)
+                rows_, classes = features(hashes, ends), words.classes[leaves]
+                parts = [slice(at, at + BATCH) for at in range(0, len(leaves), BATCH)]
+                for now in parts:
+                    own.learn_classes(rows_[:, now], classes[now])
+                for now in parts:
+                    own.learn_choices(words.tree, leaves[now], rows_[:, now])
+            where = np.flatnonzero(own.met)
+            change = np.concatenate([own.classes[where], own.slots[where]], axis=1) - start.value[where]
+            change = change.astype(float) * own.met[where, None]
+            columns = [pa.array(where.astype(np.int32)), pa.array(own.met[where])]
+            columns += [pa.array(np.ascontiguousarray(change[:, c])) for c in range(change.shape[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "met", *names])
+
+        names = [f"w{c}" for c in range(CLASSES + SLOTS)]
         sent = part.select("text").mapInArrow(descend, "row int, met bigint, " + ", ".join(f"{c} double" for c in names))
         # at most one line a bucket reaches the driver
         mean = sent.groupBy("row").agg(F.sum("met").alias("met"), *[F.sum(c).alias(c) for c in names]).toArrow()
@@ -229,7 +347,7 @@ def train(
             weights = weights.copy()
             weights[where] += (change / mean.column("met").to_numpy()[:, None]).astype(np.float32)
         start.unpersist()
-    return weights
+    return weights[:, :CLASSES].copy(), weights[:, CLASSES:].copy()
 
 
 def score(
@@ -255,42 +373,45 @@ def score(
     frequent = sorted(zip(top.column("token").to_pylist(), top.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
     share = F.crc32(F.when(F.length("token") > 2, F.substring("token", -2, 2)).otherwise(F.col("token"))) % SHARED
     sums = {r[0]: r[1] for r in vocabulary.groupBy(share).agg(F.sum(F.col("c") + 1)).collect()}
-    for word, c in frequent[:OWN]:
+    for word, c in frequent:
         sums[shared_class(word)] -= c + 1
-    # the whole of each shared class, with one share for unknown words; an own class is one word
-    inside = np.array([0.0] * OWN + [np.log10(sums.get(i, 0) + 1) for i in range(SHARED)])
-    known = spark.sparkContext.broadcast(word_table(frequent))
-    weights = train(taught, F.col(text_col), F.xxhash64(id_col, text_col), known)
-    model, shipped = spark.sparkContext.broadcast(weights), len(frequent)
+    # what the other words of each shared class have, with one share for unknown words
+    rest = [sums.get(i, 0) + 1 for i in range(SHARED)]
+    known = spark.sparkContext.broadcast(word_table(frequent, rest))
+    model = spark.sparkContext.broadcast(train(taught, F.col(text_col), F.xxhash64(id_col, text_col), known))
+    shipped = len(frequent)
+    count_logs = np.log10(np.array([c + 1 for _, c in frequent] + [1] * SHARED, dtype=float))
+    rest_logs = np.concatenate([np.zeros(shipped), np.log10(np.array(rest, dtype=float))])
     whole = float(np.log10(total + distinct + 1))
 
     def run(batches):
-        words = Words(known.value)
+        words, (weights, slots) = Words(known.value), model.value
+        factors = powers(weights)
         for batch in _slices(batches):
-            ids, ends, every = _texts(batch, words)
-            rows, classes = features(words.hashes[ids], ends), words.classes[ids]
-            chance = np.empty(len(ids))
-            for at in range(0, len(ids), BATCH):
-                right = classes[at: at + BATCH]
-                chance[at: at + BATCH] = chances(model.value, rows[:, at: at + BATCH])[np.arange(len(right)), right]
+            leaves, hashes, ends, every = _texts(batch, words)
+            rows, classes = features(hashes, ends), words.classes[leaves]
+            logs = -rest_logs[leaves]
+            parts = [slice(at, at + BATCH) for at in range(0, len(leaves), BATCH)]
+            for now in parts:
+                logs[now] += class_logs(weights, factors, rows[:, now], classes[now])
+            for now in parts:
+                logs[now] += leaf_logs(words.tree, slots.reshape(-1), leaves[now], rows[:, now])
             of = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
             add = lambda x: np.bincount(of, weights=x, minlength=len(ends))
-            met = ids < shipped
-            logs = np.zeros(len(ids))
-            logs[met] = words.logs[ids[met]]
-            rare: list[Counter] = [Counter() for _ in range(len(ends))]
-            for i, at in zip(of[~met].tolist(), np.flatnonzero(~met).tolist()):
-                rare[i][every[at]] += 1
+            met = leaves < shipped
+            others = np.flatnonzero(~met)
+            cuts = [0, *np.searchsorted(others, ends).tolist()]
+            others = [every[i] for i in others.tolist()]
+            rare = [Counter(others[a:b]) for a, b in zip(cuts, cuts[1:])]
             lists = lambda values, kind: pa.ListArray.from_arrays(
                 pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array([v for r in rare for v in values(r)], kind)
             )
-            shared = np.where(classes >= OWN, logs, 0.0)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(np.diff(np.concatenate([[0], ends])), pa.int64()),
                 "n_known": pa.array(add(met).astype(np.int64)),
-                "base": pa.array(add(logs)),
-                "model": pa.array(add(np.log10(np.maximum(chance, 1e-30)) + shared - inside[classes])),
+                "base": pa.array(add(count_logs[leaves])),
+                "model": pa.array(add(logs)),
                 "rare": lists(Counter.keys, pa.binary()), "times": lists(Counter.values, pa.int64()),
             })
 

@@ -61,6 +61,43 @@ def test_probabilities_of_all_next_words_sum_to_one(docs_of):
     assert sum(10 ** r.score for r in got) + 10 ** ended[0] < 1
 
 
+def test_choices_in_a_class_sum_to_one_and_start_from_the_counts():
+    rng = np.random.default_rng(7)
+    frequent = [(f"w{i}ab".encode(), 900 - i) for i in range(300)]
+    rest = [5, 1, 700, 1, 1, 1, 30, 1]
+    _, _, classes, tree = maxent.word_table(frequent, rest)
+    shares = np.array([c + 1 for _, c in frequent] + rest, dtype=float)
+    whole = np.bincount(classes, weights=shares)[classes]
+    leaves, rows = np.arange(308), np.repeat(rng.integers(1, maxent.BUCKETS, size=(3, 1)), 308, axis=1)
+    weights = rng.normal(size=maxent.BUCKETS * maxent.SLOTS).astype(np.float32)
+    plain = maxent.leaf_logs(tree, 0 * weights, leaves, rows)
+    assert np.allclose(plain, np.log10(shares / whole), atol=1e-5)
+    moved = maxent.leaf_logs(tree, weights, leaves, rows)
+    assert np.allclose(np.bincount(classes, weights=10**moved), 1, atol=1e-5) and not np.allclose(moved, plain, atol=0.1)
+
+
+def test_factors_give_the_softmax_also_for_large_weights():
+    rng = np.random.default_rng(8)
+    rows, classes = rng.integers(1, maxent.BUCKETS, size=(3, 500)), rng.integers(0, maxent.CLASSES, size=500)
+    for scale in (0.5, 60):
+        weights = rng.normal(scale=scale, size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
+        score = (weights[rows].sum(axis=0) + weights[0]).astype(float)
+        plain = score[np.arange(500), classes] - np.log(np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)) - score.max(axis=1)
+        got = maxent.class_logs(weights, maxent.powers(weights), rows, classes)
+        assert np.allclose(got, np.maximum(plain / np.log(10), -30), atol=1e-3)
+
+
+def test_history_tells_words_of_one_class_apart(docs_of):
+    rng = random.Random(4)
+    # 56 frequent words are classes of their own; nine and ten share one, and each has its own word before
+    common = [f"f{i}" for i in range(60)]
+    texts = [" ".join([*rng.sample(common, 45), *rng.choice([("left", "ninexy"), ("right", "tenxy")])]) for _ in range(3000)]
+    probes = ["left ninexy", "right tenxy", "left tenxy", "right ninexy"]
+    docs = docs_of([(i, t, "en", "s") for i, t in enumerate(texts + probes)])
+    got = {r.doc_id - 3000: r.score for r in maxent.score(docs, F.col("doc_id") >= 3000).where("doc_id >= 3000").collect()}
+    assert got[0] + got[1] > got[2] + got[3] + 0.5
+
+
 def test_group_sums_equal_plain_sums():
     rng = np.random.default_rng(5)
     values = rng.normal(size=(900, 7))
