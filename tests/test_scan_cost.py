@@ -31,6 +31,14 @@ def test_every_line_break_ends_a_line(spark):
     assert "translate" not in plan and plan.count("regexp_replace") == 1
 
 
+def test_only_the_end_of_a_text_is_searched_for_its_last_break(spark):
+    texts = ["x", "\n\n", "é\r\n", "a\u2028", "😀\n", "a\n😀", "\ra", "a\x85\n", "a\nb\n\r", "\r\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", split_lines(F.col("t")).alias("l"))
+    assert {r["i"]: r["l"] for r in rows.collect()} == {i: t.splitlines() for i, t in enumerate(texts)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(t#" not in plan and "contains(t#" in plan.lower()
+
+
 def test_diff_text_is_split_once(spark):
     rows = spark.range(4).select("id", F.concat(F.lit("    +a = 1\r\n     b\n\n    -c\n    +++ b/x "), F.col("id").cast("string")).alias("diff"))
     out = diffs.to_source(rows)
