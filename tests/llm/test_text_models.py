@@ -95,7 +95,7 @@ def test_history_tells_words_of_one_class_apart(docs_of):
     probes = ["left ninexy", "right tenxy", "left tenxy", "right ninexy"]
     docs = docs_of([(i, t, "en", "s") for i, t in enumerate(texts + probes)])
     got = {r.doc_id - 3000: r.score for r in maxent.score(docs, F.col("doc_id") >= 3000).where("doc_id >= 3000").collect()}
-    assert got[0] + got[1] > got[2] + got[3] + 0.5
+    assert got[0] + got[1] > got[2] + got[3] + 1.5
 
 
 def test_group_sums_equal_plain_sums():
