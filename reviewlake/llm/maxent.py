@@ -43,6 +43,7 @@ CLASSES = OWN + SHARED
 BUCKETS = 1 << 14
 SLOTS = 64  # weights of a bucket for the choices inside classes
 BATCH = 4096
+SENT = 1024  # weight rows that go in one piece
 HELD = 250_000  # words that a task counts before it sends them on
 
 
@@ -305,6 +306,44 @@ class Learner:
             np.add.at(weights, a, step / np.sqrt(self.faced.take(a)))
 
 
+def _as_lines(rows: np.ndarray, met: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    """Weight rows, how often they were met, and the bytes of their changes."""
+    width = change.shape[1] * change.itemsize
+    whole = pa.py_buffer(np.ascontiguousarray(change))
+    ends = pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32))
+    lines = pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, whole])
+    return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(met), lines], names=["row", "met", "change"])
+
+
+def _changes(lines: pa.Array, kind: type) -> np.ndarray:
+    """The changes that ``_as_lines`` wrote, a line each."""
+    ends = np.frombuffer(lines.buffers()[1], np.int32, len(lines) + 1, lines.offset * 4)
+    return np.frombuffer(lines.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(lines), -1)
+
+
+def averages(batches):
+    """The mean change of every row, weighted by how often each task met it; all changes of a row are in these batches."""
+    place = np.full(BUCKETS, -1)
+    met, total = np.zeros(0, dtype=np.int64), np.zeros((0, CLASSES + SLOTS))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows, times = batch.column("row").to_numpy(), batch.column("met").to_numpy()
+        order = np.argsort(rows, kind="stable")
+        mine, first = np.unique(rows[order], return_index=True)
+        fresh = mine[place[mine] < 0]
+        if len(fresh):
+            place[fresh] = np.arange(len(met), len(met) + len(fresh))
+            met = np.concatenate([met, np.zeros(len(fresh), dtype=np.int64)])
+            total = np.concatenate([total, np.zeros((len(fresh), CLASSES + SLOTS))])
+        change = _changes(batch.column("change"), np.float32) * times[:, None].astype(float)
+        total[place[mine]] += np.add.reduceat(change[order], first, axis=0)
+        met[place[mine]] += np.add.reduceat(times[order], first)
+    where = np.flatnonzero(place >= 0)
+    for some in (where[at : at + SENT] for at in range(0, len(where), SENT)):
+        yield _as_lines(some, met[place[some]], total[place[some]] / met[place[some], None])
+
+
 def train(
     docs: DataFrame, text: Column, slice_of: Column, known, slices: int = 8, rate: float = 0.3
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -333,21 +372,16 @@ def train(
                 for now in parts:
                     own.learn_choices(words.tree, leaves[now], rows_[:, now])
             where = np.flatnonzero(own.met)
-            change = np.concatenate([own.classes[where], own.slots[where]], axis=1) - start.value[where]
-            change = change.astype(float) * own.met[where, None]
-            columns = [pa.array(where.astype(np.int32)), pa.array(own.met[where])]
-            columns += [pa.array(np.ascontiguousarray(change[:, c])) for c in range(change.shape[1])]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "met", *names])
-
-        names = [f"w{c}" for c in range(CLASSES + SLOTS)]
-        sent = part.select("text").mapInArrow(descend, "row int, met bigint, " + ", ".join(f"{c} double" for c in names))
-        # at most one line a bucket reaches the driver
-        mean = sent.groupBy("row").agg(F.sum("met").alias("met"), *[F.sum(c).alias(c) for c in names]).toArrow()
+            for some in (where[at : at + SENT] for at in range(0, len(where), SENT)):
+                change = np.concatenate([own.classes[some], own.slots[some]], axis=1) - start.value[some]
+                yield _as_lines(some, own.met[some], change)
+
+        sent = part.select("text").mapInArrow(descend, "row int, met bigint, change binary")
+        # every bucket's changes meet in one task; at most one line a bucket reaches the driver
+        mean = sent.repartition("row").mapInArrow(averages, "row int, met bigint, change binary").toArrow()
         if mean.num_rows:
-            where = mean.column("row").to_numpy()
-            change = np.stack([mean.column(c).to_numpy() for c in names], axis=1)
             weights = weights.copy()
-            weights[where] += (change / mean.column("met").to_numpy()[:, None]).astype(np.float32)
+            weights[mean.column("row").to_numpy()] += _changes(mean.column("change").combine_chunks(), np.float64).astype(np.float32)
         start.unpersist()
     return weights[:, :CLASSES].copy(), weights[:, CLASSES:].copy()
 

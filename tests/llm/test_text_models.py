@@ -311,3 +311,25 @@ def test_lexicon_numbers_words_and_shares_suffixes(tmp_path):
     assert int(np.frombuffer(tails[8:16], dtype="<i8")[0]) == 8  # the root, and one state for each letter of the shared ending and its end
     (tmp_path / "y").write_bytes(lexicon.build([], []))
     assert lexicon.Lexicon(str(tmp_path / "y")).numbers([b"a"]).tolist() == [-1]
+
+
+def test_weight_changes_leave_tasks_in_small_pieces(monkeypatch):
+    sent = []
+    monkeypatch.setattr(maxent, "_as_lines", lambda *a, f=maxent._as_lines: sent.append(f(*a)) or sent[-1])
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.permutation(maxent.BUCKETS)[:n]) for n in (5000, 9000, maxent.BUCKETS)]
+    met = [rng.integers(1, 50, len(r)) for r in rows]
+    change = [rng.normal(size=(len(r), maxent.CLASSES + maxent.SLOTS)).astype(np.float32) for r in rows]
+    lines = [maxent._as_lines(*x).slice(3) for x in zip(rows, met, change)] + [maxent._as_lines(rows[0][:0], met[0][:0], change[0][:0])]
+    sent.clear()
+    got = list(maxent.averages(iter(lines)))
+    assert got == sent and max(b.num_rows for b in got) <= maxent.SENT
+    total, times = np.zeros((maxent.BUCKETS, maxent.CLASSES + maxent.SLOTS)), np.zeros(maxent.BUCKETS, dtype=np.int64)
+    for r, m, c in zip(rows, met, change):
+        total[r[3:]] += c[3:] * m[3:, None].astype(float)
+        times[r[3:]] += m[3:]
+    at = np.concatenate([b.column("row").to_numpy() for b in got])
+    assert at.tolist() == np.flatnonzero(times).tolist()
+    assert np.concatenate([b.column("met").to_numpy() for b in got]).tolist() == times[at].tolist()
+    mean = np.concatenate([maxent._changes(b.column("change"), np.float64) for b in got])
+    assert np.allclose(mean, total[at] / times[at, None])
