@@ -10,6 +10,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.work import lean_batches  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -89,14 +91,3 @@ def most_frequent(df: DataFrame, count_col: str, n: int) -> DataFrame:
             break
         least = at
     return df.limit(0) if least is None else df.where((F.col(count_col) > 0) & (step >= least))
-
-
-def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python workers a thousand rows at a time, unless the session says how many.
-
-    Spark's own 10,000 rows of a few kilobytes, several times in flight, are most of what a
-    worker and the buffers beside it hold.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))

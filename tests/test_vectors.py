@@ -154,3 +154,17 @@ def test_vectors_are_worked_out_once(spark):
     df = spark.createDataFrame([(1, "one two three")], "id int, text string")
     plan = rt.embed_sparse(df, id_col="id", text_col="text").select("id", F.explode("cells"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("unit_features(") == 1
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(3).select("id", F.lit("some words here").alias("text"))
+    try:
+        spark.conf.set(key, "10000")
+        rt.embed_sparse(docs, id_col="id", text_col="text")
+        assert int(spark.conf.get(key)) <= 1000
+        spark.conf.set(key, "5000")
+        assert rt.embed(docs, id_col="id", text_col="text").count() == 3 and spark.conf.get(key) == "5000"
+    finally:
+        spark.conf.set(key, before)
