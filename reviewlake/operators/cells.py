@@ -15,10 +15,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .retrieval import MATCH_SCHEMA, MAX_BROADCAST_NUMBERS, _by_id, _keep_best, _matches, _unit, rank_matches, topk
+from ..plans.work import new_dir, written
+from .retrieval import MATCH_SCHEMA, MAX_BROADCAST_NUMBERS, _by_id, _keep_best, _pairs, _unit, rank_matches, topk
 
 RECALL = 0.9
 AIMED = 0.95  # share of the matches of sampled queries; the queries of a search may be harder than the sample
@@ -29,7 +30,10 @@ TEST_QUERIES = 500
 ROUNDS = 5
 PART_CELLS = 64  # cells of one folder
 SLACK = 1e-6  # scores are rounded to nine digits; bounds have to be safe against that
+GAP = 1e-9  # cosines in double precision that differ by more stand in the same order on every machine
+LOOK_NUMBERS = 1 << 21  # cosines of queries to centres that are held at a time
 
+FOUND = f"at int, {MATCH_SCHEMA}"  # at: the query's place in its chunk
 ROWS = "id string, vec array<double>, cell int, near double, part int"
 
 
@@ -150,45 +154,98 @@ def _measure(spark, c: DataFrame, path: str, centres: np.ndarray, dim, k, min_si
 
 def search(
     queries: DataFrame, path: str, *, k: int, min_sim: float, query_id: str = "query_id", vec: str = "vec",
-    probes: int | None = None, exact: bool = False,
+    probes: int | None = None, exact: bool = False, merge_ids: bool = True,
 ) -> DataFrame:
     """Top-k of the stored rows: (query_id, item_id, score, rank); ties go to the smaller id.
 
     Scores are exact; with ``exact`` so are the matches. Queries are sent to the tasks in
-    chunks of checked size, each with the cells it looks into; of the rows only the folders
-    of these cells are read, and a task gives back at most k rows a query.
+    chunks of checked size, each with the cosine that its cells reach; of the rows only the
+    folders of these cells are read, and a task gives back at most k rows a query. With
+    ``merge_ids`` an item id counts once for a query id, by its best score; without, every row counts.
     """
     spark = queries.sparkSession
     about = spark.read.parquet(f"{path}/about").first()
-    centres = _centres(spark, path)
+    centres, dim = _centres(spark, path), about["dim"]
     probes = min(len(centres), probes or about["probes"])
     q = queries.select(F.col(query_id).cast("string").alias("id"), F.col(vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
-    # a query costs its vector and a number for each of its cells, which may be all of them at last
-    most = max(1, MAX_BROADCAST_NUMBERS // (about["dim"] + len(centres)))
+    # a query costs its vector, the cosine its cells reach and its floor; four fifths of the bound, as hashes do not part rows quite evenly
+    most = max(1, MAX_BROADCAST_NUMBERS * 4 // ((dim + 2) * 5))
     chunks = max(1, math.ceil(q.count() / most))
     radius = np.full(len(centres), 2.0)
     if exact:
         for cell, low in stored_rows(spark, path).groupBy("cell").agg(F.min("near")).collect():
             radius[cell] = low
+    cells = spark.sparkContext.broadcast((centres, radius))
     every = None
     for i in range(chunks):
-        part = q.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == i).toPandas()
-        if not len(part):
+        part = q.where(F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)) == i)
+        ids, vectors, reach = _fetched_queries(part, cells, probes)
+        if not ids:
             continue
-        ids, vectors = list(part["id"]), _unit(list(part["vec"]), about["dim"])
-        look = np.zeros((len(ids), len(centres)), dtype=bool)
-        np.put_along_axis(look, _nearest(vectors, centres, probes), True, axis=1)
-        found = _scored(spark, path, ids, vectors, look, k, np.full(len(ids), min_sim))
+        asked = spark.sparkContext.broadcast((ids, vectors, reach))
+        least = np.full(len(ids), min_sim, dtype=float)
+        parts = _folders(vectors, reach, least, centres, radius, finish=False)
+        found = _scored(spark, path, parts, asked, cells, k, least, finish=False, merge_ids=merge_ids)
+        if exact or chunks > 1:
+            found = written(found, new_dir(spark, "found"))
         if exact:
-            first = rank_matches(found, k).where(F.col("rank") == k).select("query_id", "score").toPandas()
-            floor = pd.Series(min_sim, index=pd.Index(ids).unique(), dtype=float)
-            floor[first["query_id"]] = first["score"].to_numpy() - 1e-4
-            rest = _could_match(vectors, centres, radius, floor[ids].to_numpy()) & ~look
-            found = found.unionByName(_scored(spark, path, ids, vectors, rest, k, floor[ids].to_numpy()))
+            least = _floors(found, k, least, merge_ids)
+            parts = _folders(vectors, reach, least, centres, radius, finish=True)
+            rest = _scored(spark, path, parts, asked, cells, k, least, finish=True, merge_ids=merge_ids)
+            found = found.unionByName(written(rest, new_dir(spark, "found")) if chunks > 1 else rest)
+        if chunks > 1:
+            asked.destroy()
         every = found if every is None else every.unionByName(found)
     if every is None:
-        every = spark.createDataFrame([], MATCH_SCHEMA)
-    return rank_matches(every.groupBy("query_id", "item_id").agg(F.max("sim").alias("sim")), k)
+        every = spark.createDataFrame([], FOUND)
+    if merge_ids:
+        every = every.groupBy("query_id", "item_id").agg(F.max("sim").alias("sim"))
+    return rank_matches(every.select("query_id", "item_id", "sim"), k)
+
+
+def _reach(rows: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """For every row a cosine that its ``probes`` nearest centres are above and all others below.
+
+    It lies in a gap that no rounding closes, so that every task that compares with it
+    finds the same cells; of centres without such a gap between them all or none are above.
+    """
+    out = np.full(len(rows), -2.0)
+    step = max(1, LOOK_NUMBERS // len(centres))
+    for at in range(0, len(rows) if probes < len(centres) else 0, step):
+        near = np.partition(rows[at: at + step] @ centres.T, [-probes - 1, -probes], axis=1)
+        low, high = near[:, -probes - 1], near[:, -probes]
+        out[at: at + step] = np.where(high - low > GAP, (low + high) / 2, -2.0)
+        for i in np.flatnonzero(high - low <= GAP):
+            by = np.sort(near[i])[::-1][probes - 1:]
+            wide = np.flatnonzero(by[:-1] - by[1:] > GAP)
+            if len(wide):
+                out[at + i] = (by[wide[0]] + by[wide[0] + 1]) / 2
+    return out
+
+
+def _fetched_queries(q: DataFrame, cells, probes: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """The ids of queries, their unit rows, and the cosines that their first cells reach."""
+
+    def reach(batches):
+        for batch in batches:
+            centres = cells.value[0]
+            rows = _unit(list(batch["vec"]), centres.shape[1])
+            yield pd.DataFrame({"id": batch["id"], "vec": list(rows), "reach": _reach(rows, centres, probes)})
+
+    found = q.mapInPandas(reach, "id string, vec array<double>, reach double").toArrow()
+    rows = [part.flatten().to_numpy() for part in found.column("vec").chunks]
+    vectors = np.concatenate(rows).reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 1))
+    return found.column("id").to_pylist(), vectors, found.column("reach").to_numpy()
+
+
+def _floors(found: DataFrame, k: int, least: np.ndarray, merge_ids: bool) -> np.ndarray:
+    """The floor of every query once ``found`` is known: its k-th score, as far as there are k."""
+    sims = found.groupBy("at", "item_id").agg(F.max("sim").alias("sim")) if merge_ids else found
+    w = Window.partitionBy("at").orderBy(F.col("sim").desc())
+    kth = sims.select("at", "sim", F.row_number().over(w).alias("rank")).where(F.col("rank") == k).toArrow()
+    out = least.copy()
+    out[kth.column("at").to_numpy()] = kth.column("sim").to_numpy() - SLACK
+    return np.maximum(out, least)
 
 
 def candidates(queries: DataFrame, path: str, *, query_id: str = "query_id", vec: str = "vec", probes: int | None = None) -> DataFrame:
@@ -212,42 +269,87 @@ def candidates(queries: DataFrame, path: str, *, query_id: str = "query_id", vec
     return q.mapInPandas(count, "query_id string, n bigint")
 
 
-def _could_match(vectors: np.ndarray, centres: np.ndarray, radius: np.ndarray, floor: np.ndarray) -> np.ndarray:
-    """For each query the cells in which a row can reach its floor.
+def _could_match(near: np.ndarray, radius: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """For each query, by its cosines to the centres, the cells in which a row can reach its floor.
 
     Angles obey the triangle inequality: a row is at least as far from the query as
     the centre is, less the angle between the centre and the cell's farthest row.
     """
-    out = np.zeros((len(vectors), len(centres)), dtype=bool)
-    wide = np.arccos(np.clip(radius, -1, 1))
-    there = radius <= 1 + SLACK
-    for at in range(0, len(vectors), 1024):
-        s = slice(at, at + 1024)
-        gap = np.arccos(np.clip(vectors[s] @ centres.T, -1, 1)) - wide
-        out[s] = (np.cos(np.maximum(gap, 0)) + SLACK >= floor[s, None]) & there
-    return out
+    gap = np.arccos(np.clip(near, -1, 1)) - np.arccos(np.clip(radius, -1, 1))
+    return (np.cos(np.maximum(gap, 0)) + SLACK >= floor[:, None]) & (radius <= 1 + SLACK)
 
 
-def _scored(spark, path: str, ids: list, vectors: np.ndarray, look: np.ndarray, k: int, floor: np.ndarray) -> DataFrame:
-    """The best k rows of each query and task in the cells it looks into."""
-    cells = np.flatnonzero(look.any(axis=0))
-    asked = {int(cell): np.flatnonzero(look[:, cell]) for cell in cells}
-    shared = spark.sparkContext.broadcast((ids, vectors, asked, floor))
-    parts = sorted({int(c) // PART_CELLS for c in cells})
+def _looks(vectors: np.ndarray, reach: np.ndarray, least: np.ndarray, centres: np.ndarray, radius: np.ndarray, finish: bool):
+    """(first query, whether it and the next ones look into a cell), some queries at a time.
+
+    First into the cells that they reach; at the finish into those others that could match.
+    """
+    step = max(1, LOOK_NUMBERS // max(1, len(centres)))
+    for a in range(0, len(vectors), step):
+        s = slice(a, a + step)
+        near = vectors[s] @ centres.T
+        look = near >= reach[s, None]
+        yield a, _could_match(near, radius, least[s]) & ~look if finish else look
+
+
+def _folders(vectors: np.ndarray, reach: np.ndarray, least: np.ndarray, centres: np.ndarray, radius: np.ndarray, finish: bool) -> list[int]:
+    """The folders of the cells that any query looks into."""
+    seen = np.zeros(-(-len(centres) // PART_CELLS), dtype=bool)
+    for _, look in _looks(vectors, reach, least, centres, radius, finish):
+        seen[np.flatnonzero(look.any(axis=0)) // PART_CELLS] = True
+        if seen.all():
+            break
+    return np.flatnonzero(seen).tolist()
+
+
+def _scored(spark, path: str, parts: list[int], asked, cells, k: int, least: np.ndarray, *, finish: bool, merge_ids: bool) -> DataFrame:
+    """The best k rows of each query and task in the cells it looks into.
+
+    Where every row counts, the k-th score that a task has seen is the floor of what follows.
+    """
+    floors = spark.sparkContext.broadcast(least)
     rows = stored_rows(spark, path).where(F.col("part").isin(parts)).select("id", "vec", "cell")
 
     def score(batches):
-        names, matrix, asked, least = shared.value
-        best = pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
+        (names, matrix, reach), (centres, radius) = asked.value, cells.value
+        floor = np.array(floors.value)
+        top = np.full((len(floor), k), -2.0)
+        best = pd.DataFrame({"query_id": np.zeros(0, np.int64), "item_id": np.zeros(0, object), "sim": np.zeros(0)})
         for batch in batches:
-            found = [best]
-            for cell, some in batch.groupby("cell"):
-                who = asked.get(int(cell))
-                if who is not None:
-                    items, stored = _by_id(some["id"], np.array(some["vec"].tolist()), k)
-                    found.append(_matches(matrix[who], [names[w] for w in who], stored, items, k, least[who]))
-            if len(found) > 1:
-                best = _keep_best(pd.concat(found), k)
-        yield best
-
-    return rows.mapInPandas(score, MATCH_SCHEMA)
+            batch = batch.sort_values("id", kind="stable")  # a null id stands last
+            ids, cell, items = batch["id"].to_numpy(object), batch["cell"].to_numpy(), np.array(batch["vec"].tolist())
+            there = np.unique(cell)
+            stored = []
+            for own in (np.flatnonzero(cell == c) for c in there):
+                own, mine = _by_id(own, items[own], k)
+                stored.append((np.array(own, dtype=np.int64), mine, mine.astype(np.float32)))
+            found = []
+            for a, look in _looks(matrix, reach, floor, centres[there], radius[there], finish):
+                for (own, mine, light), asks in zip(stored, np.ascontiguousarray(look.T)):
+                    who = a + np.flatnonzero(asks)
+                    row, col, sim = _pairs(matrix[who], mine, k, floor[who], light)
+                    if len(row):
+                        found.append(pd.DataFrame({"query_id": who[row], "item_id": ids[own[col]], "sim": sim}))
+                        if not merge_ids:
+                            _raise(floor, top, who[row], sim)
+            if found:
+                best = pd.concat([best, *found] if len(best) else found)
+                best = best[best["sim"].to_numpy() >= floor[best["query_id"].to_numpy()]]
+                if merge_ids or len(best) > 2 * k * len(floor):
+                    best = _keep_best(best, k)
+        best = _keep_best(best, k)
+        at = best["query_id"].to_numpy()
+        yield pd.DataFrame({"at": at.astype(np.int32), "query_id": np.asarray(names, dtype=object)[at], "item_id": best["item_id"].to_numpy(), "sim": best["sim"].to_numpy()})
+
+    return rows.mapInPandas(score, FOUND)
+
+
+def _raise(floor: np.ndarray, top: np.ndarray, query: np.ndarray, sim: np.ndarray) -> None:
+    """Put further scores, at most k a query and in the order of queries, into the k highest of each; floors rise to the k-th."""
+    k = top.shape[1]
+    some, start, inverse = np.unique(query, return_index=True, return_inverse=True)
+    more = np.full((len(some), 2 * k), -2.0)
+    more[:, :k] = top[some]
+    more[inverse, k + np.arange(len(query)) - start[inverse]] = sim
+    top[some] = np.sort(more, axis=1)[:, k:]
+    floor[some] = np.maximum(floor[some], top[some, 0])

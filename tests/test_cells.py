@@ -3,9 +3,12 @@
 import math
 import os
 
+import duckdb
 import numpy as np
 import pytest
+from compare import compare
 
+from reviewlake.catalog import ORACLES, QUERIES
 from reviewlake.operators import cells as cl
 
 K, FLOOR = 3, 0.3
@@ -67,6 +70,50 @@ def test_queries_in_chunks(spark, clustered, tmp_path, monkeypatch):
     assert found(cl.search(queries, path, k=K, min_sim=FLOOR, exact=True)) == exact(points, list(range(0, 2000, 50)))
 
 
+def test_every_row_asks_every_row(spark, tmp_path):
+    """ann_join over a table of its own: all rows are queries, and rows that come twice count twice."""
+    rng = np.random.default_rng(7)
+    points = (rng.standard_normal((12, 64))[rng.integers(12, size=180)] + rng.standard_normal((180, 64)) * 0.6).astype(np.float32)
+    rows = [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]
+    rows += [rows[i] for i in (3, 50, 51)] + [(7, rows[90][1], 0), (500, None, 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    problem, n, _, _ = compare(spark, con, "ann_join", QUERIES["ann_join"], ORACLES["ann_join"], str(tmp_path))
+    assert problem is None
+    got = QUERIES["ann_join"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {str(i) for i in range(180)}
+    assert len(got) == n > 400
+    assert sorted(r.item_id for r in got if r.query_id == "50")[:2] == ["50", "50"]
+
+
+def test_all_rows_in_chunks(spark, clustered, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    points = np.concatenate([clustered[:1400], clustered[-200:]])
+    cl.build(frame(spark, points), path, dim=24, k=K, min_sim=FLOOR)
+    monkeypatch.setattr(cl, "MAX_BROADCAST_NUMBERS", 20000)
+    monkeypatch.setattr(cl, "LOOK_NUMBERS", 20000)
+    want = exact(points, list(range(len(points))))
+    queries = frame(spark, points).withColumnRenamed("item_id", "query_id")
+    assert found(cl.search(queries, path, k=K, min_sim=FLOOR, exact=True, merge_ids=False)) == want
+    assert found(cl.search(queries, path, k=K, min_sim=FLOOR, exact=True, merge_ids=False, probes=2)) == want
+
+
+def test_reach_lies_in_a_gap():
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 6))
+    centres = np.concatenate([centres, centres[:5]])
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = rng.standard_normal((40, 6))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    for probes in (1, 4, 24, 25):
+        near, reach = rows @ centres.T, cl._reach(rows, centres, probes)
+        assert np.abs(near - reach[:, None]).min() > cl.GAP / 4
+        n = (near >= reach[:, None]).sum(axis=1)
+        assert ((n == probes) | (n == probes + 1)).all()
+    assert (cl._reach(np.zeros((2, 6)), centres, 3) == -2).all()
+
+
 @pytest.mark.parametrize("kind", ["clustered", "random"])
 def test_recall_holds_and_candidates_grow_slower_than_pairs(spark, tmp_path, kind):
     rng = np.random.default_rng(11)
